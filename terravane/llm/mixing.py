@@ -8,7 +8,8 @@ number of documents:
 * flight, in blocks: the probabilities of three documents at a time move along the null space of the two
   balancing constraints until one of them is 0 or 1, which leaves at most two undecided documents a block;
 * the undecided documents of many blocks meet in blocks of the next level, until one block a source is left;
-* landing: what is left of a source, at most two documents, is rounded to the nearest total of tokens.
+* landing: what is left of a source, at most two documents, is rounded to the nearest total of tokens, and a few
+  documents of the last block are flipped while that brings the total nearer.
 
 A source is spread over blocks of a bounded number of documents by a hash, so one that holds a third of all
 rows costs more blocks, not a larger one. Text is read once, to count words; only ids and counts are shuffled.
@@ -83,6 +84,17 @@ def flight(prob: np.ndarray, tokens: np.ndarray, uniform: np.ndarray) -> np.ndar
     return np.array(p)
 
 
+def _polish(p: np.ndarray, sizes: np.ndarray, want: float, most: int = 16) -> None:
+    """Flip the document that brings the total nearest to what is wanted, while one does, a few times at most."""
+    for _ in range(most):
+        off = float((p * sizes).sum()) - want
+        after = np.abs(off + np.where(p > 0.5, -sizes, sizes))
+        k = int(after.argmin())
+        if after[k] >= abs(off):
+            return
+        p[k] = 1 - p[k]
+
+
 def _settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
     # the largest first, so that what stays undecided is small
     pdf = pdf.sort_values(["_size", "_h", "_id", "_uid"], ascending=[False, True, True, True], kind="mergesort", na_position="last").reset_index(drop=True)
@@ -93,11 +105,20 @@ def _settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
         want, sizes = float((p[rest] * pdf["_size"].to_numpy()[rest]).sum()), pdf["_size"].to_numpy()[rest]
         best = min(range(1 << len(rest)), key=lambda m: (abs(sum(int(s) for k, s in enumerate(sizes) if m >> k & 1) - want), m))
         p[rest] = [best >> k & 1 for k in range(len(rest))]
+        _polish(p, pdf["_size"].to_numpy(), float((pdf["_p"] * pdf["_size"]).sum()))
     out = pdf.assign(_p=np.where(p < 1e-9, 0.0, np.where(p > 1 - 1e-9, 1.0, p)))
     out["_uid"] = [f"{s}:{b}:{i}" if u == "" else u for s, b, i, u in zip(out["_src"], out["_b"], range(len(out)), out["_uid"], strict=True)]
     return out
 
 
+def _settle_on(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _settle(pdf, False)
+
+
+def _settle_last(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _settle(pdf, True)
+
+
 def mix(
     df: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
@@ -145,11 +166,7 @@ def mix(
         parts: list[DataFrame] = []
         while blocks > 1:
             blocks = math.ceil(blocks / FAN_IN)
-            last = blocks == 1
-
-            def again(pdf: pd.DataFrame, last: bool = last) -> pd.DataFrame:
-                return _settle(pdf, last)
-
+            again = _settle_last if blocks == 1 else _settle_on
             level = materialize(undecided.withColumn("_b", F.expr(f"_b div {FAN_IN}")).groupBy("_src", "_b").applyInPandas(again, state))
             parts.append(level.where(F.col("_p").isin(0.0, 1.0)).select(F.col("_uid").alias("_u2"), F.col("_p").alias("_p2")))
             undecided = level.where((F.col("_p") > 0) & (F.col("_p") < 1))
