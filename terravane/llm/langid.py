@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
@@ -45,6 +45,12 @@ def _grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def _cut(padded: Column, n: int) -> Column:
+    """The n-grams of a padded word, as _grams() has them."""
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+    return F.filter(every, lambda g: F.length(g) == n)
+
+
 def learn(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     docs_per_lang: int = 3000, max_words: int = 40_000, max_grams: int = 40_000,
@@ -63,7 +69,7 @@ def learn(
     by_word = counted.groupBy("w").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("_lang", "n"))).alias("by"))
     top = by_word.where("total >= 2").orderBy(F.desc("total"), "w").limit(max_words).collect()
     padded = counted.select("_lang", F.concat(F.lit("^"), "w", F.lit("$")).alias("p"), "n")
-    cut = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (k - 1), F.lit(1))), lambda i, k=k: F.substring("p", i, F.lit(k))) for k in range(1, LONGEST_GRAM + 1)]
+    cut = [_cut(F.col("p"), k) for k in range(1, LONGEST_GRAM + 1)]
     grams = padded.select("_lang", "n", F.explode(F.flatten(F.array(*cut))).alias("g")).groupBy("_lang", "g").agg(F.sum("n").alias("n"))
     by_gram = grams.groupBy("g").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("_lang", "n"))).alias("by"))
     top_grams = by_gram.orderBy(F.desc("total"), "g").limit(max_grams).collect()

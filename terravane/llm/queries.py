@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, license_scan, mixing, quality_rules, secret_scan, toxicity
+from . import bpe, langid, license_scan, media_chunks, mixing, quality_rules, secret_scan, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.store(documents(spark, sf_dir))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(documents(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_toxicity, op3_license_scan, op4_secret_scan, op6_language, op7_quality_rules, op8_cube_mix, op10_byte_bpe]
+    own = [op1_toxicity, op2_media_chunks, op3_license_scan, op4_secret_scan, op6_language, op7_quality_rules, op8_cube_mix, op10_byte_bpe]
     return {f.__name__: f for f in own}
 
 

@@ -1,6 +1,6 @@
 """Toxicity: gradient-boosted trees over dense features of a whole text, calibrated by isotonic regression.
 
-Features: densities of a fixed lexicon and of a learned one, how near lexicon words stand to the second person,
+Features: densities of a fixed lexicon and of a learned one (words and word stems), how near lexicon words stand to the second person,
 rates of capitals, punctuation, symbols, digits and obfuscated spellings, and lengths. Learning takes a bounded
 sample of at most max_rows labelled rows (in expectation; drawn by a hash of the id, so reruns agree), splits it by the same hash into a part for the lexicon, a part
 for the trees and a part for the calibration, and brings to the driver only word counts and feature rows of the
@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
@@ -36,12 +36,15 @@ YOU = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu
 #: Words between a lexicon word and a second person that still count as near.
 NEAR = 5
 
+#: Lengths of the word stems that the learned lexicon has beside whole words; a stem is written with a star.
+STEMS = (4, 5, 6)
+
 _WORD = re.compile(r"[^\W\d_]+")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _MASKED = re.compile(r"(?<![\w@$!*])[^\W\d_]+[013457@$!*][\w@$!*]*[^\W\d_]")
 
 FEATURES = (
-    "log_words", "fixed_density", "fixed_any", "fixed_distinct", "learned_density", "learned_any", "learned_weight", "near_you", "you_density", "capitals",
+    "log_words", "fixed_density", "fixed_any", "fixed_distinct", "learned_density", "learned_any", "learned_weight", "learned_top", "learned_distinct", "near_you", "you_density", "capitals",
     "shouts", "questions", "punctuation", "symbols", "digits", "masked", "masked_hits", "mean_word", "pipes",
 )
 
@@ -59,17 +62,19 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
     words = _WORD.findall(low)
     n = max(1, len(words))
     seen = set(words)
-    fixed, own = seen & INSULTS, seen & learned.keys()
-    hits = near = learned_hits = 0
-    weight = 0.0
-    you = 0
+    fixed, own = seen & INSULTS, {}
+    if learned:
+        for w in seen:
+            found = [v for e in (w, *[f"{w[:k]}*" for k in STEMS]) if (v := learned.get(e)) is not None]
+            if found:
+                own[w] = max(found)
+    hits = near = learned_hits = you = 0
     if not seen.isdisjoint(YOU):
         you = sum(w in YOU for w in words)
     if fixed or own:
         places = [i for i, w in enumerate(words) if w in fixed or w in own]
         hits = sum(words[i] in fixed for i in places)
         learned_hits = sum(words[i] in own for i in places)
-        weight = sum(learned[w] for w in own)
         if you:
             near = sum(not YOU.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i in places)
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -80,7 +85,7 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
     masked_hits = sum(m.translate(_LEET) in INSULTS for m in masked)
     size = max(1, len(raw))
     return [
-        np.log1p(len(words)), hits / n, float(hits > 0), float(len(fixed)), learned_hits / n, float(learned_hits > 0), weight, near / n, you / n, caps / size,
+        np.log1p(len(words)), hits / n, float(hits > 0), float(len(fixed)), learned_hits / n, float(learned_hits > 0), sum(own.values()) if own else 0.0, max(own.values(), default=0.0), float(len(own)), near / n, you / n, caps / size,
         shouts / n, questions / n, punct / n, symbols / n, digits / size, len(masked) / n, masked_hits / n, len(text) / n, pipes / n,
     ]
 
@@ -192,8 +197,12 @@ def _featured(df: DataFrame, learned: dict[str, float], columns: list[str]) -> D
     return base.mapInArrow(run, schema)
 
 
+def _stems(words: Column, k: int) -> Column:
+    return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(F.left(w, F.lit(k)), F.lit("*")))
+
+
 def learn(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000, max_lexicon: int = 200
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000, max_lexicon: int = 400
 ) -> Model:
     """Learn from labelled rows outside the held-out fifth."""
     truth = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
@@ -211,10 +220,12 @@ def learn(
     # the lexicon's part: in how many different texts of either class a word stands
     distinct = sample.where("_part < 4").select("_y", "_text").distinct()
     sizes = {r["_y"]: r["n"] for r in distinct.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    by_word = distinct.select("_y", F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("w")).where("w <> ''")
+    split = F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))
+    stems = [_stems(split, k) for k in STEMS]
+    by_word = distinct.select("_y", F.explode(F.array_distinct(F.concat(split, *stems))).alias("w")).where("w <> ''")
     counts = by_word.groupBy("w").agg(F.sum("_y").alias("bad"), F.sum(1 - F.col("_y")).alias("good")).where("bad >= 8")
     ratio = F.log((F.col("bad") + 0.5) / max(1, sizes.get(1, 0))) - F.log((F.col("good") + 0.5) / max(1, sizes.get(0, 0)))
-    strong = counts.withColumn("odds", ratio).where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "w").limit(max_lexicon)
+    strong = counts.withColumn("odds", ratio).where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "w").limit(max_lexicon)
     learned = {r["w"]: float(r["odds"]) for r in strong.collect()}
     rows = _featured(sample, learned, ["_y", "_part"]).collect()  # max_rows rows of features
     sample.unpersist()
