@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, license_scan, media_chunks, mixing, quality_rules, secret_scan, toxicity
+from . import bpe, langid, license_scan, media_chunks, mixing, quality_rules, secret_scan, suffix_dedup, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(documents(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(documents(spark, sf_dir))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.predict(docs, langid.learn(docs))
@@ -48,7 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_toxicity, op2_media_chunks, op3_license_scan, op4_secret_scan, op6_language, op7_quality_rules, op8_cube_mix, op10_byte_bpe]
+    own = [op1_toxicity, op2_media_chunks, op3_license_scan, op4_secret_scan, op5_suffix_dedup, op6_language, op7_quality_rules, op8_cube_mix, op10_byte_bpe]
     return {f.__name__: f for f in own}
 
 
