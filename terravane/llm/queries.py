@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, license_scan, media_chunks, mixing, quality_rules, secret_scan, suffix_dedup, toxicity
+from . import bpe, langid, license_scan, media_chunks, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,12 +47,16 @@ def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_toxicity, op2_media_chunks, op3_license_scan, op4_secret_scan, op5_suffix_dedup, op6_language, op7_quality_rules, op8_cube_mix, op10_byte_bpe]
+    own = [op1_toxicity, op2_media_chunks, op3_license_scan, op4_secret_scan, op5_suffix_dedup, op6_language, op7_quality_rules, op8_cube_mix, op9_ngram_join, op10_byte_bpe]
     return {f.__name__: f for f in own}
 
 

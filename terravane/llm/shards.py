@@ -87,38 +87,50 @@ def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
 
 
-def key_blocks(keys: np.ndarray, in_two: np.ndarray, shard: int, n_buckets: int) -> pd.DataFrame:
-    """A shard's message to each bucket: its sorted distinct keys, and which of them two of its documents have."""
+def key_blocks(keys: np.ndarray, counts: np.ndarray, shard: int, n_buckets: int) -> pd.DataFrame:
+    """A shard's message to each bucket: its sorted distinct keys and how many of its documents have each."""
     b = bucket_of(keys, n_buckets)
     edges = np.flatnonzero(np.diff(b, prepend=np.uint64(1 << 63))) if len(b) else np.zeros(0, np.int64)
     ends = np.append(edges[1:], len(b))
-    rows = [(int(b[s]), shard, pack(keys[s:e]), np.packbits(in_two[s:e]).tobytes()) for s, e in zip(edges.tolist(), ends.tolist(), strict=False)]
-    return pd.DataFrame(rows, columns=["bucket", "shard", "keys", "in_two"])
+    rows = [(int(b[s]), shard, pack(keys[s:e]), pack_counts(counts[s:e])) for s, e in zip(edges.tolist(), ends.tolist(), strict=False)]
+    return pd.DataFrame(rows, columns=["bucket", "shard", "keys", "counts"])
 
 
-BLOCKS = "bucket long, shard long, keys binary, in_two binary"
-ANSWERS = "shard long, keys binary"
+def pack_counts(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_counts(block: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(block), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int64)
+
+
+BLOCKS = "bucket long, shard long, keys binary, counts binary"
+ANSWERS = "shard long, keys binary, counts binary"
 
 
 def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's answers: for each shard those of its keys that occur in two documents at least, there or elsewhere."""
+    """A bucket's answers: for each shard those of its keys that two documents at least have, and how many have them."""
     parts = [unpack(k) for k in pdf["keys"]]
-    flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(p)).astype(bool) for f, p in zip(pdf["in_two"], parts, strict=True)]
-    every = np.concatenate(parts)
-    order = np.sort(every)
-    several = order[1:][order[1:] == order[:-1]]
-    several = np.unique(np.concatenate([several, *[p[f] for p, f in zip(parts, flags, strict=True)]]))
+    every, n = np.concatenate(parts), np.concatenate([unpack_counts(c) for c in pdf["counts"]])
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    total = np.add.reduceat(n, new) if len(new) else n
+    known, total = every[new][total > 1], total[total > 1]
     rows = []
     for shard, p in zip(pdf["shard"], parts, strict=True):
-        at = np.searchsorted(several, p)
-        hit = p[(at < len(several)) & (several[np.minimum(at, max(0, len(several) - 1))] == p)] if len(several) else p[:0]
-        if len(hit):
-            rows.append((int(shard), pack(hit)))
-    return pd.DataFrame(rows, columns=["shard", "keys"])
+        if not len(known):
+            break
+        at = np.minimum(np.searchsorted(known, p), len(known) - 1)
+        hit = known[at] == p
+        if hit.any():
+            rows.append((int(shard), pack(p[hit]), pack_counts(total[at[hit]])))
+    return pd.DataFrame(rows, columns=["shard", "keys", "counts"])
 
 
 def shared(dealt: DataFrame, blocks: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """shard and keys: which of a shard's keys, as blocks() sends them, two documents of the table have."""
+    """shard, keys and counts: which of a shard's keys, as blocks() sends them, two documents of the table have."""
     return dealt.groupBy("shard").applyInPandas(blocks, BLOCKS).groupBy("bucket").applyInPandas(answer, ANSWERS)
 
 

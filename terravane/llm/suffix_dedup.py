@@ -8,7 +8,7 @@ which a member differs from the group's first, splits there, and skips what all
 Which suffixes meet in a part follows from their text. Each 50-byte window has a key, the least hash of the 20-byte strings
 inside it, so equal windows have equal keys, and neighbouring windows mostly share one. Texts are dealt into shards (equal texts into one);
 a shard learns which of its keys another document has as well, orders the windows of only these, settles repeats
-within itself, and sends one window of each different content to the part of its key, as runs of neighbouring windows. So a passage that a
+within itself, and sends the windows of the first document of each content to the part of its key, as runs of neighbouring windows. So a passage that a
 third of all documents have reaches a part once a shard. Parts answer which runs occur in a document with a smaller id. Every
 decision is an exact comparison of bytes; hashes only decide where windows meet.
 
@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shards
-from .common import materialize
 
 WINDOW, GRAM, SYMBOL = 50, 20, 8
 SHALLOW = 16
@@ -228,7 +227,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total = shards.text_bytes(df, text_col)
     n_shards, _ = shards.sizes(df.sparkSession, total, KEYS_A_BYTE)
     n_parts = max(1, int(total * KEYS_A_BYTE / PART_KEYS) + 1)
-    dealt = materialize(shards.deal(df, n_shards, id_col, text_col))
+    dealt = shards.deal(df, n_shards, id_col, text_col)
 
     def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         key, doc, _, _ = Shard(pdf).runs()
@@ -236,7 +235,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         key, doc = key[order], doc[order]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         last = np.append(new[1:], len(key)) - 1
-        return shards.key_blocks(key[new], doc[new] != doc[last], int(pdf["shard"].iloc[0]), n_parts)
+        return shards.key_blocks(key[new], 1 + (doc[new] != doc[last]), int(pdf["shard"].iloc[0]), n_parts)
 
     def settle(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"part": pd.Series(dtype="int64"), "shard": pd.Series(dtype="int64"), "kind": pd.Series(dtype="int32"), "block": pd.Series(dtype=object)})
@@ -252,11 +251,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         ids = s.ids[docs]
         gone = ids > first_of(label, ids)
         rows = [_remove(number, number % n_parts, *_as_runs(docs[gone], places[gone] - s.starts[docs[gone]]))] if gone.any() else []
-        # of each content the first window of a document that has it first
-        label, places, docs, keys = label[~gone], places[~gone], docs[~gone], keys[~gone]
-        _, one = np.unique(label, return_index=True)
-        one.sort()
-        places, docs, keys = places[one], docs[one], keys[one]
+        # what stays of each content is in the document that has it first, perhaps several times
+        places, docs, keys = places[~gone], docs[~gone], keys[~gone]
         new = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1] + 1) | (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])]))
         n = np.diff(np.append(new, len(places)))
         doc, place, part = docs[new], places[new], shards.bucket_of(keys[new], n_parts).astype(np.int64)
