@@ -1,11 +1,12 @@
-"""A corpus pipeline of four to five operators; each stage's rows are written and read again by the next."""
+"""A corpus pipeline: quality rules, near duplicates, secrets, mixing, tokens. Each stage works on all that its predecessor kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import mixing, quality_rules
+from terravane.llm import bpe, mixing, ngram_join, quality_rules, secret_scan
 from terravane.llm.common import documents, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -13,8 +14,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    judged = quality_rules.judge(docs, carry=COLUMNS)
-    return judged.where("kept").select(*COLUMNS)
+    return quality_rules.judge(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least id stays."""
+    return ngram_join.keep_first(docs.select(*COLUMNS))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret found is replaced in its text; the documents stay, n_chars follows."""
+    return secret_scan.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +33,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality), ("cube_mix", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's tokens, by count and digests of ids and of the bytes they decode to."""
+    return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality_rules", quality), ("ngram_join", near_duplicates), ("secret_scan", secrets), ("cube_mix", mix), ("byte_bpe", tokens)]
 
-#: Stages after the first two have no SQL form; tests hold them against brute force.
+#: Trees, tests of randomness, balanced sampling and merges have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

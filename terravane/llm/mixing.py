@@ -134,11 +134,12 @@ def mix(
     Sources by code point, null last, weigh weights, repeating; together they get factor times all words.
     One row a source is brought to the driver.
     """
-    rows = df.select(
-        F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)], F.col(source_col).alias("_source"),
-        word_count(F.col(text_col)).alias("_size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"),
-    )
-    rows = materialize(rows)
+    # a written table gives each row a number that stays; carried columns meet their row again at the end
+    base = materialize(df.select(
+        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)],
+        F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"),
+    ))
+    rows = base.select("_row", "_id", "_source", "_size", "_h")
     spark = df.sparkSession
     per = sorted(rows.groupBy("_source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).collect(), key=lambda r: (r[0] is None, (r[0] or "").encode()))
     sizes = [int(r["n"]) for r in per]
@@ -176,8 +177,11 @@ def mix(
         open_rows = done.where((F.col("_p") > 0) & (F.col("_p") < 1)).join(resolved, F.col("_uid") == F.col("_u2"), "left")
         open_rows = open_rows.withColumn("_p", F.coalesce("_p2", F.lit(0.0))).drop("_u2", "_p2")
         settled = done.where(F.col("_p").isin(0.0, 1.0)).unionByName(open_rows)
-    repeats = (F.col("_whole") + F.col("_p").cast("long")).alias("repeats")
-    return settled.select(
+    repeats = F.col("_whole") + F.col("_p").cast("long")
+    out = settled.select("_row", "_id", "_size", "_total", "_target", repeats.alias("_n"))
+    if carry:
+        out = out.join(base.select(F.col("_row").alias("_row2"), *[f"_c{k}" for k in range(len(carry))]), F.col("_row") == F.col("_row2"))
+    return out.select(
         F.col("_id").alias(id_col), *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)], F.col("_size").alias("size"), F.col("_total").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("_size") * repeats).alias("taken"), repeats,
+        F.col("_target").alias("target"), (F.col("_size") * F.col("_n")).alias("taken"), F.col("_n").alias("repeats"),
     )

@@ -419,8 +419,8 @@ def probe_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles and component_id, the least id that links reach."""
+def _classified(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """sets_of(), and s2 and r: the set that stands for the class of each set (written)."""
     found = sets_of(df, id_col, text_col)
     sets = ordered(found)
     first = classes(tree_links(sets))
@@ -428,19 +428,38 @@ def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # links between classes, by the classes' roots
     root = lambda d, c: d.join(first, F.col(c) == F.col("v"), "left").withColumn(c, F.coalesce("root", c)).drop("v", "root")
     merged = classes(root(root(late, "a"), "b"))
-    own = found.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
-    own = own.join(first, F.col("sig") == F.col("v"), "left").select("sig", "id", F.coalesce("root", "sig").alias("r1"))
-    own = own.join(merged, F.col("r1") == F.col("v"), "left").select("sig", "id", F.coalesce("root", "r1").alias("r"))
-    own = materialize(own)
-    least = own.groupBy("r").agg(F.min("id").alias("component")).withColumnRenamed("r", "r2")
-    named = own.join(least, F.col("r") == F.col("r2")).select(F.col("sig").alias("s2"), "component")
+    own = found.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "key")).alias("least"))
+    own = own.join(first, F.col("sig") == F.col("v"), "left").select("sig", "least", F.coalesce("root", "sig").alias("r1"))
+    own = own.join(merged, F.col("r1") == F.col("v"), "left").select(F.col("sig").alias("s2"), "least", F.coalesce("root", "r1").alias("r"))
+    return found, materialize(own)
+
+
+def _key(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+
+
+def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles and component_id, the least id that links reach."""
+    found, own = _classified(df, id_col, text_col)
+    least = own.groupBy("r").agg(F.min("least.id").alias("component")).withColumnRenamed("r", "r2")
+    named = own.join(least, F.col("r") == F.col("r2")).select("s2", "component")
     by_text = found.select("key", "n", "sig").join(named, F.col("sig") == F.col("s2"), "left").select("key", "n", "component")
-    docs = df.select(F.col(id_col).alias("_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("_k"))
+    docs = df.select(F.col(id_col).alias("_id"), _key(text_col).alias("_k"))
     out = docs.join(by_text, F.col("_k") == F.col("key"))
     component = F.when(F.col("n") == 0, F.col("_id").cast("long")).otherwise(F.nullif(F.col("component"), F.lit(NO_ID)))
     return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table with one row of each class: the least id, then the least hash of its text. Rows without words all stay."""
+    found, own = _classified(df, id_col, text_col)
+    first = own.groupBy("r").agg(F.min("least").alias("least")).select(F.col("least.id").alias("i2"), F.col("least.key").alias("k2"))
+    docs = df.withColumns({"_i1": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_k1": _key(text_col)})
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    kept = docs.where(worded).join(first, (F.col("_k1") == F.col("k2")) & (F.col("_i1") == F.col("i2")), "left_semi").dropDuplicates(["_k1", "_i1"])
+    return kept.unionByName(docs.where(~worded)).drop("_i1", "_k1")
+
+
 def brute_force(rows: list[tuple[int, str | None]]) -> Iterator[tuple[int, int, int]]:
     """The contract's result by comparing all sets that share a shingle; for tests."""
     import re
