@@ -234,7 +234,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        last = np.append(new[1:], len(key)) - 1
+        last = np.append(new[1:], len(key))[: len(new)] - 1
         return shards.key_blocks(key[new], 1 + (doc[new] != doc[last]), int(pdf["shard"].iloc[0]), n_parts)
 
     def settle(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
