@@ -13,7 +13,8 @@ A document's set is its distinct 5-word shingles (as 64-bit hashes of the lower-
    already. That finds nearly all links that matter.
 4. The rest of the links, exactly: two linked sets share a hash among the rarest |set| - ceil(0.8 n) + 1 of each. Where such
    a hash has sets of different classes, the members outside its largest class are paired with those of other
-   classes; length and position bounds prune, and the pairs that remain are probed in the same trees.
+   classes, each pair at its rarest shared hash only; length and position bounds prune, and the pairs that remain are
+   probed in the same trees.
 
 Classes are found by label propagation over Spark tables. A hash that a third of all rows have is one entry a shard in
 1 and 2, is split into blocks in 3, and in 4 costs nothing where its sets are one class. No step collects links,
@@ -40,6 +41,8 @@ from .common import materialize
 
 WORDS = 5
 BLOCK_SETS = 400
+#: Sets of a group that every one of its blocks has.
+CENTERS = 4
 #: Distinct first hashes that a byte of text brings, about.
 KEYS_A_BYTE = 0.07
 #: Hashes a shard of the second round has, about.
@@ -281,7 +284,8 @@ def sets_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def ordered(found: DataFrame) -> DataFrame:
-    """sig, n and tokens (those that another set has, most frequent first, then by hash) of the sets that may have a partner (written)."""
+    """sig, n, tokens (those that another set has, most frequent first, then by hash) and common (how frequent a set's hashes
+    are on average) of the sets that may have a partner (written)."""
     sets = found.where(F.col("tokens").isNotNull()).groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     total = int(found.where(F.col("tokens").isNotNull()).agg(F.sum("n")).first()[0] or 0)
     n_shards, n_buckets = max(1, total // SHARD_HASHES + 1), max(1, total // shards.BUCKET_KEYS + 1)
@@ -298,11 +302,11 @@ def ordered(found: DataFrame) -> DataFrame:
             c = _lookup(keys, counts, t)
             t, c = t[c > 1], c[c > 1]
             if len(t) >= need(int(n)):
-                rows.append((sig, int(n), t[np.lexsort((t, -c))].tobytes()))
-        return pd.DataFrame(rows, columns=["sig", "n", "tokens"])
+                rows.append((sig, int(n), t[np.lexsort((t, -c))].tobytes(), float(np.log2(c).sum() / max(1, n))))
+        return pd.DataFrame(rows, columns=["sig", "n", "tokens", "common"])
 
     answers = shards.shared(dealt, blocks)
-    return materialize(dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(settle, "sig binary, n int, tokens binary"))
+    return materialize(dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(settle, "sig binary, n int, tokens binary, common double"))
 
 
 def _min_hashes(sets: DataFrame, keys: int = 2) -> DataFrame:
@@ -319,20 +323,28 @@ def _min_hashes(sets: DataFrame, keys: int = 2) -> DataFrame:
 
 
 def _tree_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("sig")
+    pdf = pdf.drop_duplicates("sig").sort_values(["common", "sig"], ascending=[False, True])
     sigs = pdf["sig"].tolist()
     found = block_links([_tokens(t) for t in pdf["tokens"]], [int(n) for n in pdf["n"]])
     return pd.DataFrame([(sigs[a], sigs[b]) for a, b in found], columns=["a", "b"])
 
 
 def tree_links(sets: DataFrame) -> DataFrame:
-    """Links found by the trees of sets that agree in a min-hash, in blocks of bounded size."""
-    keys = materialize(_min_hashes(sets))
-    groups = materialize(keys.groupBy("k", "h").agg(F.count("*").alias("m")).where("m > 1").withColumnsRenamed({"k": "k2", "h": "h2"}))
-    met = keys.join(groups, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")))
-    block = F.pmod(F.xxhash64("sig", "k"), F.ceil(F.col("m") / BLOCK_SETS))
-    placed = met.select(F.col("sig").alias("s2"), "k", "h", block.alias("block"))
-    return placed.join(sets, F.col("s2") == F.col("sig")).groupBy("k", "h", "block").applyInPandas(_tree_links, "a binary, b binary")
+    """Links found by the trees of sets that agree in a min-hash, in blocks of bounded size.
+
+    A group of several blocks gives each of them its CENTERS, sets whose hashes are the most common: copies of one text are
+    mostly nearer to it than to each other, so blocks of them meet there.
+    """
+    keys = materialize(_min_hashes(sets).join(sets.select(F.col("sig").alias("s2"), "common"), F.col("sig") == F.col("s2")).drop("s2"))
+    part = F.pmod(F.xxhash64("sig"), F.lit(CENTERS))
+    tops = [F.max(F.when(part == j, F.struct("common", "sig"))) for j in range(CENTERS)]
+    groups = keys.groupBy("k", "h").agg(F.count("*").alias("m"), F.array_compact(F.array(*tops)).alias("tops")).where("m > 1")
+    groups = materialize(groups.withColumn("blocks", F.ceil(F.col("m") / BLOCK_SETS)).withColumnsRenamed({"k": "k2", "h": "h2"}))
+    met = keys.join(groups.select("k2", "h2", "blocks"), (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")))
+    placed = met.select(F.col("sig").alias("s2"), "k", "h", F.pmod(F.xxhash64("sig", "k"), F.col("blocks")).alias("block"))
+    centers = groups.where("blocks > 1").select(F.explode("tops").alias("top"), F.col("k2").alias("k"), F.col("h2").alias("h"), "blocks")
+    centers = centers.select(F.col("top.sig").alias("s2"), "k", "h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    return placed.unionByName(centers).join(sets, F.col("s2") == F.col("sig")).groupBy("k", "h", "block").applyInPandas(_tree_links, "a binary, b binary")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -350,6 +362,20 @@ def classes(links: DataFrame) -> DataFrame:
         label = label.select("v", "root")
 
 
+def _heads(sets: DataFrame) -> DataFrame:
+    """hsig and head: each set's rarest hashes, rarest first, as in _rare()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = []
+            for whole, block in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                tokens = _tokens(block)
+                heads.append(tokens[::-1][: len(tokens) - need(whole) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(heads, pa.list_(pa.int64()))], ["hsig", "head"])
+
+    return sets.select("sig", "n", "tokens").mapInArrow(run, "hsig binary, head array<long>")
+
+
 def _rare(sets: DataFrame) -> DataFrame:
     """t, sig, n and i: each set's rarest hashes, among which a partner has one too; i counts from the rarest."""
 
@@ -378,15 +404,19 @@ def open_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
     by_class = rare.groupBy("t", "c").agg(F.count("*").alias("k"))
     mixed = by_class.groupBy("t").agg(F.count("*").alias("cs"), F.max(F.struct("k", "c")).alias("top")).where("cs > 1")
     mixed = materialize(mixed.select(F.col("t").alias("t2"), F.col("top.c").alias("top")))
-    inside = materialize(rare.join(mixed, F.col("t") == F.col("t2")).drop("t2"))
-    side = lambda p, d: d.select(*[F.col(c).alias(f"{p}{c}") for c in ("t", "sig", "n", "m", "i", "c", "top")])
+    inside = rare.join(mixed, F.col("t") == F.col("t2")).drop("t2")
+    inside = inside.join(_heads(sets), F.col("sig") == F.col("hsig")).withColumn("before", F.slice("head", F.lit(1), F.col("i")))
+    inside = materialize(inside.drop("head", "hsig"))
+    side = lambda p, d: d.select(*[F.col(c).alias(f"{p}{c}") for c in ("t", "sig", "n", "m", "i", "c", "top", "before")])
     few, all_ = side("x", inside.where("c <> top")), side("y", inside)
     least = F.ceil(F.lit(4) * (F.col("xn") + F.col("yn")) / 9)
     fits = (5 * F.col("xn") >= 4 * F.col("yn")) & (5 * F.col("yn") >= 4 * F.col("xn"))
     # the overlap after this hash and before it, at most
     left: Column = F.least("xi", "yi") + F.least(F.col("xm") - F.col("xi"), F.col("ym") - F.col("yi"))
     once = (F.col("yc") == F.col("ytop")) | (F.col("xsig") < F.col("ysig"))
-    pairs = few.join(all_, (F.col("xt") == F.col("yt")) & (F.col("xc") != F.col("yc")) & once & fits & (left >= least))
+    # a pair is made where its rarest shared hash is, and nowhere else
+    rarest = ~F.arrays_overlap("xbefore", "ybefore")
+    pairs = few.join(all_, (F.col("xt") == F.col("yt")) & (F.col("xc") != F.col("yc")) & once & fits & (left >= least) & rarest)
     ends = (F.least("xsig", "ysig").alias("x"), F.greatest("xsig", "ysig").alias("y"))
     return materialize(pairs.select(*ends).distinct())
 
