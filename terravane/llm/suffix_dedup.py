@@ -33,9 +33,10 @@ WINDOW, GRAM, SYMBOL = 50, 20, 8
 SHALLOW = 16
 #: Distinct keys that a byte of text brings, about: two for each stretch of WINDOW - GRAM + 2 bytes.
 KEYS_A_BYTE = 2 / (WINDOW - GRAM + 2)
-PART_KEYS = 500_000
-#: Bytes whose keys are computed at once.
+PART_KEYS = 200_000
+#: Bytes whose keys are computed at once; windows that are ordered at once.
 STRETCH = 1_000_000
+ORDERED = 300_000
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,6 +183,20 @@ def first_of(label: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return least[label]
 
 
+def key_batches(key: np.ndarray, count: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs in batches of about ORDERED windows, never dividing a key: equal windows have equal keys, so batches don't need each other."""
+    order = np.argsort(key, kind="stable")
+    last = np.flatnonzero(np.append(key[order][1:] != key[order][:-1], True)) + 1 if len(key) else np.zeros(0, np.int64)
+    total = np.cumsum(count[order])
+    at = 0
+    while at < len(order):
+        before = total[at - 1] if at else 0
+        end = int(np.searchsorted(total, before + ORDERED, side="right"))
+        end = int(last[np.searchsorted(last, max(end, at + 1))])
+        yield order[at:end]
+        at = end
+
+
 _ZSTD = zstandard.ZstdCompressor(level=1)
 
 
@@ -246,46 +261,58 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         known = np.sort(np.concatenate([shards.unpack(k) for k in answers["keys"]]))
         hit = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
         key, doc, place, count = key[hit], doc[hit], place[hit], count[hit]
-        places, docs, keys = _expand(place, count), np.repeat(doc, count), np.repeat(key, count)
-        label = deep_shallow(s.buf, places)
-        ids = s.ids[docs]
-        gone = ids > first_of(label, ids)
-        rows = [_remove(number, number % n_parts, *_as_runs(docs[gone], places[gone] - s.starts[docs[gone]]))] if gone.any() else []
-        # what stays of each content is in the document that has it first, perhaps several times
-        places, docs, keys = places[~gone], docs[~gone], keys[~gone]
+        out_docs, out_places, left = [], [], []
+        for o in key_batches(key, count):
+            places, docs = _expand(place[o], count[o]), np.repeat(doc[o], count[o])
+            ids = s.ids[docs]
+            gone = ids > first_of(deep_shallow(s.buf, places), ids)
+            out_docs.append(docs[gone])
+            out_places.append(places[gone])
+            # what stays of each content is in the document that has it first, perhaps several times
+            left.append((places[~gone], docs[~gone], np.repeat(key[o], count[o])[~gone]))
+        rows = []
+        if sum(map(len, out_docs)):
+            docs, places = np.concatenate(out_docs), np.concatenate(out_places)
+            by = np.argsort(places)
+            rows.append(_remove(number, number % n_parts, *_as_runs(docs[by], (places - s.starts[docs])[by])))
+        places, docs, keys = (np.concatenate([x[j] for x in left]) if left else np.zeros(0, np.int64) for j in range(3))
+        by = np.argsort(places)
+        places, docs, keys = places[by], docs[by], keys[by]
+        if not len(places):
+            return pd.DataFrame(rows, columns=["part", "shard", "kind", "block"])
         new = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1] + 1) | (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])]))
         n = np.diff(np.append(new, len(places)))
-        doc, place, part = docs[new], places[new], shards.bucket_of(keys[new], n_parts).astype(np.int64)
+        doc, place, key, part = docs[new], places[new], keys[new], shards.bucket_of(keys[new], n_parts).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
         for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
             o = order[a:b]
             text = s.buf[_expand(place[o], n[o] + WINDOW - 1)]
-            rows.append((int(part[o[0]]), number, 1, _pack(doc[o].astype("<i4"), (place[o] - s.starts[doc[o]]).astype("<i4"), n[o].astype("<i4"), s.ids[doc[o]], text)))
+            rows.append((int(part[o[0]]), number, 1, _pack(doc[o].astype("<i4"), (place[o] - s.starts[doc[o]]).astype("<i4"), n[o].astype("<i4"), s.ids[doc[o]], key[o].astype("<u8"), text)))
         return pd.DataFrame(rows, columns=["part", "shard", "kind", "block"])
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(int(r.shard), r.block) for r in pdf.itertuples() if r.kind == 0]
-        runs = [(int(r.shard), *_unpack(r.block, "<i4", "<i4", "<i4", "<i8", "u1")) for r in pdf.itertuples() if r.kind == 1]
-        if len(runs) > 1:
-            shard = np.repeat([r[0] for r in runs], [len(r[1]) for r in runs])
-            doc, place, n, ids = (np.concatenate([r[j] for r in runs]).astype(np.int64) for j in range(1, 5))
-            buf = np.concatenate([r[5] for r in runs])
-            size = n + WINDOW - 1
-            start = np.cumsum(size) - size
-            run = np.repeat(np.arange(len(n)), n)
-            places = _expand(start, n)
-            label = deep_shallow(buf, places)
-            gone = np.flatnonzero(ids[run] > first_of(label, ids[run]))
-            run, rel = run[gone], places[gone] - start[run[gone]]
-            owner = shard[run]
-            order = np.argsort(owner, kind="stable")
-            cuts = np.flatnonzero(np.diff(owner[order], prepend=-1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                o = order[a:b]
-                d, p = doc[run[o]], place[run[o]] + rel[o]
-                by = np.lexsort((p, d))
-                rows.append((int(owner[o[0]]), _remove(0, 0, *_as_runs(d[by], p[by]))[3]))
+        runs = [(int(r.shard), *_unpack(r.block, "<i4", "<i4", "<i4", "<i8", "<u8", "u1")) for r in pdf.itertuples() if r.kind == 1]
+        if len(runs) < 2:
+            return pd.DataFrame(rows, columns=["shard", "block"])
+        shard = np.repeat([r[0] for r in runs], [len(r[1]) for r in runs])
+        doc, place, n, ids = (np.concatenate([r[j] for r in runs]).astype(np.int64) for j in range(1, 5))
+        key, buf = np.concatenate([r[5] for r in runs]), np.concatenate([r[6] for r in runs])
+        size = n + WINDOW - 1
+        start = np.cumsum(size) - size
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for b in key_batches(key, n):
+            run, places = np.repeat(b, n[b]), _expand(start[b], n[b])
+            gone = ids[run] > first_of(deep_shallow(buf, places), ids[run])
+            run, places = run[gone], places[gone]
+            found.append((shard[run], doc[run], place[run] + places - start[run]))
+        owner, d, p = (np.concatenate([f[j] for f in found]) for j in range(3))
+        by = np.lexsort((p, d, owner))
+        owner, d, p = owner[by], d[by], p[by]
+        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(owner)), strict=True):
+            rows.append((int(owner[a]), _remove(0, 0, *_as_runs(d[a:b], p[a:b]))[3]))
         return pd.DataFrame(rows, columns=["shard", "block"])
 
     def finish(pdf: pd.DataFrame, verdicts: pd.DataFrame) -> pd.DataFrame:
