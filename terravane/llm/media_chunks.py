@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 UNIT = 64
-LEAST, MOST, CUT_BITS = 256, 8192, 10
+LEAST, MOST, CUT_BITS = 512, 16384, 11
 RATE = 8000
 
 
@@ -153,7 +153,8 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     foreign = lists.join(owners, "digest").where(~((F.col("k") == F.col("ok")) & (F.col("pos") == F.col("opos")))).select("k", "pos", "digest")
     foreign = materialize(foreign)
 
-    media = keyed.groupBy("_k").agg(F.first("_p").alias("_p"))
+    # both uses of media have the same filter, so that they share one exchange
+    media = keyed.where(F.col("_k").isNotNull()).groupBy("_k").agg(F.first("_p").alias("_p"))
     export_at = owners.groupBy("ok").agg(F.collect_list("opos").alias("at"))
 
     def export(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
