@@ -521,3 +521,19 @@ def brute_force(rows: list[tuple[int, str | None]]) -> Iterator[tuple[int, int,
         least[find(i)] = min(doc, least.get(find(i), doc))
     for i, (doc, _) in enumerate(rows):
         yield doc, len(sets[i]), least[find(i)] if sets[i] else doc
+
+
+def oracle_sql(table: str = "documents") -> str:
+    """DuckDB SQL for join_classes() of a table with doc_id and text: all pairs that share a shingle, then what links reach."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE src AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w FROM {table}),
+sh AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS g FROM src, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+pair AS (SELECT a.rid AS x, b.rid AS y, count(*) AS inter FROM sh a JOIN sh b USING (g) WHERE a.rid < b.rid GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y FROM pair JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * inter >= 80 * (nx.n + ny.n - inter)),
+both_ways AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(v, r) AS (SELECT x, x FROM both_ways UNION SELECT b.y, reach.r FROM reach JOIN both_ways b ON b.x = reach.v),
+least AS (SELECT v, min(doc_id) AS component FROM reach JOIN src ON src.rid = r GROUP BY v)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id FROM src LEFT JOIN n USING (rid) LEFT JOIN least ON v = src.rid
+"""

@@ -61,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.oracle_sql(), "op7_quality_rules": quality_rules.oracle_sql()}
+    return {"op3_license_scan": license_scan.oracle_sql(), "op7_quality_rules": quality_rules.oracle_sql(), "op9_ngram_join": ngram_join.oracle_sql()}
