@@ -266,7 +266,8 @@ def sets_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         found = {_signature(s): s for s in shingle_sets(shards.distinct_texts(pdf)["text"].tolist())}
-        return _ask([s[: first_hashes(len(s))[0]] for s in found.values() if len(s)], int(pdf["shard"].iloc[0]), n_buckets)
+        # a set's first hashes are small; mixed once more they are spread evenly over the buckets
+        return _ask([_mix(s[: first_hashes(len(s))[0]]) for s in found.values() if len(s)], int(pdf["shard"].iloc[0]), n_buckets)
 
     def settle(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         texts = shards.distinct_texts(pdf)
@@ -274,7 +275,7 @@ def sets_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         rows = []
         for key, doc, s in zip(texts["key"], texts["id"], shingle_sets(texts["text"].tolist()), strict=True):
             most, least = first_hashes(len(s)) if len(s) else (0, 1)
-            shared = int(np.count_nonzero(_lookup(keys, counts, s[:most]) > 1))
+            shared = int(np.count_nonzero(_lookup(keys, counts, _mix(s[:most])) > 1))
             rows.append((key, int(doc), len(s), _signature(s), s.astype("<u8").tobytes() if shared >= least else None))
         return pd.DataFrame(rows, columns=["key", "id", "n", "sig", "tokens"])
 
