@@ -104,7 +104,7 @@ _TRANSFER = f"""pair AS (SELECT a.stop_id AS from_stop, b.stop_id AS to_stop, {d
    WHERE a.stop_id <> b.stop_id AND abs(a.lat_e7 - b.lat_e7) < 80000 AND abs(a.lon_e7 - b.lon_e7) < 200000),
    transfer AS (SELECT *, {walk_s('meters')} AS seconds FROM pair WHERE meters <= 800)"""
 _EVENT_FX = ("stop", "trip", "stop_time", "route", "calendar", "exception")
-START_STOP, DEPART, TARGET_STOP, DEADLINE = 7, 25_000, 42, 60_000
+START_STOP, DEPART, TARGET_STOP, DEADLINE = 7, 25_000, 3, 60_000
 
 
 def _round(k: int, before: str) -> str:
