@@ -1,29 +1,33 @@
 """Byte-level BPE with the ranks of a vocabulary file: encoding by recursive queries, decoding by ordered aggregation.
 
-Each worker holds an in-memory DuckDB with the merge table (left and right id in one key, merged id). A text is cut by the vocabulary's
-pattern; each piece that is a token as a whole is that token, and for the others a recursive query runs over
-token-position rows: neighbouring rows join the merge table, each piece's leftmost pair of minimum rank is contracted, and
-pieces without a pair leave as finished, until none is left. Decoding joins token rows with the vocabulary
-and aggregates them in order of position.
+Each task opens an in-memory DuckDB with the merge table (left and right id in one key, merged id). A text is cut by the
+vocabulary's pattern; each piece that is a token as a whole is that token, and for the others a recursive query runs over
+token-position rows: a row carries the rank of the merge with its right neighbour, each word's leftmost pair of minimum
+rank is contracted, rows beside a merge look up their rank anew, and words without a pair leave as finished, until none is
+left. Decoding joins token rows with the vocabulary and aggregates them in order of position.
 
-Pieces repeat, so a worker remembers the tokens of up to MEMORY pieces; texts are taken in slices of bounded size, so memory
-doesn't grow with a partition. The merge table is a function of the vocabulary, which is sent once. One scan,
-no shuffle, and a lost executor's tasks run again from the input.
+Long pieces keep to the same query at a bearable cost by two rules that change no result: a piece of more than LONG bytes
+is cut into words where no vocabulary entry that occurs in it crosses, and a round contracts further pairs of the minimum
+rank with the leftmost one where no entry of a lower rank has the merged token as a part.
 
-Pieces of more than LONGEST bytes, where one row set for each merge would grow as the square of the piece, are merged
-with a heap instead, by the same rule.
+Pieces repeat, so a worker remembers the tokens of two generations of MEMORY pieces; the rest of what a task holds is given
+back when it ends. Texts are worked off in runs of RUN pieces and token ranges of RANGE, also inside one text, so memory follows neither
+the partition nor the number of a text's pieces. The merge table is a function of the vocabulary, which is sent once. One scan, no
+shuffle, and a lost executor's tasks run again from the input.
 
 Defined results: null and empty texts have no tokens and decode to no bytes. Special-token strings in a text are ordinary
-text. Repeated rows are encoded alike. Only id and text are read.
+text. Repeated rows are encoded alike. Only id and text are read; an empty table gives an empty result. One word that no rule
+cuts is held in the query as a whole, some hundred bytes a byte.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -32,27 +36,41 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONGEST = 64
-MEMORY = 400_000
-SLICE_CHARS = 2_000_000
-QUERY_PIECES = 40_000
+from .common import give_back
 
-#: k is (merged id, place, bytes of the left part, bytes of the merged token), so its minimum is the leftmost pair of minimum rank.
+LONG = 64
+MEMORY = 250_000
+RUN = 1_000_000
+RANGE = 100_000
+QUERY_BYTES = 400_000
+LONG_TEXT = 4_000_000
+NO_TOKEN = 1 << 19
+
+#: k of a row is (merged id, place, whether a round may contract the pair beside the leftmost one, bytes of the merged token),
+#: so a word's minimum is its leftmost pair of minimum rank. h, nxt: where a contracted pair begins and ends.
 ENCODE_SQL = """
-WITH RECURSIVE s(g, id, len, done) AS (
-  SELECT g, id, 1::BIGINT, false FROM start
+WITH RECURSIVE s(g, id, len, k, done) AS (
+  SELECT g, id, 1::BIGINT, m.k | ((g & 2147483647) << 12), false FROM start LEFT JOIN merges m ON m.lr = (id << 20 | nid)
   UNION ALL
-  (WITH live AS (SELECT g, id, len FROM s WHERE NOT done),
-   best AS (SELECT a.g >> 20 AS w, min((m.m << 30) | ((a.g & 1048575) << 20) | (m.llen << 10) | m.mlen) AS k
-            FROM live a JOIN live b ON b.g = a.g + a.len JOIN merges m ON m.lr = (a.id << 20 | b.id) GROUP BY 1)
-   SELECT g, CASE WHEN k IS NOT NULL AND (g & 1048575) = ((k >> 20) & 1023) THEN k >> 30 ELSE id END,
-          CASE WHEN k IS NOT NULL AND (g & 1048575) = ((k >> 20) & 1023) THEN k & 1023 ELSE len END, k IS NULL
-   FROM live LEFT JOIN best ON w = g >> 20
-   WHERE k IS NULL OR (g & 1048575) <> ((k >> 20) & 1023) + ((k >> 10) & 1023)))
+  (WITH live AS (SELECT g, id, len, k FROM s WHERE NOT done),
+   best AS (SELECT g >> 31 AS w, min(k) AS b FROM live GROUP BY 1),
+   pair AS MATERIALIZED (SELECT w, g, len, k, b FROM live JOIN best ON w = g >> 31 WHERE k >> 43 = b >> 43 AND (k = b OR (k >> 11) & 1 = 1)),
+   more AS (SELECT w, g, len, k, lag(g + len) OVER (PARTITION BY w ORDER BY g) AS before FROM pair WHERE w IN (SELECT w FROM pair WHERE k <> b)),
+   chain AS (SELECT *, sum(CASE WHEN before = g THEN 0 ELSE 1 END) OVER (PARTITION BY w ORDER BY g) AS c FROM more),
+   hit AS MATERIALIZED (
+     SELECT g AS h, g + len AS nxt, k >> 43 AS m, k & 2047 AS mlen FROM pair WHERE w NOT IN (SELECT w FROM pair WHERE k <> b)
+     UNION ALL SELECT g, g + len, k >> 43, k & 2047 FROM (SELECT * FROM chain QUALIFY row_number() OVER (PARTITION BY w, c ORDER BY g) % 2 = 1)),
+   after AS MATERIALIZED (
+     SELECT g, coalesce(x.m, id) AS id, coalesce(x.mlen, len) AS len, k, x.h IS NOT NULL OR y.h IS NOT NULL AS beside, b IS NULL AS done
+     FROM live JOIN best ON w = g >> 31 LEFT JOIN hit x ON x.h = g LEFT JOIN hit y ON y.h = g + len ANTI JOIN hit z ON z.nxt = g)
+   SELECT g, id, len, k, done FROM after WHERE NOT beside
+   UNION ALL
+   SELECT a.g, a.id, a.len, m.k | ((a.g & 2147483647) << 12), false
+   FROM after a LEFT JOIN after r ON r.g = a.g + a.len LEFT JOIN merges m ON m.lr = (a.id << 20 | r.id) WHERE a.beside))
 SELECT g, id FROM s WHERE done ORDER BY g
 """
 #: A token's bytes as the characters of the same numbers, so that text aggregation keeps them.
-DECODE_SQL = "SELECT doc, string_agg(tok, '' ORDER BY pos) AS text FROM tokens JOIN vocab USING (id) GROUP BY doc"
+DECODE_SQL = "SELECT part, string_agg(tok, '' ORDER BY pos) AS text FROM tokens JOIN vocab USING (id) GROUP BY part ORDER BY part"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,12 +79,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    rows = [(ranks[t[:i]] << 20 | ranks[t[i:]], r, i, len(t)) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    return pa.table({k: pa.array([r[j] for r in rows], pa.int64()) for j, k in enumerate(("lr", "m", "llen", "mlen"))})
+    """lr, the two ids of a pair, and k without its place."""
+    rows = [(ranks[t[:i]], ranks[t[i:]], r, len(t)) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    left, right, merged, size = np.array(rows, dtype=np.int64).reshape(-1, 4).T
+    lowest = np.full(max(ranks.values(), default=0) + 1, 1 << 40)  # the lowest rank of which a token is a part
+    np.minimum.at(lowest, left, merged)
+    np.minimum.at(lowest, right, merged)
+    return pa.table({"lr": left << 20 | right, "k": merged << 43 | (lowest[merged] > merged).astype(np.int64) << 11 | size})
 
 
 class Splitter:
-    """findall of the vocabulary's pattern; with the standard library's faster engine where it agrees on all of a text's characters."""
+    """All matches of the vocabulary's pattern; with the standard library's faster engine where it agrees on all of a text's characters."""
 
     # The pattern in the standard library's terms: letters are [^\W\d_], and what is neither letter nor number [^\s\w] or _
     _SAME = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -74,179 +97,242 @@ class Splitter:
     _STANDARD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, pattern: str) -> None:
-        self.slow, self.plain = regex.compile(pattern).findall, pattern == self._STANDARD
-
-    def __call__(self, text: str) -> list[str]:
-        return self._SAME.findall(text) if self.plain and not self._ODD.search(text) else self.slow(text)
+        self.slow, self.plain = regex.compile(pattern), pattern == self._STANDARD
+
+    def __call__(self, text: str) -> Iterator[list[str]]:
+        engine = self._SAME if self.plain and not self._ODD.search(text) else self.slow
+        if len(text) <= LONG_TEXT:
+            yield engine.findall(text)
+            return
+        found = engine.finditer(text)
+        while part := [m[0] for m in islice(found, RUN)]:
+            yield part
 
 
 class Codec:
-    """A worker's vocabulary, database and memory of pieces."""
+    """A task's vocabulary, database and memory of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], merges: pa.Table, pattern: str) -> None:
         self.ranks, self.split = ranks, Splitter(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
-        self.db.execute("SET preserve_insertion_order = true")
-        self.db.register("m0", merge_table(ranks))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM m0")
-        self.db.unregister("m0")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "2GB", "temp_directory": ""})
         vocab = pa.table({"id": pa.array(ranks.values(), pa.int64()), "tok": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
-        self.db.register("v0", vocab)
-        self.db.execute("CREATE TABLE vocab AS SELECT * FROM v0")
-        self.db.unregister("v0")
+        for name, rows in (("merges", merges), ("vocab", vocab)):
+            self.db.register("given", rows)
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+            self.db.unregister("given")
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.start, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self._begin: set[bytes] | None = None
+        self.old: tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray] = self._empty()
+        self.index, self.ids, self.start, self.length = self._empty()
+
+    @staticmethod
+    def _empty() -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+        return {}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @property
+    def memory(self) -> tuple:
+        return self.old, (self.index, self.ids, self.start, self.length)
+
+    @memory.setter
+    def memory(self, kept: tuple) -> None:
+        self.old, (self.index, self.ids, self.start, self.length) = kept
+
+    def words(self, piece: bytes) -> list[bytes]:
+        """A piece cut where no vocabulary entry that occurs in it crosses, so no merge does."""
+        if len(piece) <= LONG:
+            return [piece]
+        if self._begin is None:
+            self._begin = {t[:i] for t in self.ranks for i in range(1, len(t) + 1)}
+        begin, out, first, reach = self._begin, [], 0, 1
+        for i in range(len(piece)):
+            if i >= reach:
+                out.append(piece[first:i])
+                first = i
+            j, end = i + 1, i + 1
+            while j <= len(piece) and piece[i:j] in begin:
+                if piece[i:j] in self.ranks:
+                    end = j
+                j += 1
+            reach = max(reach, end)
+        return [*out, piece[first:]]
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of pieces, one after the other, and how many each has, by the recursive query."""
-        lens = np.array([len(p) for p in pieces], dtype=np.int64)
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
-        w = np.repeat(np.arange(len(pieces), dtype=np.int64), lens)
-        pos = np.arange(len(raw), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
-        self.db.register("start", pa.table({"g": (w << 20) | pos, "id": self.byte_id[raw]}))
+        words, owner = [], []
+        for k, p in enumerate(pieces):
+            cut = self.words(p)
+            words += cut
+            owner += [k] * len(cut)
+        lens = np.array([len(w) for w in words], dtype=np.int64)
+        ends = np.cumsum(lens)
+        ids = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        following = np.append(ids[1:], NO_TOKEN)
+        following[ends - 1] = NO_TOKEN
+        w = np.repeat(np.arange(len(words), dtype=np.int64), lens)
+        self.db.register("start", pa.table({"g": w << 31 | np.arange(len(ids)) - np.repeat(ends - lens, lens), "id": ids, "nid": following}))
         out = self.db.execute(ENCODE_SQL).fetchnumpy()
         self.db.unregister("start")
-        return np.asarray(out["id"], dtype=np.uint32), np.bincount(np.asarray(out["g"], dtype=np.int64) >> 20, minlength=len(pieces))
-
-    def merge_long(self, piece: bytes) -> list[int]:
-        """The same contraction of one long piece with a heap of (rank, place)."""
-        n = len(piece)
-        end = list(range(1, n + 1))  # where the token that starts here ends; -1 once it is part of another
-        left = list(range(-1, n - 1))
-
-        def rank(i: int) -> int | None:
-            j = end[i]
-            return self.ranks.get(piece[i : end[j]]) if j < n else None
-
-        heap = [(r, i, 1, i + 2) for i in range(n - 1) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        heap = [(r, i, i + 1, i + 2) for r, i, _, _ in heap]
-        heapq.heapify(heap)
-        while heap:
-            r, i, j, k = heapq.heappop(heap)
-            if end[i] != j or j >= n or end[j] != k:
-                continue
-            end[i], end[j] = k, -1
-            if k < n:
-                left[k] = i
-                if (r2 := rank(i)) is not None:
-                    heapq.heappush(heap, (r2, i, k, end[k]))
-            if left[i] >= 0 and (r2 := rank(left[i])) is not None:
-                heapq.heappush(heap, (r2, left[i], i, k))
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[piece[i : end[i]]])
-            i = end[i]
-        return out
+        piece = np.array(owner, dtype=np.int64)[np.asarray(out["g"], dtype=np.int64) >> 31]
+        return np.asarray(out["id"], dtype=np.uint32), np.bincount(piece, minlength=len(pieces))
 
     def learn(self, pieces: list[str]) -> None:
         """Work out and remember the tokens of pieces that are not in memory."""
-        ids: list[np.ndarray] = []
-        lens: list[np.ndarray] = []
         raw = [p.encode() for p in pieces]
         whole = [self.ranks.get(b) for b in raw]
-        hard = [k for k, (b, r) in enumerate(zip(raw, whole, strict=True)) if r is None and len(b) <= LONGEST]
         order = [k for k, r in enumerate(whole) if r is not None]
-        ids.append(np.array([whole[k] for k in order], dtype=np.uint32))
-        lens.append(np.ones(len(order), dtype=np.int64))
-        for at in range(0, len(hard), QUERY_PIECES):
-            got, n = self.merge([raw[k] for k in hard[at : at + QUERY_PIECES]])
-            ids.append(got)
-            lens.append(n)
-        order += hard
-        for k, (b, r) in enumerate(zip(raw, whole, strict=True)):
-            if r is None and len(b) > LONGEST:
-                found = self.merge_long(b)
-                ids.append(np.array(found, dtype=np.uint32))
-                lens.append(np.array([len(found)]))
-                order.append(k)
+        ids = [np.array([whole[k] for k in order], dtype=np.uint32)]
+        lens = [np.ones(len(order), dtype=np.int64)]
+        part: list[int] = []
+        size = 0
+        for k, r in enumerate(whole):
+            if r is None:
+                part.append(k)
+                size += len(raw[k])
+            if part and (size >= QUERY_BYTES or k == len(whole) - 1):
+                got, n = self.merge([raw[i] for i in part])
+                ids.append(got)
+                lens.append(n)
+                order += part
+                part, size = [], 0
+        self._remember([pieces[k] for k in order], np.concatenate(ids), np.concatenate(lens))
+
+    def _remember(self, pieces: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         base = len(self.start)
-        self.index |= {pieces[k]: base + j for j, k in enumerate(order)}
-        n = np.concatenate(lens)
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
-        self.length = np.concatenate([self.length, n])
-        self.ids = np.concatenate([self.ids, *ids])
+        self.index.update(zip(pieces, range(base, base + len(pieces)), strict=True))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lens) - lens])
+        self.length = np.concatenate([self.length, lens])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _coded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of pieces, one after the other, and how many each has."""
+        new = set(pieces).difference(self.index)
+        known, ids, start, length = self.old
+        again = [p for p in new if p in known]
+        if again:
+            at = np.array([known[p] for p in again])
+            self._remember(again, _ranges(ids, start[at], length[at]), length[at])
+            new.difference_update(again)
+        if new:
+            self.learn(list(new))
+        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        out = _ranges(self.ids, self.start[at], self.length[at]), self.length[at]
+        if len(self.index) > MEMORY:
+            self.old = self.index, self.ids, self.start, self.length
+            self.index, self.ids, self.start, self.length = self._empty()
+        return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """Token ids of each text."""
+        out: list[list[np.ndarray]] = []
         pieces: list[str] = []
-        n = []
-        for t in texts:
-            found = self.split(t)
-            pieces += found
-            n.append(len(found))
-        if not pieces:
-            return [np.zeros(0, dtype=np.uint32) for _ in texts]
-        coded = pa.array(pieces, pa.string()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.index) + len(distinct) > MEMORY:
-            self.forget()
-        if new := [p for p in distinct if p not in self.index]:
-            self.learn(new)
-        piece = np.array([self.index[p] for p in distinct])[coded.indices.to_numpy(zero_copy_only=False)]
-        lens = self.length[piece]
-        ends = np.cumsum(lens)
-        ids = self.ids[np.repeat(self.start[piece] - (ends - lens), lens) + np.arange(ends[-1])]
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def decode(self, docs: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each list of ids, by ordered aggregation of token rows."""
-        lens = np.array([len(d) for d in docs], dtype=np.int64)
-        out = [b""] * len(docs)
-        if not lens.sum():
-            return out
-        ids = np.concatenate(docs).astype(np.int64)
-        rows = {"doc": np.repeat(np.arange(len(docs)), lens), "pos": np.arange(len(ids)), "id": ids}
-        self.db.register("tokens", pa.table(rows))
-        for doc, text in self.db.execute(DECODE_SQL).fetchall():
-            out[doc] = text.encode("latin-1")
+        owner: list[tuple[int, int]] = []
+
+        def work_off() -> None:
+            if pieces:
+                ids, lens = self._coded(pieces)
+                cut = np.concatenate([[0], np.cumsum(lens)])[np.cumsum([0, *[n for _, n in owner]])]
+                for (d, _), a, b in zip(owner, cut, cut[1:], strict=False):
+                    out[d].append(ids[a:b])
+            pieces.clear()
+            owner.clear()
+
+        for d, t in enumerate(texts):
+            out.append([])
+            for found in self.split(t):
+                pieces += found
+                owner.append((d, len(found)))
+                if len(pieces) >= RUN:
+                    work_off()
+        work_off()
+        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.uint32), *x]) for x in out]
+
+    def decode(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The bytes of a list of ids, range by range."""
+        return (b for _, b in self.decoded([ids]))
+
+    def decoded(self, docs: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        """(which list, bytes of its next range of ids) of lists of ids, by ordered aggregation of token rows."""
+        owner, parts, size = [], [], 0
+        for d, ids in enumerate(docs):
+            for at in range(0, len(ids), RANGE):
+                owner.append(d)
+                parts.append(ids[at : at + RANGE])
+                size += len(parts[-1])
+                if size >= RUN:
+                    yield from self._aggregate(owner, parts)
+                    owner, parts, size = [], [], 0
+        if parts:
+            yield from self._aggregate(owner, parts)
+
+    def _aggregate(self, owner: list[int], parts: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        lens = np.array([len(p) for p in parts], dtype=np.int64)
+        ids = np.concatenate(parts).astype(np.int64)
+        self.db.register("tokens", pa.table({"part": np.repeat(np.arange(len(parts)), lens), "pos": np.arange(len(ids)), "id": ids}))
+        found = self.db.execute(DECODE_SQL).fetchall()
         self.db.unregister("tokens")
-        return out
+        return ((owner[part], text.encode("latin-1")) for part, text in found)
+
 
+def _ranges(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """values[start : start + length] of each pair, one after the other."""
+    if not len(start):
+        return values[:0]
+    ends = np.cumsum(length)
+    return values[np.repeat(start - (ends - length), length) + np.arange(ends[-1])]
 
-_codecs: dict[int, Codec] = {}
 
+_memory: dict[tuple, tuple] = {}
 
-def codec(ranks: dict[bytes, int], pattern: str, key: int) -> Codec:
-    """This worker's codec; the worker keeps it from task to task."""
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
-    return _codecs[key]
 
+@contextmanager
+def codec(sent, key: tuple) -> Iterator[Codec]:  # noqa: ANN001
+    """A codec for one task. Its database ends with the task; the memory of pieces stays with the worker, for one vocabulary."""
+    c = Codec(*sent.value, key[-1])
+    if key in _memory:
+        c.memory = _memory[key]
+    try:
+        yield c
+    finally:
+        c.db.close()
+        _memory.clear()
+        _memory[key] = c.memory
+        del c
+        give_back()
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
+
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """A column's texts in lists of about LONG_TEXT characters."""
+    part: list[str] = []
+    size = 0
     for t in texts:
-        if part and size + len(t) > SLICE_CHARS:
+        part.append(t.as_py())
+        size += len(part[-1])
+        if size >= LONG_TEXT:
             yield part
             part, size = [], 0
-        part.append(t)
-        size += len(t)
     if part:
         yield part
 
 
+def _vocabulary(df: DataFrame, path: str, pattern: str) -> tuple:
+    """The ranks and their merge table for every executor, of a vocabulary file's fixed size, and what tells vocabularies apart."""
+    ranks = load_ranks(path)
+    digest = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    return df.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks))), (digest, pattern)
+
+
 def _mapped(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, fields: str, make) -> DataFrame:  # noqa: ANN001
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranks = load_ranks(path)
-    key = hash((path, len(ranks), pattern))
-    sent = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file's fixed size
+    sent, key = _vocabulary(df, path, pattern)
     names = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(sent.value, pattern, key)
-        for b in batches:
-            at = 0
-            for part in _slices(b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), *make(c, part)], ["id", *names])
-                at += len(part)
+        with codec(sent, key) as c:
+            for b in batches:
+                at = 0
+                for part in _slices(b.column(1)):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), *make(c, part)], ["id", *names])
+                    at += len(part)
 
     return base.mapInArrow(run, f"id {dict(base.dtypes)['id']}, {fields}").withColumnRenamed("id", id_col)
 
@@ -263,15 +349,13 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and decoded, the bytes of the ids; null ids give no bytes."""
     base = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    ranks = load_ranks(path)
-    key = hash((path, len(ranks), pattern))
-    sent = df.sparkSession.sparkContext.broadcast(ranks)
+    sent, key = _vocabulary(df, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(sent.value, pattern, key)
-        for b in batches:
-            lists = [np.array(x or [], dtype=np.int64) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.decode(lists), pa.binary())], ["id", "decoded"])
+        with codec(sent, key) as c:
+            for b in batches:
+                out = [b"".join(c.decode(np.array(x.as_py() or [], dtype=np.int64))) for x in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "decoded"])
 
     return base.mapInArrow(run, f"id {dict(base.dtypes)['id']}, decoded binary").withColumnRenamed("id", id_col)
 
@@ -281,7 +365,10 @@ def digest(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def make(c: Codec, part: list[str]) -> list[pa.Array]:
         ids = c.encode(part)
-        sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
-        return [pa.array([len(x) for x in ids], pa.int64()), sha(x.astype("<u4").tobytes() for x in ids), sha(c.decode(ids))]
+        sums = [hashlib.sha256() for _ in ids]
+        for d, raw in c.decoded(ids):
+            sums[d].update(raw)
+        coded = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(coded), pa.array([s.hexdigest() for s in sums])]
 
     return _mapped(df, id_col, text_col, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)

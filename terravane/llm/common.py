@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,23 +20,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder for this application's tables, which goes when the application ends: in spark.checkpoint.dir, which driver and
+    executors share, or on a local master, where that may be unset (tests), in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    global _own
-    if _own is None:
-        _own = os.path.join(tempfile.gettempdir(), f"terravane-{os.getpid()}")
-    return _own
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{found.rstrip('/')}/terravane-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
-_own: str | None = None
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the system, so that it isn't counted against the next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and the rows survive lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/terravane/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
