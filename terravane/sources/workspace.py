@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: str | None = None
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (one machine, tests)."""
-    global _own
+    """The folder for this application's tables, which goes when the application ends: in spark.checkpoint.dir, which driver and
+    executors share, or on a local master, where that may be unset (tests), in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if _own is None:
-        _own = os.path.join(tempfile.gettempdir(), f"terravane-{os.getpid()}")
-    return _own
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{found.rstrip('/')}/terravane-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a table and read it back: its lineage ends there and lost executors don't take it along."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/terravane/{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
