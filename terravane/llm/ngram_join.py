@@ -12,9 +12,9 @@ A document's set is its distinct 5-word shingles (as 64-bit hashes of the lower-
    remainder below can't reach the least overlap that the smallest set below needs, or where a leaf is in the probe's class
    already. That finds nearly all links that matter.
 4. The rest of the links, exactly: two linked sets share a hash among the rarest |set| - ceil(0.8 n) + 1 of each. Where such
-   a hash has sets of different classes, the members outside its largest class are paired with those of other
-   classes, each pair at its rarest shared hash only; length and position bounds prune, and the pairs that remain are
-   probed in the same trees.
+   a hash has sets of different classes whose sizes and places allow a link at their rarest shared hash, the members
+   outside its largest class probe trees of the others, in blocks of bounded size by hash and size band; where a hash
+   has few sets, an equi-join on hash and band names the pairs first.
 
 Classes are found by label propagation over Spark tables. A hash that a third of all rows have is one entry a shard in
 1 and 2, is split into blocks in 3, and in 4 costs nothing where its sets are one class. No step collects links,
@@ -28,6 +28,7 @@ Rows keep their number; repeated rows are in one class. Only id and text are rea
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,7 +211,7 @@ class Trie:
 
 def block_links(sets: list[np.ndarray], wholes: list[int]) -> list[tuple[int, int]]:
     """Links that join a block's sets to the classes that all its links make."""
-    every, index = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, np.int64))
+    numbered, size = _numbered(sets)
     parent = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -219,10 +220,8 @@ def block_links(sets: list[np.ndarray], wholes: list[int]) -> list[tuple[int, in
             i = parent[i]
         return i
 
-    trie, out, at = Trie(len(every)), [], 0
-    for i, s in enumerate(sets):
-        tokens = index[at : at + len(s)]
-        at += len(s)
+    trie, out = Trie(size), []
+    for i, tokens in enumerate(numbered):
         for j, overlap in trie.probe(tokens, wholes[i], lambda e, i=i: find(e) == find(i)):
             if find(i) != find(j) and linked(overlap, wholes[i], wholes[j]):
                 parent[find(i)] = find(j)
@@ -378,11 +377,11 @@ def _heads(sets: DataFrame) -> DataFrame:
 
 
 def _rare(sets: DataFrame) -> DataFrame:
-    """t, sig, n and i: each set's rarest hashes, among which a partner has one too; i counts from the rarest."""
+    """t, sig, n, m, i and p: each set's rarest hashes, among which a partner has one too; i counts from the rarest, p is the hash before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, t, n, i, m = [], [], [], [], []
+            sig, t, n, i, m, p = [], [], [], [], [], []
             for s, whole, block in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 tokens = _tokens(block)
                 k = len(tokens) - need(whole) + 1
@@ -391,35 +390,98 @@ def _rare(sets: DataFrame) -> DataFrame:
                 n += [whole] * len(t[-1])
                 m += [len(tokens)] * len(t[-1])
                 i += range(len(t[-1]))
+                p += [None, *t[-1][:-1].tolist()][: len(t[-1])]
             flat = np.concatenate(t) if t else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(i, pa.int32())], ["t", "sig", "n", "m", "i"])
+            ints = [pa.array(x, pa.int32()) for x in (n, m, i)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(sig, pa.binary()), *ints, pa.array(p, pa.int64())], ["t", "sig", "n", "m", "i", "p"])
+
+    return sets.select("sig", "n", "tokens").mapInArrow(run, "t long, sig binary, n int, m int, i int, p long")
+
 
-    return sets.select("sig", "n", "tokens").mapInArrow(run, "t long, sig binary, n int, m int, i int")
+def _band(n: Column) -> Column:
+    """Sizes in steps of about a tenth."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(1.1))).cast("int")
 
 
-def open_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """x and y: sets of different classes that share a rare hash and whose lengths and places allow a link (written)."""
-    rare = _rare(sets).join(found, F.col("sig") == F.col("v"), "left").select("t", "sig", "n", "m", "i", F.coalesce("root", "sig").alias("c"))
-    rare = materialize(rare)
+def open_sets(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """t, sig, n, m, i, c (class), top, lo, hi and before: where sets of different classes may meet at their rarest shared hash (written).
+
+    lo and hi are the sizes that a partner can have whose rarest shared hash this is: the overlap is then at most m - i. A hash
+    before which all its sets have one and the same other hash is nobody's rarest shared one and goes.
+    """
+    room = F.floor(F.lit(9) * (F.col("m") - F.col("i")) / 4) - F.col("n")
+    rare = _rare(sets).withColumns({"lo": F.ceil(F.lit(4) * F.col("n") / 5).cast("int"), "hi": F.least(F.floor(F.lit(5) * F.col("n") / 4), room).cast("int")})
+    rare = materialize(rare.join(found, F.col("sig") == F.col("v"), "left").withColumn("c", F.coalesce("root", "sig")).drop("v", "root"))
     # hashes with sets of two classes at least, and their largest class
-    by_class = rare.groupBy("t", "c").agg(F.count("*").alias("k"))
-    mixed = by_class.groupBy("t").agg(F.count("*").alias("cs"), F.max(F.struct("k", "c")).alias("top")).where("cs > 1")
+    by_class = rare.groupBy("t", "c").agg(F.count("*").alias("k"), F.count("p").alias("ps"), F.min("p").alias("p1"), F.max("p").alias("p2"), F.min("n").alias("n1"), F.max("n").alias("n2"),
+                                          F.min("lo").alias("lo1"), F.max("hi").alias("hi2"))
+    mixed = by_class.groupBy("t").agg(
+        F.count("*").alias("cs"), F.max(F.struct("k", "c")).alias("top"), ((F.sum("k") == F.sum("ps")) & (F.min("p1") == F.max("p2"))).alias("late"),
+        F.min("n1").alias("n1"), F.max("n2").alias("n2"), F.min("lo1").alias("lo1"), F.max("hi2").alias("hi2"),
+    )
+    mixed = mixed.where((F.col("cs") > 1) & ~F.coalesce("late", F.lit(False)) & (F.col("n1") <= F.col("hi2")) & (F.col("lo1") <= F.col("n2")))
     mixed = materialize(mixed.select(F.col("t").alias("t2"), F.col("top.c").alias("top")))
-    inside = rare.join(mixed, F.col("t") == F.col("t2")).drop("t2")
+    inside = rare.where("lo <= hi").join(mixed, F.col("t") == F.col("t2")).drop("t2", "p")
     inside = inside.join(_heads(sets), F.col("sig") == F.col("hsig")).withColumn("before", F.slice("head", F.lit(1), F.col("i")))
-    inside = materialize(inside.drop("head", "hsig"))
-    side = lambda p, d: d.select(*[F.col(c).alias(f"{p}{c}") for c in ("t", "sig", "n", "m", "i", "c", "top", "before")])
-    few, all_ = side("x", inside.where("c <> top")), side("y", inside)
+    return materialize(inside.drop("head", "hsig").withColumn("band", _band(F.col("n"))))
+
+
+def open_links(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """a and b: the links between sets of different classes.
+
+    The sets of a hash are split by size band. A band of up to BLOCK_SETS sets meets by an equi-join on hash and band; a larger one
+    is cut into blocks of that many, each block stores its sets in a tree, and each set outside the hash's largest class
+    probes the blocks of the bands that its partners can be in.
+    """
+    inside = open_sets(sets, found)
+    count = inside.groupBy("t", "band").agg(F.count("*").alias("k")).withColumn("blocks", F.ceil(F.col("k") / BLOCK_SETS)).drop("k")
+    count = materialize(count.withColumnsRenamed({"t": "t3", "band": "band3"}))
+    bands = F.explode(F.sequence(_band(F.col("lo")), _band(F.col("hi")))).alias("band")
+    probes = inside.where("c <> top").select("t", "sig", "n", "m", "i", "c", "lo", "hi", "before", bands)
+    side = lambda p, d: d.select(*[F.col(c).alias(f"{p}{c}") for c in d.columns])
+    here = (F.col("t") == F.col("t3")) & (F.col("band") == F.col("band3"))
+    dealt_x, dealt_y = probes.join(count, here).drop("t3", "band3"), inside.join(count, here).drop("t3", "band3")
+
+    few, all_ = side("x", dealt_x.where("blocks = 1").drop("blocks")), side("y", dealt_y.where("blocks = 1").drop("blocks"))
     least = F.ceil(F.lit(4) * (F.col("xn") + F.col("yn")) / 9)
-    fits = (5 * F.col("xn") >= 4 * F.col("yn")) & (5 * F.col("yn") >= 4 * F.col("xn"))
-    # the overlap after this hash and before it, at most
-    left: Column = F.least("xi", "yi") + F.least(F.col("xm") - F.col("xi"), F.col("ym") - F.col("yi"))
+    fits = F.col("yn").between(F.col("xlo"), F.col("xhi")) & F.col("xn").between(F.col("ylo"), F.col("yhi"))
+    left = F.least(F.col("xm") - F.col("xi"), F.col("ym") - F.col("yi")) >= least
     once = (F.col("yc") == F.col("ytop")) | (F.col("xsig") < F.col("ysig"))
     # a pair is made where its rarest shared hash is, and nowhere else
     rarest = ~F.arrays_overlap("xbefore", "ybefore")
-    pairs = few.join(all_, (F.col("xt") == F.col("yt")) & (F.col("xc") != F.col("yc")) & once & fits & (left >= least) & rarest)
-    ends = (F.least("xsig", "ysig").alias("x"), F.greatest("xsig", "ysig").alias("y"))
-    return materialize(pairs.select(*ends).distinct())
+    pairs = few.join(all_, (F.col("xt") == F.col("yt")) & (F.col("xband") == F.col("yband")) & (F.col("xc") != F.col("yc")) & once & fits & left & rarest)
+    pairs = materialize(pairs.select(F.least("xsig", "ysig").alias("x"), F.greatest("xsig", "ysig").alias("y")).distinct())
+
+    stored = dealt_y.where("blocks > 1").select("t", "band", F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("block"), "sig", "c", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    asked = dealt_x.where("blocks > 1").select("t", "band", every, "sig", "c", "lo", "hi")
+    met = materialize(stored.unionByName(asked))
+    whole = sets.select(F.col("sig").alias("s2"), "n", "tokens")
+    wide = met.join(whole, F.col("sig") == F.col("s2")).drop("s2").groupBy("t", "band", "block").applyInPandas(_block_probes, "a binary, b binary")
+    return probe_pairs(pairs, sets).union(wide)
+
+
+def _block_probes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of a block: rows with hi = 0 are stored in a tree, the others probe it."""
+    pdf = pdf.sort_values(["hi", "sig"], kind="mergesort")
+    index, size = _numbered([_tokens(t) for t in pdf["tokens"]])
+    rows = list(zip(pdf["sig"], pdf["c"], pdf["n"], pdf["lo"], pdf["hi"], index, strict=True))
+    kept = [r for r in rows if r[4] == 0]
+    trie = Trie(size)
+    for k, r in enumerate(kept):
+        trie.add(k, r[5], int(r[2]))
+    out = []
+    for sig, c, n, lo, hi, tokens in rows[len(kept) :]:
+        skip = lambda k: kept[k][1] == c or not lo <= kept[k][2] <= hi  # noqa: B023, E731
+        out += [(sig, kept[k][0]) for k, o in trie.probe(tokens, int(n), skip) if not skip(k) and linked(o, int(n), int(kept[k][2]))]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _numbered(parts: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """Sets with their hashes as numbers from 0, and how many numbers there are."""
+    every, index = np.unique(np.concatenate(parts), return_inverse=True) if parts else (np.zeros(0), np.zeros(0, np.int64))
+    cut = np.cumsum([0, *map(len, parts)])
+    return [index[a:b] for a, b in zip(cut, cut[1:], strict=False)], len(every)
 
 
 def probe_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -437,13 +499,11 @@ def probe_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 while end < len(rows) and rows[end][0] == rows[at][0] and end - at < BLOCK_SETS:
                     end += 1
                 x, n, block = rows[at][:3]
-                parts = [_tokens(block), *[_tokens(r[5]) for r in rows[at:end]]]
-                every, index = np.unique(np.concatenate(parts), return_inverse=True)
-                cut = np.cumsum([0, *map(len, parts)])
-                trie = Trie(len(every))
+                numbered, size = _numbered([_tokens(block), *[_tokens(r[5]) for r in rows[at:end]]])
+                trie = Trie(size)
                 for k, r in enumerate(rows[at:end]):
-                    trie.add(k, index[cut[k + 1] : cut[k + 2]], r[4])
-                out += [(x, rows[at + k][3]) for k, o in trie.probe(index[: cut[1]], n, lambda e: False) if linked(o, n, rows[at + k][4])]
+                    trie.add(k, numbered[k + 1], r[4])
+                out += [(x, rows[at + k][3]) for k, o in trie.probe(numbered[0], n, lambda e: False) if linked(o, n, rows[at + k][4])]
                 at = end
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.binary()) for j in (0, 1)], ["a", "b"])
 
@@ -455,7 +515,7 @@ def _classified(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     found = sets_of(df, id_col, text_col)
     sets = ordered(found)
     first = classes(tree_links(sets))
-    late = probe_pairs(open_pairs(sets, first), sets)
+    late = materialize(open_links(sets, first))
     # links between classes, by the classes' roots
     root = lambda d, c: d.join(first, F.col(c) == F.col("v"), "left").withColumn(c, F.coalesce("root", c)).drop("v", "root")
     merged = classes(root(root(late, "a"), "b"))
@@ -485,10 +545,12 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The table with one row of each class: the least id, then the least hash of its text. Rows without words all stay."""
     found, own = _classified(df, id_col, text_col)
     first = own.groupBy("r").agg(F.min("least").alias("least")).select(F.col("least.id").alias("i2"), F.col("least.key").alias("k2"))
-    docs = df.withColumns({"_i1": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_k1": _key(text_col)})
-    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    kept = docs.where(worded).join(first, (F.col("_k1") == F.col("k2")) & (F.col("_i1") == F.col("i2")), "left_semi").dropDuplicates(["_k1", "_i1"])
-    return kept.unionByName(docs.where(~worded)).drop("_i1", "_k1")
+    # the table's own columns travel by position, so no name of theirs can clash
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own_columns = [F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(df.columns)]
+    docs = df.select(*own_columns, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("i1"), _key(text_col).alias("k1"), text.rlike(r"[^ \t\n\x0B\f\r]").alias("worded"))
+    kept = docs.where("worded").join(first, (F.col("k1") == F.col("k2")) & (F.col("i1") == F.col("i2")), "left_semi").dropDuplicates(["k1", "i1"])
+    return kept.unionByName(docs.where("NOT worded")).select(*[F.col(f"c{j}").alias(c) for j, c in enumerate(df.columns)])
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> Iterator[tuple[int, int, int]]:
