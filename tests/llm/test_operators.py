@@ -89,14 +89,6 @@ def test_quality_verdict_survives_a_filter(spark):
     assert not judged.where("kept and base_failed").count()
 
 
-def test_licences(spark):
-    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."]
-    mit += ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."]
-    rows = [(1, "\n".join(mit)), (2, "\n".join(mit[::-1])), (3, "x. Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."), (4, None), (5, "")]
-    found = dict(got(license_scan.digest(frame(spark, rows)), "doc_id", "licenses"))
-    assert found == {1: "MIT", 2: "", 3: "Apache-2.0,MIT", 4: "", 5: ""}
-
-
 def base_secrets(t):
     t = t or ""
     out = []
