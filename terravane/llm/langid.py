@@ -3,7 +3,8 @@ no language knows falls back to the longest character n-grams of it that are kno
 
 Learning counts the words of a sample of at most docs_per_lang labelled documents a language (in expectation; the
 sample is drawn by a hash of the id, so reruns agree) with Spark aggregations, and keeps the most frequent max_words words
-and max_grams n-grams, so the model that travels to the executors has a fixed size bound whatever the corpus has.
+and max_grams n-grams of each language, so a small language keeps its vocabulary beside large ones and the model that travels
+to the executors has at most (max_words + max_grams) rows a language, whatever the corpus has.
 Prediction is one scan in Arrow batches without a shuffle.
 
 Defined results: null text and text without a letter give und with score 0, as does everything if no row could be
@@ -19,13 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out
 
 LONGEST_GRAM = 4
+#: Words are runs of letters, \p{L}; the standard library's faster engine agrees on texts without the characters of _ODD.
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
+_ODD = re.compile("[²³¹¼-¾ɐ-\U0010ffff]")
 #: Words without an entry that a worker remembers the scores of, before it starts anew.
 MEMORY = 150_000
 
@@ -45,15 +50,29 @@ def _grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def words_of(text: str | None) -> list[str]:
+    """The lower-cased words of a text."""
+    low = (text or "").lower()
+    return (_LETTERS if _ODD.search(low) else _WORD).findall(low)
+
+
 def _cut(padded: Column, n: int) -> Column:
     """The n-grams of a padded word, as _grams() has them."""
     every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
     return F.filter(every, lambda g: F.length(g) == n)
 
 
+def _most_frequent(counted: DataFrame, column: str, most: int, every: DataFrame) -> list:
+    """Each language's most frequent entries of counted, with their counts in all languages; the tables come from the bounded sample."""
+    order = Window.partitionBy("_lang").orderBy(F.desc("n"), column)
+    chosen = counted.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select(column).distinct()
+    by = F.map_from_entries(F.collect_list(F.struct("_lang", "n"))).alias("by")
+    return every.join(chosen, column, "left_semi").groupBy(column).agg(by).orderBy(column).collect()
+
+
 def learn(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    docs_per_lang: int = 3000, max_words: int = 40_000, max_grams: int = 40_000,
+    docs_per_lang: int = 3000, max_words: int = 20_000, max_grams: int = 15_000,
 ) -> Model:
     """Learn from rows outside the held-out fifth that have a language."""
     rows = df.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
@@ -66,13 +85,11 @@ def learn(
     sample = rows.where(F.pmod(F.xxhash64("_id", "_lang"), F.lit(1 << 20)) < share * (1 << 20))
     counted = sample.select("_lang", F.explode(F.split(F.lower("_text"), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("_lang", "w").agg(F.count("*").alias("n"))
     counted = counted.persist()
-    by_word = counted.groupBy("w").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("_lang", "n"))).alias("by"))
-    top = by_word.where("total >= 2").orderBy(F.desc("total"), "w").limit(max_words).collect()
+    top = _most_frequent(counted.where("n >= 2"), "w", max_words, counted)
     padded = counted.select("_lang", F.concat(F.lit("^"), "w", F.lit("$")).alias("p"), "n")
     cut = [_cut(F.col("p"), k) for k in range(1, LONGEST_GRAM + 1)]
     grams = padded.select("_lang", "n", F.explode(F.flatten(F.array(*cut))).alias("g")).groupBy("_lang", "g").agg(F.sum("n").alias("n"))
-    by_gram = grams.groupBy("g").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("_lang", "n"))).alias("by"))
-    top_grams = by_gram.orderBy(F.desc("total"), "g").limit(max_grams).collect()
+    top_grams = _most_frequent(grams, "g", max_grams, grams)
     totals = {r["_lang"]: r["n"] for r in counted.groupBy("_lang").agg(F.sum("n").alias("n")).collect()}
     counted.unpersist()
 
@@ -112,7 +129,7 @@ class Scorer:
         return self.used - 1
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall((text or "").lower())
+        words = words_of(text)
         if not words or not self.m.langs:
             return "und", 0.0
         total = np.zeros(len(self.m.langs))
@@ -142,7 +159,7 @@ class Scorer:
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, lang_pred and score."""
     base = df.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    sent = df.sparkSession.sparkContext.broadcast(model)  # at most max_words + max_grams rows
+    sent = df.sparkSession.sparkContext.broadcast(model)  # at most max_words + max_grams rows a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
