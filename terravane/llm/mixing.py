@@ -8,8 +8,9 @@ number of documents:
 * flight, in blocks: the probabilities of three documents at a time move along the null space of the two
   balancing constraints until one of them is 0 or 1, which leaves at most two undecided documents a block;
 * the undecided documents of many blocks meet in blocks of the next level, until one block a source is left;
-* landing: what is left of a source, at most two documents, is rounded to the nearest total of tokens, and a few
-  documents of the last block are flipped while that brings the total nearer.
+* landing: the last flight of a source leaves at most LANDING documents open, its smallest ones and what the
+  flight couldn't decide; of all ways to decide them the one whose total of tokens is nearest to the wanted one is taken, then
+  the one whose number of documents is.
 
 A source is spread over blocks of a bounded number of documents by a hash, so one that holds a third of all
 rows costs more blocks, not a larger one. Text is read once, to count words; only ids and counts are shuffled.
@@ -33,25 +34,44 @@ from .common import materialize, word_count
 #: Documents a block of the first flight has, about; blocks that meet in one block of the next level.
 BLOCK_ROWS = 4000
 FAN_IN = 1000
+#: Documents that the last block of a source leaves undecided for the landing, at most.
+LANDING = 12
 
 
-def water_fill(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
-    """Shares of total by weight, none above cap times its size; the excess is shared anew by weight among the rest."""
-    targets = [0.0] * len(sizes)
-    open_ = [i for i, s in enumerate(sizes) if s > 0]
-    left = min(total, cap * sum(sizes))
-    while open_:
-        share = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * share >= cap * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = weights[i] * share
-            break
-        for i in full:
-            targets[i] = float(cap * sizes[i])
-            left -= targets[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return targets
+def targets(sources: DataFrame, weights: tuple[float, ...], factor: float, cap: float) -> DataFrame:
+    """src, weight, total, rows and target of each source (src, total, rows): shares of factor times all totals by weight, in order of
+    src with null last, none above cap times its total; the excess is shared anew by weight among the rest.
+
+    Sources are numbered over sorted, written parts, of which only the counts come to the driver; each pass of the filling
+    is one aggregation that returns one row.
+    """
+    by_name = (F.col("src").isNull(), F.col("src"))
+    parts = materialize(sources.repartitionByRange(*by_name).sortWithinPartitions(*by_name).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    counts = {r["part"]: r["n"] for r in parts.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, at = {}, 0
+    for k in sorted(counts):
+        before[k], at = at, at + counts[k]
+    if not counts:
+        return parts.select("src", F.lit(0.0).alias("weight"), "total", "rows", F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("number"))
+    first = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), part)
+    number = first + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number % len(weights) + 1).cast("int"))
+    named = materialize(parts.select("src", "total", "rows", number.cast("long").alias("number"), weight.alias("weight")))
+    whole = float(named.agg(F.sum("total")).first()[0] or 0)
+    wanted, share = min(factor, cap) * whole, 0.0
+    if whole:
+        full = F.lit(False)
+        while True:
+            is_open = ~full & (F.col("total") > 0)
+            r = named.agg(F.sum(F.when(is_open, F.col("weight"))).alias("w"), F.sum(F.when(full, cap * F.col("total"))).alias("taken")).first()
+            if not r["w"]:
+                break
+            before_share, share = share, (wanted - float(r["taken"] or 0)) / r["w"]
+            if share <= before_share:
+                break
+            full = F.col("weight") * F.lit(share) >= cap * F.col("total")
+    return named.withColumn("target", F.when(F.col("total") > 0, F.least(F.col("weight") * F.lit(share), (cap * F.col("total")).cast("double"))).otherwise(0.0))
 
 
 def flight(prob: np.ndarray, tokens: np.ndarray, uniform: np.ndarray) -> np.ndarray:
@@ -84,28 +104,28 @@ def flight(prob: np.ndarray, tokens: np.ndarray, uniform: np.ndarray) -> np.ndar
     return np.array(p)
 
 
-def _polish(p: np.ndarray, sizes: np.ndarray, want: float, most: int = 16) -> None:
-    """Flip the document that brings the total nearest to what is wanted, while one does, a few times at most."""
-    for _ in range(most):
-        off = float((p * sizes).sum()) - want
-        after = np.abs(off + np.where(p > 0.5, -sizes, sizes))
-        k = int(after.argmin())
-        if after[k] >= abs(off):
-            return
-        p[k] = 1 - p[k]
+def landing(p: np.ndarray, sizes: np.ndarray, want: tuple[float, float]) -> None:
+    """Decide the undecided of p so that the totals of sizes and of documents come nearest to want, sizes first."""
+    rest = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+    if not len(rest):
+        return
+    ways = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest)) & 1).astype(float)
+    fixed = np.setdiff1d(np.arange(len(p)), rest)
+    off = np.abs(float((np.round(p[fixed]) * sizes[fixed]).sum()) + ways @ sizes[rest] - want[0])
+    rows = np.abs(float(np.round(p[fixed]).sum()) + ways.sum(axis=1) - want[1])
+    p[rest] = ways[np.lexsort((rows, np.round(off, 6)))[0]]
 
 
 def _settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
     # the largest first, so that what stays undecided is small
     pdf = pdf.sort_values(["_size", "_h", "_id", "_uid"], ascending=[False, True, True, True], kind="mergesort", na_position="last").reset_index(drop=True)
     seed = int(pdf["_b"].iloc[0]) * 2654435761 + int(pdf["_src"].iloc[0]) * 40503 + 1
-    p = flight(pdf["_p"].to_numpy(), pdf["_size"].to_numpy(), np.random.default_rng(seed % 2**63).random(len(pdf)))
+    given, sizes = pdf["_p"].to_numpy(dtype=float), pdf["_size"].to_numpy(dtype=float)
+    # the last block of a source leaves its smallest documents to the landing
+    held = min(len(pdf), LANDING - 2) if last else 0
+    p = np.concatenate([flight(given[: len(pdf) - held], sizes[: len(pdf) - held], np.random.default_rng(seed % 2**63).random(len(pdf))), given[len(pdf) - held :]])
     if last:
-        rest = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
-        want, sizes = float((p[rest] * pdf["_size"].to_numpy()[rest]).sum()), pdf["_size"].to_numpy()[rest]
-        best = min(range(1 << len(rest)), key=lambda m: (abs(sum(int(s) for k, s in enumerate(sizes) if m >> k & 1) - want), m))
-        p[rest] = [best >> k & 1 for k in range(len(rest))]
-        _polish(p, pdf["_size"].to_numpy(), float((pdf["_p"] * pdf["_size"]).sum()))
+        landing(p, sizes, (float((given * sizes).sum()), float(given.sum())))
     out = pdf.assign(_p=np.where(p < 1e-9, 0.0, np.where(p > 1 - 1e-9, 1.0, p)))
     out["_uid"] = [f"{s}:{b}:{i}" if u == "" else u for s, b, i, u in zip(out["_src"], out["_b"], range(len(out)), out["_uid"], strict=True)]
     return out
@@ -132,7 +152,6 @@ def mix(
     """id, carried columns, size, source_size, target (of its source), taken (words) and repeats (times taken).
 
     Sources by code point, null last, weigh weights, repeating; together they get factor times all words.
-    One row a source is brought to the driver.
     """
     # a written table gives each row a number that stays; carried columns meet their row again at the end
     base = materialize(df.select(
@@ -140,22 +159,19 @@ def mix(
         F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"),
     ))
     rows = base.select("_row", "_id", "_source", "_size", "_h")
-    spark = df.sparkSession
-    per = sorted(rows.groupBy("_source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).collect(), key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    sizes = [int(r["n"]) for r in per]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(per))], factor * sum(sizes), cap)
-    fields, whole = [], {}
-    for i, (r, target) in enumerate(zip(per, targets, strict=True)):
-        ratio = target / r["n"] if r["n"] else 0.0
-        whole[i] = min(cap, math.floor(ratio + 1e-12))
-        fields.append((r["_source"], i, sizes[i], float(target), whole[i], max(0.0, ratio - whole[i]) if whole[i] < cap else 0.0, max(1, math.ceil(r["rows"] / BLOCK_ROWS))))
-    sources = spark.createDataFrame(fields, "_s2 string, _src long, _total long, _target double, _whole long, _p double, _blocks long")
-    # one row a source: the planner broadcasts it while its size is below the session's threshold
+    per = rows.groupBy(F.col("_source").alias("src")).agg(F.sum("_size").alias("total"), F.count("*").alias("rows"))
+    ratio = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(0.0)
+    least = F.least(F.lit(cap), F.floor(ratio + 1e-12)).cast("long")
+    sources = materialize(targets(per, weights, factor, cap).select(
+        F.col("src").alias("_s2"), F.col("number").alias("_src"), F.col("total").alias("_total"), F.col("target").alias("_target"), least.alias("_whole"),
+        F.when(least < cap, F.greatest(F.lit(0.0), ratio - least)).otherwise(0.0).alias("_p"), F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("long").alias("_blocks"),
+    ))
+    # the planner broadcasts the sources while their size is below the session's threshold
     dealt = rows.join(sources, F.col("_source").eqNullSafe(F.col("_s2"))).drop("_s2", "_source")
     dealt = dealt.withColumns({"_b": F.pmod(F.xxhash64("_h", "_id"), F.col("_blocks")), "_uid": F.lit("")})
     state = "_src long, _b long, _id " + dict(rows.dtypes)["_id"] + ", _size long, _h long, _p double, _uid string"
     schema = dealt.schema
-    blocks = max([f[-1] for f in fields], default=1)
+    blocks = int(sources.agg(F.max("_blocks")).first()[0] or 1)
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         return _settle(pdf, bool((pdf["_blocks"].iloc[0] == 1)))[list(schema.names)]
