@@ -6,9 +6,10 @@ token-position rows: a row carries the rank of the merge with its right neighbou
 rank is contracted, rows beside a merge look up their rank anew, and words without a pair leave as finished, until none is
 left. Decoding joins token rows with the vocabulary and aggregates them in order of position.
 
-Long pieces keep to the same query at a bearable cost by two rules that change no result: a piece of more than LONG bytes
-is cut into words where no vocabulary entry that occurs in it crosses, and a round contracts further pairs of the minimum
-rank with the leftmost one where no entry of a lower rank has the merged token as a part.
+Two rules keep the query's cost near the number of bytes, for pieces of any length, and change no result: pieces are cut into
+words where no vocabulary entry can cross (the two bytes there are no entry, and no entry has them with the byte before or
+after), and a round contracts further pairs of the minimum rank with the leftmost one where no entry of a lower rank has the
+merged token as a part. Equal words run through the query once.
 
 Pieces repeat, so a worker remembers the tokens of two generations of MEMORY pieces; the rest of what a task holds is given
 back when it ends. Texts are worked off in runs of RUN pieces and token ranges of RANGE, also inside one text, so memory follows neither
@@ -36,15 +37,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, kept_by
 
-LONG = 64
-MEMORY = 250_000
-RUN = 1_000_000
+MEMORY = 200_000
+RUN = 300_000
 RANGE = 100_000
-QUERY_BYTES = 400_000
-LONG_TEXT = 4_000_000
+QUERY_BYTES = 300_000
+LONG_TEXT = 1_500_000
 NO_TOKEN = 1 << 19
+STRETCH = 1 << 20
 
 #: k of a row is (merged id, place, whether a round may contract the pair beside the leftmost one, bytes of the merged token),
 #: so a word's minimum is its leftmost pair of minimum rank. h, nxt: where a contracted pair begins and ends.
@@ -88,6 +89,17 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"lr": left << 20 | right, "k": merged << 43 | (lowest[merged] > merged).astype(np.int64) << 11 | size})
 
 
+def neighbour_tables(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of bytes are entries, and which triples stand in entries (as bits)."""
+    pairs, triples = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+    for t in ranks:
+        b = np.frombuffer(t, np.uint8).astype(np.int32)
+        if len(t) == 2:
+            pairs[b[0] << 8 | b[1]] = True
+        triples[b[:-2] << 16 | b[1:-1] << 8 | b[2:]] = True
+    return pairs, np.packbits(triples, bitorder="little")
+
+
 class Splitter:
     """All matches of the vocabulary's pattern; with the standard library's faster engine where it agrees on all of a text's characters."""
 
@@ -112,7 +124,7 @@ class Splitter:
 class Codec:
     """A task's vocabulary, database and memory of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], merges: pa.Table, pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], merges: pa.Table, neighbours: tuple[np.ndarray, np.ndarray], pattern: str) -> None:
         self.ranks, self.split = ranks, Splitter(pattern)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "2GB", "temp_directory": ""})
         vocab = pa.table({"id": pa.array(ranks.values(), pa.int64()), "tok": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
@@ -121,7 +133,7 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self._begin: set[bytes] | None = None
+        self.pairs, self.triples = neighbours
         self.old: tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray] = self._empty()
         self.index, self.ids, self.start, self.length = self._empty()
 
@@ -137,32 +149,46 @@ class Codec:
     def memory(self, kept: tuple) -> None:
         self.old, (self.index, self.ids, self.start, self.length) = kept
 
-    def words(self, piece: bytes) -> list[bytes]:
-        """A piece cut where no vocabulary entry that occurs in it crosses, so no merge does."""
-        if len(piece) <= LONG:
-            return [piece]
-        if self._begin is None:
-            self._begin = {t[:i] for t in self.ranks for i in range(1, len(t) + 1)}
-        begin, out, first, reach = self._begin, [], 0, 1
-        for i in range(len(piece)):
-            if i >= reach:
-                out.append(piece[first:i])
-                first = i
-            j, end = i + 1, i + 1
-            while j <= len(piece) and piece[i:j] in begin:
-                if piece[i:j] in self.ranks:
-                    end = j
-                j += 1
-            reach = max(reach, end)
-        return [*out, piece[first:]]
+    def word_starts(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where words begin in the bytes of pieces that end at ends."""
+        start = np.zeros(len(raw) + 1, bool)
+        for a in range(0, len(raw), STRETCH):
+            b = min(len(raw), a + STRETCH)
+            part = raw[max(0, a - 2) : b + 2].astype(np.int32)
+            two = self.pairs[part[:-1] << 8 | part[1:]]
+            if len(part) > 2:
+                code = part[:-2] << 16 | part[1:-1] << 8 | part[2:]
+                three = (self.triples[code >> 3] >> (code & 7) & 1).astype(bool)
+                two[1:] |= three
+                two[:-1] |= three
+            at = max(0, a - 2) + 1  # the place that two[0] is about
+            first, last = max(at, a), min(b, at + len(two))
+            start[first:last] = ~two[first - at : last - at]
+        start[0] = True
+        start[ends] = True
+        return np.flatnonzero(start)
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of pieces, one after the other, and how many each has, by the recursive query."""
-        words, owner = [], []
-        for k, p in enumerate(pieces):
-            cut = self.words(p)
-            words += cut
-            owner += [k] * len(cut)
+        joined = b"".join(pieces)
+        ends = np.cumsum([len(p) for p in pieces])
+        cut = self.word_starts(np.frombuffer(joined, np.uint8), ends)
+        number: dict[bytes, int] = {}
+        at = cut.tolist()
+        which = np.fromiter((number.setdefault(joined[a:b], len(number)) for a, b in zip(at, at[1:], strict=False)), np.int64, len(at) - 1)
+        words, ids, count = list(number), [], []
+        sizes = np.cumsum([len(w) for w in words])
+        edges = np.unique(np.concatenate([[0], np.searchsorted(sizes, np.arange(QUERY_BYTES, sizes[-1], QUERY_BYTES)) + 1, [len(words)]]))
+        for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            got, n = self.contract(words[a:b])
+            ids.append(got)
+            count.append(n)
+        n = np.concatenate(count)
+        first = np.searchsorted(cut, np.concatenate([[0], ends[:-1]]))
+        return _ranges(np.concatenate(ids), (np.cumsum(n) - n)[which], n[which]), np.add.reduceat(n[which], first)
+
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of words that nothing crosses, in one query."""
         lens = np.array([len(w) for w in words], dtype=np.int64)
         ends = np.cumsum(lens)
         ids = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
@@ -172,8 +198,7 @@ class Codec:
         self.db.register("start", pa.table({"g": w << 31 | np.arange(len(ids)) - np.repeat(ends - lens, lens), "id": ids, "nid": following}))
         out = self.db.execute(ENCODE_SQL).fetchnumpy()
         self.db.unregister("start")
-        piece = np.array(owner, dtype=np.int64)[np.asarray(out["g"], dtype=np.int64) >> 31]
-        return np.asarray(out["id"], dtype=np.uint32), np.bincount(piece, minlength=len(pieces))
+        return np.asarray(out["id"], dtype=np.uint32), np.bincount(np.asarray(out["g"], dtype=np.int64) >> 31, minlength=len(words))
 
     def learn(self, pieces: list[str]) -> None:
         """Work out and remember the tokens of pieces that are not in memory."""
@@ -281,21 +306,19 @@ def _ranges(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
     return values[np.repeat(start - (ends - length), length) + np.arange(ends[-1])]
 
 
-_memory: dict[tuple, tuple] = {}
-
-
 @contextmanager
 def codec(sent, key: tuple) -> Iterator[Codec]:  # noqa: ANN001
     """A codec for one task. Its database ends with the task; the memory of pieces stays with the worker, for one vocabulary."""
+    kept = kept_by("bpe")
     c = Codec(*sent.value, key[-1])
-    if key in _memory:
-        c.memory = _memory[key]
+    if key in kept:
+        c.memory = kept[key]
     try:
         yield c
     finally:
         c.db.close()
-        _memory.clear()
-        _memory[key] = c.memory
+        kept.clear()
+        kept[key] = c.memory
         del c
         give_back()
 
@@ -315,10 +338,10 @@ def _slices(texts: pa.Array) -> Iterator[list[str]]:
 
 
 def _vocabulary(df: DataFrame, path: str, pattern: str) -> tuple:
-    """The ranks and their merge table for every executor, of a vocabulary file's fixed size, and what tells vocabularies apart."""
+    """The ranks and the tables made of them for every executor, of a vocabulary file's fixed size, and what tells vocabularies apart."""
     ranks = load_ranks(path)
     digest = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
-    return df.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks))), (digest, pattern)
+    return df.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks), neighbour_tables(ranks))), (digest, pattern)
 
 
 def _mapped(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, fields: str, make) -> DataFrame:  # noqa: ANN001

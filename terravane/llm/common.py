@@ -40,6 +40,18 @@ def give_back() -> None:
         trim(0)
 
 
+#: What a worker keeps from task to task, by operator.
+_kept: dict[str, dict] = {}
+
+
+def kept_by(operator: str) -> dict:
+    """What this operator keeps in this worker; what others kept goes, so that a later stage doesn't carry it along."""
+    for name in [k for k in _kept if k != operator]:
+        del _kept[name]
+        give_back()
+    return _kept.setdefault(operator, {})
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and the rows survive lost executors."""
     spark = df.sparkSession

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shards
-from .common import materialize
+from .common import give_back, materialize
 
 WORDS = 5
 BLOCK_SETS = 400
@@ -276,6 +276,7 @@ def sets_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             most, least = first_hashes(len(s)) if len(s) else (0, 1)
             shared = int(np.count_nonzero(_lookup(keys, counts, _mix(s[:most])) > 1))
             rows.append((key, int(doc), len(s), _signature(s), s.astype("<u8").tobytes() if shared >= least else None))
+        give_back()
         return pd.DataFrame(rows, columns=["key", "id", "n", "sig", "tokens"])
 
     answers = shards.shared(dealt, blocks)
@@ -303,6 +304,7 @@ def ordered(found: DataFrame) -> DataFrame:
             t, c = t[c > 1], c[c > 1]
             if len(t) >= need(int(n)):
                 rows.append((sig, int(n), t[np.lexsort((t, -c))].tobytes(), float(np.log2(c).sum() / max(1, n))))
+        give_back()
         return pd.DataFrame(rows, columns=["sig", "n", "tokens", "common"])
 
     answers = shards.shared(dealt, blocks)

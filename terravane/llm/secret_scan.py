@@ -1,36 +1,52 @@
 """Secret scanning: three plain patterns, and a battery of randomness tests over the other long tokens.
 
 The plain kinds are assign (a credential name, a separator and a value), access (an access key id) and hex (a long
-run of hexadecimal digits). Any other token of at least 20 characters that looks like an encoding is a candidate
-of the kind random. Its encoding is inferred from its characters, and its symbols are tested against what that
-encoding's random strings look like: chi-squared uniformity over the alphabet, a runs test about the alphabet's
-middle and a lag-one serial correlation. The three are combined by Fisher's method; a candidate that the combined
-test rejects is no random string. What remains is tested against ordinary text: the log-likelihood ratio of its
-symbols under uniform and under text letter frequencies has a known mean and variance under text, so its p-value
-sharpens with length, and the Benjamini-Hochberg step over a document's candidates controls false discoveries.
+run of hexadecimal digits). Any other token of at least 20 characters with both letters and digits is a candidate of the kind
+random; = ends a token, except as padding, and a token that is no secret as a whole is tried again in its parts between
+slashes, then between - and _. A candidate's encoding is inferred from its characters, and its symbols are tested against what
+that encoding's random strings look like: chi-squared uniformity over the alphabet, a runs test about the alphabet's
+middle and a lag-one serial correlation, combined by Fisher's method into one p-value.
 
-One scan in Arrow batches; a document is judged by itself, so nothing is shuffled and no group can be hot.
+False-discovery control is over all candidates of the table in a class of length: the Benjamini-Hochberg step over the battery's
+p-values decides which candidates are rejected as not random, so that at most a share alpha of the rejected ones is random in
+expectation, at every length. Short tokens give the battery little power against text, so what it keeps must also be
+unlike text: the log-likelihood ratio of the symbols under uniform and under text letter frequencies has a known mean
+and variance under text, and its p-value must be at most q.
+
+Two scans in Arrow batches: the first counts p-values by length class and step of a fixed grid, a table of bounded size, the
+second finds the spans. Texts are not shuffled and no group can be hot.
 
 Defined results: null and empty texts have no spans. Offsets count code points, the end exclusive. Repeated rows
-are scanned alike. Only the id and the text are read, whatever else the table has.
+are scanned alike, and each counts as a candidate. Only the id and the text are read, whatever else the table has. An empty
+table has no candidates. Tokens of letters only or of digits only are never of the kind random.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from .common import kept_by
 
 #: Kinds in the order that breaks ties of start.
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # the runs of [0-9a-f]+ that are long enough
-_LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: What the parts of a token stand between, from one attempt to the next.
+_PARTS = (re.compile(r"[^/]{20,}"), re.compile(r"[^/_-]{20,}"))
+#: Lengths from which classes begin, and how fine the grid of p-values is: steps of -log10(p), up to the last one.
+CLASSES = (20, 24, 28, 32, 40, 48, 64, 96, 160)
+STEP, LAST = 0.02, 1000
 _NAMES = ("passw", "secret", "token", "api_key", "apikey")
 
 # Relative frequency of the letters a to z in text, in per mille.
@@ -129,38 +145,92 @@ def text_p(core: str, size: int) -> float:
     return normal_sf((sum(gain[c] for c in core) - len(core) * mean) / math.sqrt(var * len(core)))
 
 
-def discoveries(p: list[float], q: float) -> list[bool]:
-    """Benjamini-Hochberg: which p-values are discoveries at false-discovery rate q."""
-    order = sorted(range(len(p)), key=p.__getitem__)
-    last = max((k for k, i in enumerate(order) if p[i] <= q * (k + 1) / len(p)), default=-1)
-    found = [False] * len(p)
-    for i in order[: last + 1]:
-        found[i] = True
-    return found
+def length_class(n: int) -> int:
+    return bisect.bisect_right(CLASSES, n) - 1
 
 
-def spans_of(text: str | None, alpha: float = 0.01, q: float = 0.001) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of a text, by start and then kind."""
-    if not text:
-        return []
+def step_of(p: float) -> int:
+    """The step of the grid that a p-value is in: all p-values of a step are at most 10 ** -(STEP * step)."""
+    return min(LAST, int(-math.log10(max(p, 1e-300)) / STEP))
+
+
+def thresholds(counts: dict[tuple[int, int], int], alpha: float) -> dict[int, int]:
+    """Benjamini-Hochberg by class over (class, step) counts: the least step whose candidates are rejected; LAST + 1 if none are.
+
+    A step's p-values count as its upper end, so the grid can only reject fewer.
+    """
+    out = {}
+    for c in {c for c, _ in counts}:
+        total, so_far, out[c] = sum(n for (k, _), n in counts.items() if k == c), 0, LAST + 1
+        for step in range(LAST, -1, -1):
+            so_far += counts.get((c, step), 0)
+            if so_far and 10 ** -(STEP * step) <= alpha * so_far / total:
+                out[c] = step
+    return out
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """The spans of the plain kinds."""
     found = []
     low = text.lower()
     if any(k in low for k in _NAMES):
         found += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
-    tokens, p = [], []
+    return found + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
+
+
+def tested(token: str) -> tuple[float, float] | None:
+    """The battery's and the text test's p-value of a token; None if it is no candidate."""
+    known = infer_encoding(token)
+    if known is None:
+        return None
+    core, order = token.rstrip("="), known[1]
+    return randomness([order[c] for c in core], len(order)), text_p(core, len(order))
+
+
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, int, float, float]]:
+    """(start, end, attempt, battery p, text p) of tokens outside the taken spans: whole tokens first, then their parts."""
     for m in _LONG.finditer(text):
-        known = infer_encoding(m[0])
-        if known is None or any(s < m.end() and m.start() < e for s, e, _ in found):
+        if any(s < m.end() and m.start() < e for s, e, _ in taken):
             continue
-        core, order = m[0].rstrip("="), known[1]
-        if randomness([order[c] for c in core], len(order)) >= alpha:
-            tokens.append((m.start(), m.end(), "random"))
-            p.append(text_p(core, len(order)))
-    found += [t for t, ok in zip(tokens, discoveries(p, q), strict=True) if ok]
-    return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
+        done = set()
+        pieces = [(m.start(), m.end(), 0)]
+        pieces += [(m.start() + x.start(), m.start() + x.end(), k) for k, part in enumerate(_PARTS, 1) for x in part.finditer(m[0])]
+        for s, e, attempt in pieces:
+            if (s, e) not in done and (p := tested(text[s:e])):
+                done.add((s, e))
+                yield s, e, attempt, *p
+
+
+def spans_of(text: str | None, rejected: dict[int, int], q: float = 0.001) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of a text, by start and then kind; rejected comes from thresholds()."""
+    if not text:
+        return []
+    found = base_spans(text)
+    random: list[tuple[int, int, str]] = []
+    for s, e, _, p, by_text in candidates(text, found):
+        kept = step_of(p) < rejected.get(length_class(e - s), LAST + 1)
+        if kept and by_text <= q and not any(a < e and s < b for a, b, _ in random):
+            random.append((s, e, "random"))
+    return sorted(found + random, key=lambda x: (x[0], KINDS.index(x[2])))
+
+
+def learn(df: DataFrame, text_col: str = "text", alpha: float = 0.01) -> dict[int, int]:
+    """The thresholds of all candidates of a table; at most a row for each class and step comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("secrets")
+        n: Counter = Counter()
+        for b in batches:
+            for t in b.column(0):
+                if text := t.as_py():
+                    n.update((length_class(e - s), step_of(p)) for s, e, _, p, _ in candidates(text, base_spans(text)))
+        rows = sorted(n.items())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.int32()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.int64())], ["c", "step", "n"])
+
+    counted = df.select(F.col(text_col).alias("text")).mapInArrow(run, "c int, step int, n long").groupBy("c", "step").agg(F.sum("n").alias("n"))
+    return thresholds({(r["c"], r["step"]): r["n"] for r in counted.collect()}, alpha)
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -168,12 +238,13 @@ _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and spans, an array of (kind, start, end)."""
+    rejected = learn(df, text_col)
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = [[{"kind": k, "start": s, "end": e} for s, e, k in spans_of(t.as_py())] for t in b.column(1)]
+            spans = [[{"kind": k, "start": s, "end": e} for s, e, k in spans_of(t.as_py(), rejected)] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["id", "spans"])
 
     out = base.mapInArrow(run, f"id {dict(base.dtypes)['id']}, spans {_SPANS}")
@@ -182,9 +253,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The table with every span of the text replaced by mask; overlapping spans become one. Nulls stay."""
+    rejected = learn(df, text_col)
+
+    k = df.columns.index(text_col)
 
     def clean(text: str | None) -> str | None:
-        spans = spans_of(text)
+        spans = spans_of(text, rejected)
         if not spans:
             return text
         out, at = [], 0
@@ -196,10 +270,11 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.schema.get_field_index(text_col)
             yield b.set_column(k, b.schema.field(k), pa.array([clean(t.as_py()) for t in b.column(k)], b.schema.field(k).type))
 
-    return df.mapInArrow(run, df.schema)
+    names = [f"c{j}" for j in range(len(df.columns))]  # by position, so no names can clash
+    out = df.toDF(*names).mapInArrow(run, StructType([StructField(c, x.dataType) for c, x in zip(names, df.schema, strict=True)]))
+    return out.toDF(*df.columns)
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

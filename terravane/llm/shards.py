@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import kept_by
+
 #: Bytes of distinct text a shard has, about; keys a bucket has, about.
 SHARD_BYTES = 6_000_000
 BUCKET_KEYS = 1_500_000
@@ -38,6 +40,7 @@ def deal(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "
     base = base.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"), "text")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("shards")
         seen: dict[bytes, int] = {}
         for b in batches:
             keep = []
