@@ -61,6 +61,7 @@ ENCODINGS = tuple(
         ("HEX", _DIGITS + "ABCDEF"),
         ("base32", _UPPER + "234567"),
         ("base36", _DIGITS + _LOWER),
+        ("BASE36", _DIGITS + _UPPER),
         ("base62", _DIGITS + _UPPER + _LOWER),
         ("base64", _UPPER + _LOWER + _DIGITS + "+/"),
         ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
