@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_chunks.store(documents(spark, sf_dir))
+    return media_chunks.digest(documents(spark, sf_dir))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,7 +297,7 @@ def test_media(spark):
         p = raw + bytes(64 if not raw else -len(raw) % 64)
         media = media_chunks.medium(p)
         want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(), media_chunks.feature(p)))
-    found = media_chunks.store(frame(spark, rows))
+    found = media_chunks.digest(frame(spark, rows)).cache()
     assert got(found, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature") == sorted(want)
 
 
@@ -309,10 +309,65 @@ def test_chunks_share_and_reassemble():
     assert b"".join(a) == body and b"".join(b) == other
     assert len(set(a) & set(b)) > 0.8 * len(a)
     assert all(len(c) <= media_chunks.MOST for c in a + b)
-    order, own = media_chunks.strip(body, {1})
-    assert media_chunks.samples_of(media_chunks.restore(order, own, {1: a[1]})) == body
+    order, found = [media_chunks.digest_of(c) for c in a], dict(enumerate(a))
+    assert media_chunks.samples_of(media_chunks.restore(order, found)) == body
     with pytest.raises(ValueError):
-        media_chunks.restore(order, own, {1: a[1] + b"x"})
+        media_chunks.restore(order, found | {1: a[1] + b"x"})
+    with pytest.raises(ValueError):
+        media_chunks.restore(order, {i: c for i, c in found.items() if i != 2})
+
+
+def gear_cuts(p):
+    """Where chunks end, byte by byte: a rolling gear hash of the last 32 bytes, its top bits zero, within the least and the most."""
+    table, out, at = media_chunks.gear_table().tolist(), [], 0
+    for i in range(1, len(p) + 1):
+        window = p[max(0, i - 32) : i]
+        h = 0
+        for c in window:
+            h = ((h << 1) + table[c]) & 0xFFFFFFFF
+        if i - at >= media_chunks.MOST and i < len(p) and not (i - at >= media_chunks.LEAST and h >> (32 - media_chunks.CUT_BITS) == 0):
+            out.append(i)
+            at = i
+        elif i - at >= media_chunks.LEAST and i < len(p) and h >> (32 - media_chunks.CUT_BITS) == 0:
+            out.append(i)
+            at = i
+    return [*out, len(p)]
+
+
+def test_store_keeps_each_chunk_once(spark):
+    r = random.Random(14)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(9000))
+    rows = [(i, "".join(r.choice("abc ") for _ in range(r.randrange(0, 4000))) + passage + str(i)) for i in range(12)]
+    rows += [(20 + i, "hot payload " * 700) for i in range(40)] + [(70, None), (71, ""), (None, passage), (3, rows[3][1]), (72, "z" * 100_000)]
+    payloads = {(t or "").encode() + bytes(64 if not t else -len(t.encode()) % 64) for _, t in rows}
+    lists = {}
+    for p in payloads:
+        ends = gear_cuts(p)
+        assert ends == media_chunks.cuts(p)
+        lists[hashlib.sha256(p).digest()] = [p[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    first = {}
+    for k in sorted(lists):
+        for i, c in enumerate(lists[k]):
+            first.setdefault(c, (k, i))
+    stored = media_chunks.store(frame(spark, rows))
+    kept = [(bytes(x["k"]), x["pos"], bytes(x["chunk"])) for x in stored.chunks.collect()]
+    assert sorted(kept) == sorted((k, i, c) for c, (k, i) in first.items())  # each distinct chunk's bytes once, at its first place
+    assert {bytes(x["chunk"]) for x in stored.chunks.where("shared").collect()} == {c for c in first if sum(v.count(c) for v in lists.values()) > 1}
+    listed = {}
+    for x in stored.lists.orderBy("k", "pos").collect():
+        listed.setdefault(bytes(x["k"]), []).append(bytes(x["digest"]))
+    assert listed == {k: [media_chunks.digest_of(c) for c in v] for k, v in lists.items()}
+    loaded = {bytes(x["k"]): x for x in media_chunks.load(stored).collect()}
+    assert {k: bytes(x["media"]) for k, x in loaded.items()} == {hashlib.sha256(p).digest(): media_chunks.medium(p) for p in payloads}
+    for k, v in lists.items():
+        assert loaded[k]["n_chunks"] == len(v) and loaded[k]["n_foreign"] == sum(first[c] != (k, i) for i, c in enumerate(v))
+    # a store that lacks a chunk is found out
+    import dataclasses
+
+    lost = dataclasses.replace(stored, chunks=stored.chunks.where("pos <> 1"))
+    with pytest.raises(Exception, match="missing"):
+        media_chunks.load(lost).count()
+        media_chunks.load(lost).collect()
 
 
 def water_fill(sizes, weights, total, cap):
@@ -461,7 +516,7 @@ def test_isotonic_and_trees():
 
 OPERATORS = {
     "quality": lambda d: quality_rules.judge(d), "licences": lambda d: license_scan.digest(d), "secrets": lambda d: secret_scan.digest(d), "redact": lambda d: secret_scan.redact(d),
-    "suffixes": lambda d: suffix_dedup.repeats(d), "ngrams": lambda d: ngram_join.join_classes(d), "first": lambda d: ngram_join.keep_first(d), "media": lambda d: media_chunks.store(d), "mix": lambda d: mixing.mix(d),
+    "suffixes": lambda d: suffix_dedup.repeats(d), "ngrams": lambda d: ngram_join.join_classes(d), "first": lambda d: ngram_join.keep_first(d), "media": lambda d: media_chunks.digest(d), "mix": lambda d: mixing.mix(d),
     "language": lambda d: langid.predict(d, langid.learn(d)), "tokens": lambda d: bpe.digest(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     "toxicity": lambda d: toxicity.score(d, toxicity.learn(d, d.selectExpr("doc_id", "1 toxic"))),
 }
