@@ -25,6 +25,17 @@ def getter(tags: str | Column) -> Get:
     return lambda key: get(col, key)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
+
+
+def with_values(tags: Column, keys: tuple[str, ...], body: Callable[[Get], Column]) -> Column:
+    """body of a getter over the first values of keys, each looked up once."""
+    at = {k: f"v{i}" for i, k in enumerate(keys)}
+    return let(F.struct(*[get(tags, k).alias(n) for k, n in at.items()]), lambda s: body(lambda key: s[at[key]]))
+
+
 def has(tags: Column, key: str, value: str | None = None) -> Column:
     """Whether any tag has the key, and the value if one is given."""
     return F.coalesce(F.exists(tags, lambda x: (x["k"] == key) if value is None else (x["k"] == key) & (x["v"] == value)), F.lit(False))
@@ -80,10 +91,23 @@ def is_coastline(v: Get) -> Column:
     return yes(v("natural") == "coastline")
 
 
-def is_area(name: Column, refs: Column, coastline: Column) -> Column:
+def is_area(name: Column, n_refs: Column, first: Column, last: Column, coastline: Column) -> Column:
     """Closed, four references at least, a style with areas and no coastline."""
-    closed = (F.size(refs) >= 4) & (F.get(refs, F.lit(0)) == F.get(refs, F.size(refs) - 1))
-    return yes(closed & name.isin(*AREA_STYLES) & ~coastline)
+    return yes((n_refs >= 4) & (first == last) & name.isin(*AREA_STYLES) & ~coastline)
+
+
+#: The keys that decide a way's style, area and walkability.
+CLASS_KEYS = ("natural", "waterway", "landuse", "water", "leisure", "building", "highway", "railway", "access", "foot")
+
+
+def classified(tags: Column, n_refs: Column, first: Column, last: Column) -> Column:
+    """A struct of style (a number, null for none), area, coastline and walkable; each tag and the style are worked out once."""
+
+    def of(v: Get) -> Column:
+        return let(F.struct(style(v).alias("s"), is_coastline(v).alias("c"), walkable(v).alias("w")), lambda x: F.struct(
+            style_number(x["s"]).alias("style"), is_area(x["s"], n_refs, first, last, x["c"]).alias("area"), x["c"].alias("coastline"), x["w"].alias("walkable")))
+
+    return with_values(tags, CLASS_KEYS, of)
 
 
 def walkable(v: Get) -> Column:

@@ -17,21 +17,22 @@ BUILDING_KEYS = {
 }
 
 
-def pivot(keys: dict[str, str], tags: str = "tags") -> list[Column]:
-    """The first value of each key as a column of its own."""
-    return [T.get(F.col(tags), key).alias(name) for name, key in keys.items()]
+def complete(row: Column) -> Column:
+    """Street, house number and postcode are there; an empty value is there."""
+    return row["street"].isNotNull() & row["housenumber"].isNotNull() & row["postcode"].isNotNull()
 
 
-def complete() -> Column:
-    """Street, house number and postcode are there; an empty value is there."""
-    return F.col("street").isNotNull() & F.col("housenumber").isNotNull() & F.col("postcode").isNotNull()
+def _kept(entities: DataFrame, row: Column, keep) -> DataFrame:  # noqa: ANN001
+    """The entities' other columns and the fields of row where keep holds; the row is built once."""
+    others = [c for c in entities.columns if c != "tags"]
+    return entities.select(*others, F.inline(F.filter(F.array(row), keep)))
 
 
 def address_rows(entities: DataFrame, include_incomplete: bool = False) -> DataFrame:
     """id and the address columns of entities (id, tags, ...) with a complete address, or with any part of one."""
-    rows = entities.select(*[c for c in entities.columns if c != "tags"], *pivot(ADDRESS_KEYS))
-    some = F.coalesce(*[F.col(c) for c in ADDRESS_KEYS]).isNotNull()
-    return rows.where(some if include_incomplete else complete())
+    row = F.struct(*[T.get(F.col("tags"), key).alias(name) for name, key in ADDRESS_KEYS.items()])
+    some = lambda r: F.coalesce(*[r[c] for c in ADDRESS_KEYS]).isNotNull()
+    return _kept(entities, row, some if include_incomplete else complete)
 
 
 def union_entities(**by_type: DataFrame) -> DataFrame:
@@ -45,12 +46,16 @@ def union_entities(**by_type: DataFrame) -> DataFrame:
 
 def building_rows(entities: DataFrame, residential_only: bool = False) -> DataFrame:
     """id, the building and address columns and whether it may be lived in, of entities that are buildings."""
-    v = T.getter("tags")
-    rows = entities.where(T.is_building(v) | T.is_residential(v)).select(
-        *[c for c in entities.columns if c != "tags"], *pivot(ADDRESS_KEYS | MORE_KEYS),
-        *[T.get(F.col("tags"), *keys).alias(name) for name, keys in BUILDING_KEYS.items()], T.is_building(v).alias("is_building"), T.is_residential(v).alias("residential"),
-    )
-    return rows.where("residential") if residential_only else rows
+    single = {name: (key,) for name, key in (ADDRESS_KEYS | MORE_KEYS).items()} | BUILDING_KEYS
+    keys = tuple(dict.fromkeys(k for ks in single.values() for k in ks))
+
+    def row(v: T.Get) -> Column:
+        # a value under several keys is the one whose tag comes first
+        value = lambda ks: v(ks[0]) if len(ks) == 1 else T.get(F.col("tags"), *ks)
+        return F.struct(*[value(ks).alias(name) for name, ks in single.items()], T.is_building(v).alias("is_building"), T.is_residential(v).alias("residential"))
+
+    keep = lambda r: r["residential"] if residential_only else r["is_building"] | r["residential"]
+    return _kept(entities, T.with_values(F.col("tags"), keys, row), keep)
 
 
 def tsv_safe(c: Column) -> Column:
@@ -58,8 +63,10 @@ def tsv_safe(c: Column) -> Column:
     return F.translate(F.coalesce(c.cast("string"), F.lit("")), "\t\n\r", "   ")
 
 
-def address_tsv(rows: DataFrame) -> DataFrame:
-    """One tab-separated line a row: type, id, coordinates with nine digits, the address columns."""
+def address_tsv(rows: DataFrame, header: bool = False) -> DataFrame:
+    """One tab-separated line a row: type, id, coordinates with nine digits, the address columns; a first line of names if asked."""
     coord = lambda c: S.coord_text(F.col(c)) if c in rows.columns else F.lit("")
     cols = [F.col("entity_type"), F.col("id"), coord("lat_nano"), coord("lon_nano"), *[F.col(c) for c in ADDRESS_KEYS]]
-    return rows.select(F.concat_ws("\t", *[tsv_safe(c) for c in cols]).alias("value"))
+    lines = rows.select(F.concat_ws("\t", *[tsv_safe(c) for c in cols]).alias("value"))
+    names = "\t".join(["type", "id", "lat", "lon", *ADDRESS_KEYS])
+    return rows.sparkSession.createDataFrame([(names,)], "value string").union(lines) if header else lines

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions import tags as T
 
 Box = tuple[int, int, int, int]
@@ -56,7 +57,12 @@ def summary(nodes: DataFrame, ways: DataFrame, refs: DataFrame, relations: DataF
     return out
 
 
-def text_row(kind: str, tags: Column) -> Column:
-    """The one-line text of an entity: type, id and its tags."""
+def text_row(kind: str, tags: Column, n_refs: Column | None = None) -> Column:
+    """The one-line text of an entity: type, id, a node's coordinates with nine digits or a way's number of references, and its tags."""
     pairs = F.array_join(F.transform(tags, lambda x: F.concat(x["k"], F.lit("="), x["v"])), " ")
-    return F.rtrim(F.concat_ws(" ", F.lit(kind), F.col("id"), pairs))
+    head = [F.lit(kind), F.col("id")]
+    if kind == "node":
+        head += [F.concat(F.lit("lat="), S.coord_text(F.col("lat_nano"))), F.concat(F.lit("lon="), S.coord_text(F.col("lon_nano")))]
+    if n_refs is not None:
+        head.append(F.concat(F.lit("refs="), n_refs))
+    return F.rtrim(F.concat_ws(" ", *head, pairs))

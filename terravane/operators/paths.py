@@ -29,8 +29,8 @@ def distances(edges: DataFrame, sources: DataFrame, cut: Callable[[DataFrame], D
         better = F.col("d").isNotNull() & (F.col("dist").isNull() | (F.col("d") < F.col("dist")))
         known = cut(merged.select(F.coalesce("id", "t").alias("id"), F.when(better, F.col("d")).otherwise(F.col("dist")).alias("dist"), better.alias("fresh")))
         if not known.where("fresh").limit(1).count():
-            break
-    return known.select("id", "dist")
+            return known.select("id", "dist")
+    raise RuntimeError(f"distances still fall after {most_rounds} rounds")
 
 
 def shortest(edges: list[tuple[int, int, int]], source: int, target: int) -> tuple[int, list[int]] | None:
@@ -72,6 +72,21 @@ def route_queries(queries: DataFrame, edges: DataFrame) -> DataFrame:
     return asked.groupBy("query").applyInPandas(solve, "query long, meters long, path array<long>")
 
 
+def with_window(ends: DataFrame, around: int = 1) -> DataFrame:
+    """query, source, target and tiles: the rectangle of tiles that both ends span, and around more on each side."""
+    c = F.col
+    span = lambda axis: F.sequence(F.least(c(f"source_{axis}"), c(f"target_{axis}")) - around, F.greatest(c(f"source_{axis}"), c(f"target_{axis}")) + around)
+    tiles = F.flatten(F.transform(span("x"), lambda x: F.transform(span("y"), lambda y: S.route_tile_id(x, y))))
+    return ends.select("query", "source", "target", tiles.alias("tiles"))
+
+
+def component_boxes(ways: DataFrame, found: DataFrame) -> DataFrame:
+    """root, box, points and ways of each component. ways: way_id, a, points and a box; a way closed in itself that meets no other is one alone."""
+    root = ways.join(found.select(F.col("v").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    agg = [f(n).alias(n) for n, f in (("min_lat", F.min), ("max_lat", F.max), ("min_lon", F.min), ("max_lon", F.max))]
+    return root.groupBy("root").agg(*agg, F.sum("points").alias("points"), F.count("*").alias("ways"))
+
+
 def nearest(nodes: DataFrame, lat_e7: int, lon_e7: int) -> DataFrame:
     """The node nearest to a point; the least id among equals."""
     m = S.direct_m(F.lit(lat_e7).cast("bigint"), F.lit(lon_e7).cast("bigint"), F.col("lat_e7"), F.col("lon_e7"))

@@ -34,10 +34,28 @@ def viewport_tiles(box: Box, zoom: int = 10, halo: int = 0) -> Column:
     return F.col("tile_x").between(*wide(x(box[0]), x(box[2]))) & F.col("tile_y").between(*wide(y(box[3]), y(box[1])))
 
 
-def viewport(assigned: DataFrame, box: Box, zoom: int = 10, halo: int = 0, content: tuple[str, ...] = ("style", "flags", "min_lon", "min_lat", "max_lon", "max_lat")) -> DataFrame:
-    """Features of a viewport, once each by content: equal features collapse, whether one in several tiles or two alike."""
-    seen = assigned.where(viewport_tiles(box, zoom, halo) & boxes_meet(box))
-    return seen.select(*content).distinct()
+def viewport(features: DataFrame, box: Box, zoom: int = 10, halo: int = 0) -> DataFrame:
+    """Features that meet a box and lie in one of its tiles (halo tiles around it count), with their tiles; the box prunes features
+    before they are spread."""
+    return assign(features.where(boxes_meet(box)), zoom).where(viewport_tiles(box, zoom, halo))
+
+
+def collapse(seen: DataFrame, points: DataFrame) -> DataFrame:
+    """Features once each by content: style, flags, box and all points in order, whether one in several tiles or two alike.
+
+    points: id, n_points and shape, a digest of the points in order.
+    """
+    once = seen.select("id", "style", "flags", "min_lon", "min_lat", "max_lon", "max_lat").distinct()
+    return once.join(points, "id").drop("id").distinct()
+
+
+def shapes(refs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n_points and shape (MD5 of "lon lat" texts in order) of the ways whose ids are given."""
+    wanted = refs.join(ids.select(F.col("id").alias("way_id")).distinct(), "way_id", "left_semi")
+    at = wanted.join(nodes.select(F.col("id").alias("node_id"), "lat_nano", "lon_nano"), "node_id")
+    listed = at.groupBy(F.col("way_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("pos", "lon_nano", "lat_nano"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.concat_ws(" ", x["lon_nano"], x["lat_nano"])), ",")
+    return listed.select("id", F.size("p").cast("long").alias("n_points"), F.md5(text.cast("binary")).alias("shape"))
 
 
 def write_tiles(assigned: DataFrame, path: str) -> None:
@@ -54,9 +72,10 @@ def places(relations: DataFrame, members: DataFrame) -> DataFrame:
     return rows.join(ways, "id").withColumn("score", T.place_score(F.col("kind"), F.col("level"), F.col("ways")))
 
 
-def best_place(found: DataFrame) -> DataFrame:
-    """The highest rank of each name; the least id among equals."""
-    return found.groupBy("name").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.max("score").alias("score"))
+def best_place(found: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The highest rank of each name among places whose box has an extent both ways; the least id among equals. boxes: rel_id and a box."""
+    wide = boxes.where("max_lat > min_lat and max_lon > min_lon").select(F.col("rel_id").alias("id"))
+    return found.join(wide, "id", "left_semi").groupBy("name").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.max("score").alias("score"))
 
 
 # -- the metric grid of the router
@@ -72,7 +91,16 @@ def metric(nodes: DataFrame, origin_lat: int, origin_lon: int, size_m: int = 400
     return cells.withColumn("tile_id", S.route_tile_id(F.col("tile_x"), F.col("tile_y")))
 
 
-def metric_tiles(placed: DataFrame) -> DataFrame:
+def metric_tiles(placed: DataFrame, **others: DataFrame) -> DataFrame:
+    """Each tile's source nodes and bounds, and how many rows of others (tile_id) lie in it; tiles are where nodes are."""
+    tiles = _node_tiles(placed)
+    for name, rows in others.items():
+        counted = rows.groupBy("tile_id").agg(F.count("*").alias(name))
+        tiles = tiles.join(counted, "tile_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return tiles
+
+
+def _node_tiles(placed: DataFrame) -> DataFrame:
     agg = [F.count("*").alias("source_nodes"), *[f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("lat_e7", "lon_e7")]]
     return placed.groupBy("tile_id", "tile_x", "tile_y").agg(*agg)
 

@@ -113,9 +113,13 @@ def ride(labels: DataFrame, events: DataFrame, round_: int, slack: int = 0) -> D
     return _best(labels.select(*LABEL).unionByName(new))
 
 
-def walk_on(labels: DataFrame, walks: DataFrame) -> DataFrame:
-    """Labels after one walk from the labels as they stand; walks don't chain within a round."""
-    new = labels.join(walks, F.col("stop_id") == F.col("from_stop")).select(
+def walk_on(labels: DataFrame, walks: DataFrame, round_: int = 0) -> DataFrame:
+    """Labels after one walk from the labels as they stand; walks don't chain within a round.
+
+    A label that an earlier round left, other than one on foot from the origin, was walked from in that round, so only those of this round's ride are.
+    """
+    moved = labels if round_ == 0 else labels.where((F.col("rides") == round_ + 1) | (F.col("kind") == 3))
+    new = moved.join(walks, F.col("stop_id") == F.col("from_stop")).select(
         F.col("to_stop").alias("stop_id"), (F.col("arrival") + F.col("seconds")).alias("arrival"), "rides", F.lit(3).alias("kind"), F.col("stop_id").alias("previous"),
         F.lit(-1).cast("bigint").alias("trip_id"), F.col("arrival").alias("departed"),
     )
@@ -134,7 +138,7 @@ def earliest(start: DataFrame, events: DataFrame, walks: DataFrame, rounds: int
     """Labels after some rounds of riding and walking. cut ends the lineage of a round (a checkpoint or a written table)."""
     labels = start
     for k in range(rounds):
-        labels = walk_on(ride(labels, events, k, slack), walks)
+        labels = walk_on(ride(labels, events, k, slack), walks, k)
         if cut is not None:
             labels = cut(labels)
     return labels
@@ -190,7 +194,3 @@ def compact(legs: list[dict]) -> list[dict]:
         else:
             out.append(dict(leg))
     return out
-
-
-def finish_score(arrival: Column, walk: Column) -> Column:
-    return arrival + 2 * walk

@@ -22,9 +22,9 @@ def segments(ways: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return good.withColumn("meters", S.edge_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
 
 
-def edges(found: DataFrame) -> DataFrame:
-    """Each segment in both directions."""
-    turn = lambda a, b: found.select(F.col(a).alias("from_id"), F.col(b).alias("to_id"), "meters")
+def edges(found: DataFrame, *others: str) -> DataFrame:
+    """Each segment in both directions, with other columns of it."""
+    turn = lambda a, b: found.select(F.col(a).alias("from_id"), F.col(b).alias("to_id"), "meters", *others)
     return turn("a", "b").unionByName(turn("b", "a"))
 
 
@@ -37,17 +37,16 @@ def degrees(all_edges: DataFrame) -> DataFrame:
     return all_edges.groupBy("from_id").agg(F.count("*").alias("degree"))
 
 
-def offsets(counts: DataFrame, key: str = "from_id", count: str = "degree", buckets: int = 64) -> DataFrame:
+def offsets(counts: DataFrame, key: str = "from_id", count: str = "degree") -> DataFrame:
     """The running total before each key, as a compressed sparse row layout has it.
 
-    Totals of key ranges are summed first, so the window over all rows has one row a range, and the others are windows of one range each.
+    Keys are dealt into ranges of about equal rows, as many as a shuffle has partitions; totals of ranges are summed first, so the
+    window over all rows has one row a range, and the others are windows of one range each.
     """
-    lo, hi = counts.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return counts.withColumn("offset", F.lit(0).cast("bigint"))
-    width = max(1, (hi - lo) // buckets + 1)
-    cut = counts.withColumn("_r", S.div(F.col(key) - lo, width))
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges_ = counts.approxQuantile(key, [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    ranged = counts.withColumn("_r", F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges_))]).cast("array<double>"), lambda e: e < F.col(key))))
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    base = cut.groupBy("_r").agg(F.sum(count).alias("_s")).select("_r", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
+    base = ranged.groupBy("_r").agg(F.sum(count).alias("_s")).select("_r", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
     inside = Window.partitionBy("_r").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.join(base, "_r").withColumn("offset", (F.col("_b") + F.coalesce(F.sum(count).over(inside), F.lit(0))).cast("bigint")).drop("_r", "_b")
+    return ranged.join(base, "_r").withColumn("offset", (F.col("_b") + F.coalesce(F.sum(count).over(inside), F.lit(0))).cast("bigint")).drop("_r", "_b")

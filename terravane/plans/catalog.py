@@ -41,23 +41,26 @@ class Data:
         return self.node.select("id", "lat_nano", "lon_nano", T.from_columns("name", "amenity").alias("tags"))
 
     def tagged_ways(self) -> DataFrame:
-        renamed = self.way.withColumnsRenamed({"street": "addr:street", "housenumber": "addr:housenumber", "postcode": "addr:postcode"})
-        keys = ("highway", "foot", "building", "leisure", "shop", "addr:street", "addr:housenumber", "addr:postcode")
-        pairs = [F.struct(F.lit(k).alias("k"), F.col(f"`{k}`").alias("v")) for k in keys]
-        return renamed.select("id", F.filter(F.array(*pairs), lambda x: x["v"].isNotNull()).alias("tags"))
-
-    def ways_with_refs(self) -> DataFrame:
-        refs = self.way_ref.groupBy("way_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("refs"))
-        return self.tagged_ways().join(refs, F.col("id") == F.col("way_id")).where(F.size("refs") >= 2)
+        renamed = {"street": "addr:street", "housenumber": "addr:housenumber", "postcode": "addr:postcode", "natural_": "natural", "levels": "building:levels"}
+        keys = ("highway", "foot", "building", "leisure", "shop", "natural", "waterway", "landuse", "railway", "access", "building:levels", "addr:street", "addr:housenumber", "addr:postcode")
+        back = {v: k for k, v in renamed.items()}
+        pairs = [F.struct(F.lit(k).alias("k"), F.col(back.get(k, k)).alias("v")) for k in keys]
+        return self.way.select("id", F.filter(F.array(*pairs), lambda x: x["v"].isNotNull()).alias("tags"))
+
+    def classes(self) -> DataFrame:
+        """Ways of two references at least, with c: style, area, coastline and walkable."""
+        refs = self.way_ref.groupBy("way_id").agg(F.count("*").alias("n"), F.min_by("node_id", "pos").alias("a"), F.max_by("node_id", "pos").alias("b")).where("n >= 2")
+        ways = self.tagged_ways().join(refs, F.col("id") == F.col("way_id"))
+        return ways.select("id", T.classified(F.col("tags"), F.col("n"), F.col("a"), F.col("b")).alias("c"))
 
     def classified(self) -> DataFrame:
-        v = T.getter("tags")
-        style = T.style(v)
-        return self.ways_with_refs().select("id", T.style_number(style).alias("style"), T.is_area(style, F.col("refs"), T.is_coastline(v)).alias("area"), T.walkable(v).alias("walkable"))
+        return self.classes().select("id", "c.style", "c.area", "c.walkable")
 
     def features(self) -> DataFrame:
-        rows = self.classified().where("style is not null").select("id", "style", F.col("area").cast("int").alias("flags"))
-        return rows.join(G.whole_bbox(self.way_ref, self.node).drop("ref_count"), F.col("id") == F.col("way_id")).drop("way_id")
+        rows = self.classes().select("id", F.inline(F.filter(F.array("c"), lambda c: c["style"].isNotNull())))
+        flags = F.col("area").cast("int") + 2 * F.col("coastline").cast("int")
+        boxes = G.whole_bbox(self.way_ref, self.node).drop("ref_count")
+        return rows.select("id", "style", flags.alias("flags")).join(boxes, F.col("id") == F.col("way_id")).drop("way_id")
 
     def tagged_relations(self) -> DataFrame:
         return self.relation.select("id", T.from_columns("name", "boundary", "admin_level", "place").alias("tags"))
@@ -126,7 +129,11 @@ def lookup_way_bbox_any_node(d: Data) -> DataFrame:
 
 @query
 def lookup_text(d: Data) -> DataFrame:
-    return L.nodes_in_box(d.tagged_nodes(), O.BOX).select(L.text_row("node", F.col("tags")).alias("value"))
+    """Text rows of the nodes in a box and of the ways that have a node there."""
+    nodes = L.nodes_in_box(d.tagged_nodes(), O.BOX).select(L.text_row("node", F.col("tags")).alias("value"))
+    refs = d.way_ref.groupBy("way_id").agg(F.count("*").alias("n"))
+    hit = L.ways_with_node_in_box(d.tagged_ways(), d.way_ref, d.node, O.BOX).join(refs, F.col("id") == F.col("way_id"))
+    return nodes.union(hit.select(L.text_row("way", F.col("tags"), F.col("n")).alias("value")))
 
 
 @query
@@ -146,7 +153,7 @@ def address_tsv(d: Data) -> DataFrame:
 
 @query
 def building_rows(d: Data) -> DataFrame:
-    return AD.building_rows(d.tagged_ways()).select("id", "building", "shop", "street", "housenumber", "is_building", "residential")
+    return AD.building_rows(d.tagged_ways())
 
 
 @query
@@ -202,12 +209,14 @@ def place_rank(d: Data) -> DataFrame:
 
 @query
 def place_top1(d: Data) -> DataFrame:
-    return TL.best_place(TL.places(d.tagged_relations(), d.member))
+    return TL.best_place(TL.places(d.tagged_relations(), d.member), G.relation_bbox(d.member, G.way_bbox(d.way_ref, d.node)))
 
 
 @query
 def needed_ways_semi(d: Data) -> DataFrame:
-    needed = d.member.where("member_type = 1 and rel_id % 10 = 3").select(F.col("member_id").alias("id"))
+    """Ways that are members of cities."""
+    cities = d.relation.where("place = 'city'").select(F.col("id").alias("rel_id"))
+    needed = d.member.where("member_type = 1").join(cities, "rel_id", "left_semi").select(F.col("member_id").alias("id"))
     return d.way.join(needed, "id", "left_semi").select("id")
 
 
@@ -223,12 +232,16 @@ def tile_assign(d: Data) -> DataFrame:
 
 @query
 def viewport_features(d: Data) -> DataFrame:
-    return TL.viewport(TL.assign(d.features(), O.ZOOM), O.BOX, O.ZOOM)
+    seen = cut(TL.viewport(d.features(), O.BOX, O.ZOOM, halo=1))
+    return TL.collapse(seen, TL.shapes(d.way_ref, d.node, seen))
 
 
 @query
 def metric_tiles(d: Data) -> DataFrame:
-    return TL.metric_tiles(d.metric())
+    """Tiles of the router with their nodes, stops and addresses."""
+    stops = TL.metric(d.stop.select("lat_e7", "lon_e7"), *O.ORIGIN)
+    addresses = TL.metric(d.address.where("lat_e7 is not null").select("lat_e7", "lon_e7"), *O.ORIGIN)
+    return TL.metric_tiles(d.metric(), stops=stops, addresses=addresses)
 
 
 @query
@@ -270,10 +283,17 @@ def shortest_path_dist(d: Data) -> DataFrame:
 
 @query
 def path_nodes(d: Data) -> DataFrame:
-    """Paths of ten queries, each from its own tile window."""
-    edges = W.edges(d.segments()).withColumn("tile_id", F.lit(0))
-    ends = d.way_ref.where("way_id < 10").groupBy(F.col("way_id").alias("query")).agg(F.min_by("node_id", "pos").alias("source"), F.max_by("node_id", "pos").alias("target"))
-    return P.route_queries(ends.withColumn("tiles", F.array(F.lit(0))), edges)
+    """Walking distances of asked pairs of nodes, each within the tiles that its ends span and one around."""
+    placed = d.metric().select(F.col("id").alias("node_id"), "tile_x", "tile_y", "tile_id")
+    segments = d.segments()
+    for side in ("a", "b"):
+        segments = segments.join(placed.select(F.col("node_id").alias(side), F.col("tile_id").alias(f"{side}_tile")), side)
+    edges = W.edges(W.tile_edges(segments), "tile_id")
+    ends = d.spark.createDataFrame(list(O.PATHS), "query long, source long, target long")
+    for side in ("source", "target"):
+        ends = ends.join(placed.select(F.col("node_id").alias(side), F.col("tile_x").alias(f"{side}_x"), F.col("tile_y").alias(f"{side}_y")), side)
+    found = P.route_queries(P.with_window(ends), edges)
+    return found.where("meters is not null").select("query", "meters", F.get("path", 0).alias("source"), F.element_at("path", -1).alias("target"))
 
 
 @query
@@ -325,12 +345,12 @@ def transit_earliest_6(d: Data) -> DataFrame:
 
 @query
 def transit_best_destination(d: Data) -> DataFrame:
-    return TR.best_destination(d.labels(3), TR.from_point(d.stop, *d.point(O.TARGET_STOP), TR.EGRESS_M))
+    return TR.best_destination(d.labels(TR.ROUNDS), TR.from_point(d.stop, *d.point(O.TARGET_STOP), TR.EGRESS_M))
 
 
 @query
 def transit_plan_legs(d: Data) -> DataFrame:
-    labels = cut(d.labels(3))
+    labels = cut(d.labels(TR.ROUNDS))
     last = TR.best_destination(labels, TR.from_point(d.stop, *d.point(O.TARGET_STOP), TR.EGRESS_M)).first()
     legs = TR.plan_legs(labels, last["stop_id"]) if last else []
     rows = [(i, x["kind"], x["trip"], x["board"], x["alight"], x["departure"], x["arrival"]) for i, x in enumerate(legs)]
@@ -411,7 +431,10 @@ def service_weekday(d: Data) -> DataFrame:
 
 @query
 def boundary_components(d: Data) -> DataFrame:
-    ends = d.way_ref.where("way_id % 20 = 1").groupBy("way_id").agg(F.min_by("node_id", "pos").alias("a"), F.max_by("node_id", "pos").alias("b"))
-    return P.components(ends.where("a <> b"), cut)
-
-
+    """Ways of border relations joined at their ends: each component's box, points and ways."""
+    border = d.member.where("member_type = 1").join(d.relation.where("place = 'suburb' and admin_level = '9'").select(F.col("id").alias("rel_id")), "rel_id", "left_semi")
+    refs = d.way_ref.join(border.select(F.col("member_id").alias("way_id")).distinct(), "way_id", "left_semi")
+    ends = refs.groupBy("way_id").agg(F.min_by("node_id", "pos").alias("a"), F.max_by("node_id", "pos").alias("b"), F.count("*").alias("points"))
+    boxes = G.whole_bbox(refs, d.node).select("way_id", *G.BOX)
+    ways = cut(ends.join(boxes, "way_id"))
+    return P.component_boxes(ways, P.components(ways.where("a <> b"), cut))

@@ -67,13 +67,15 @@ def ty(lat: str) -> str:
 
 _IN_BOX = f"lon_nano BETWEEN {BOX[0]} AND {BOX[2]} AND lat_nano BETWEEN {BOX[1]} AND {BOX[3]}"
 _BBOX = "min(lat_nano) AS min_lat, max(lat_nano) AS max_lat, min(lon_nano) AS min_lon, max(lon_nano) AS max_lon"
-_STYLE = """CASE WHEN leisure = 'park' THEN 3 WHEN building IS NOT NULL THEN 4 WHEN highway = 'motorway' THEN 5 WHEN highway = 'primary' THEN 6
-    WHEN highway = 'footway' THEN 9 WHEN highway IS NOT NULL THEN 8 END"""
-_WALK = """coalesce(highway, '') <> '' AND coalesce(foot, '') <> 'no' AND (coalesce(foot, '') = 'yes' OR highway IN ('footway', 'residential', 'primary'))"""
+_STYLE = """CASE WHEN natural_ = 'coastline' OR landuse = 'reservoir' THEN 0 WHEN waterway IS NOT NULL THEN 1 WHEN landuse = 'forest' OR natural_ = 'wood' THEN 2
+    WHEN leisure = 'park' OR landuse = 'meadow' THEN 3 WHEN building IS NOT NULL THEN 4 WHEN highway = 'motorway' THEN 5 WHEN highway = 'primary' THEN 6 WHEN highway = 'secondary' THEN 7
+    WHEN highway IN ('footway', 'cycleway') THEN 9 WHEN highway IS NOT NULL THEN 8 WHEN railway IS NOT NULL THEN 10 END"""
+_COAST = "coalesce(natural_ = 'coastline', false)"
+_WALK = """coalesce(highway, '') <> '' AND coalesce(access, '') <> 'private' AND coalesce(foot, '') <> 'no' AND (coalesce(foot, '') = 'yes' OR highway IN ('footway', 'residential', 'primary', 'secondary'))"""
 _WHOLE = f"""whole AS (SELECT way_id, {_BBOX}, count(*) AS ref_count FROM fx_way_ref r LEFT JOIN fx_node n ON n.id = r.node_id GROUP BY way_id HAVING count(lat_nano) = count(*) AND count(*) >= 2)"""
 _REFS = f"refs AS (SELECT way_id, list(node_id ORDER BY pos) AS refs FROM fx_way_ref GROUP BY way_id)"
 _CLOSED = "len(refs) >= 4 AND refs[1] = refs[len(refs)]"
-_FEATURE = f"""{_WHOLE}, {_REFS}, feature AS (SELECT w.id, {_STYLE} AS style, CASE WHEN {_STYLE} IN (3, 4) AND {_CLOSED} THEN 1 ELSE 0 END AS flags, min_lat, max_lat, min_lon, max_lon
+_FEATURE = f"""{_WHOLE}, {_REFS}, feature AS (SELECT w.id, {_STYLE} AS style, CASE WHEN {_STYLE} IN (0, 2, 3, 4) AND {_CLOSED} AND NOT {_COAST} THEN 1 ELSE 0 END + CASE WHEN {_COAST} THEN 2 ELSE 0 END AS flags, min_lat, max_lat, min_lon, max_lon
     FROM fx_way w JOIN whole ON whole.way_id = w.id JOIN refs ON refs.way_id = w.id WHERE {_STYLE} IS NOT NULL)"""
 _ASSIGN = f"""assigned AS (SELECT f.*, x.x AS tile_x, y.y AS tile_y, ({ZOOM}::BIGINT << 58) + (x.x << 29) + y.y AS tile_id FROM feature f,
     unnest(range({tx('f.min_lon')}, {tx('f.max_lon')} + 1)) AS x(x), unnest(range({ty('f.max_lat')}, {ty('f.min_lat')} + 1)) AS y(y))"""
@@ -138,6 +140,18 @@ _ADDR = f"""addr AS (SELECT id, lat_e7, {_NORM('street')} AS street, {_NORM('hou
   ahouse AS (SELECT addr.*, h FROM addr, unnest(list_distinct([house, split_part(house, '/', 1), CASE WHEN contains(house, '/') THEN split_part(house, '/', 2) ELSE house END])) AS u(h))"""
 _PFIT = lambda p: "(" + " OR ".join(f"coalesce({f} = {p} OR (starts_with({f}, {p}) AND length({f}) > length({p}) AND {p} <> '' AND NOT regexp_matches(substr({f}, length({p}) + 1, 1), '^[a-z0-9]$')) OR (starts_with({p}, {f}) AND length({p}) > length({f}) AND NOT regexp_matches(substr({p}, length({f}) + 1, 1), '^[a-z0-9]$')), false)" for f in ("city", "suburb", "postcode")) + ")"  # noqa: E731,E501
 
+# The tags that ways have, in order, and their columns.
+WAY_TAGS = (
+    ("highway", "highway"), ("foot", "foot"), ("building", "building"), ("leisure", "leisure"), ("shop", "shop"), ("natural", "natural_"), ("waterway", "waterway"), ("landuse", "landuse"),
+    ("railway", "railway"), ("access", "access"), ("building:levels", "levels"), ("addr:street", "street"), ("addr:housenumber", "housenumber"), ("addr:postcode", "postcode"),
+)
+_NO = "state city suburb country place unit floor door entrance building_part building_use flats apartments height roof_shape name start_date amenity office tourism craft healthcare public_transport"
+BUILDING_COLUMNS = [*[(n, n) for n in ("street", "housenumber", "postcode", "building", "levels", "shop", "leisure")], *[(n, "NULL") for n in _NO.split()]]
+_BUILDING = """e AS (SELECT *, building IS NOT NULL AS b, coalesce(building = 'house', false) AS explicit FROM fx_way),
+  v AS (SELECT *, CASE WHEN (shop IS NOT NULL OR leisure IS NOT NULL) AND NOT explicit THEN false ELSE (street IS NOT NULL AND housenumber IS NOT NULL) OR b END AS r FROM e)"""
+#: Walks that are asked for: query, first and last node.
+PATHS = ((1, 5, 77), (2, 12, 140), (3, 33, 34), (4, 150, 9), (5, 61, 188), (6, 100, 101), (7, 7, 7), (8, 20, 170))
+
 ORACLE = {
     "entity_summary": f"""WITH {fx('node', 'way', 'way_ref', 'relation', 'member')} SELECT (SELECT count(*) FROM fx_node) AS nodes, (SELECT count(*) FROM fx_way) AS ways,
         (SELECT count(*) FROM fx_way_ref) AS way_refs, (SELECT count(*) FROM fx_relation) AS relations, (SELECT count(*) FROM fx_member) AS members""",
@@ -145,17 +159,21 @@ ORACLE = {
     "lookup_way_by_id": f"WITH {fx('way')} SELECT id, highway FROM fx_way WHERE id = 77",
     "lookup_ways_limit": f"WITH {fx('way')} SELECT id, highway FROM fx_way WHERE highway = 'primary' ORDER BY id LIMIT 20",
     "lookup_way_bbox_any_node": f"WITH {fx('node', 'way', 'way_ref')} SELECT id, highway FROM fx_way WHERE id IN (SELECT way_id FROM fx_way_ref JOIN fx_node n ON n.id = node_id WHERE {_IN_BOX})",
-    "lookup_text": f"WITH {fx('node')} SELECT 'node ' || id || ' name=' || name || ' amenity=' || amenity AS value FROM fx_node WHERE {_IN_BOX}",
+    "lookup_text": f"""WITH {fx('node', 'way', 'way_ref')}, dec(id, lat, lon, tags) AS (SELECT id, printf('%d.%09d', lat_nano // 1000000000, lat_nano % 1000000000), printf('%d.%09d', lon_nano // 1000000000, lon_nano % 1000000000),
+          ' name=' || name || ' amenity=' || amenity FROM fx_node WHERE {_IN_BOX}),
+        n AS (SELECT way_id, count(*) AS n FROM fx_way_ref GROUP BY 1)
+        SELECT 'node ' || id || ' lat=' || lat || ' lon=' || lon || tags AS value FROM dec
+        UNION ALL SELECT 'way ' || id || ' refs=' || n || concat({', '.join(f"' {k}=' || {c}" for k, c in WAY_TAGS)}) FROM fx_way JOIN n ON way_id = id
+          WHERE id IN (SELECT way_id FROM fx_way_ref JOIN fx_node n ON n.id = node_id WHERE {_IN_BOX})""",
     "address_rows": f"WITH {fx('way')} SELECT id, street, housenumber, postcode FROM fx_way WHERE street IS NOT NULL AND housenumber IS NOT NULL AND postcode IS NOT NULL",
     "address_incomplete": f"WITH {fx('way')} SELECT id, street, housenumber, postcode FROM fx_way WHERE coalesce(street, housenumber, postcode) IS NOT NULL",
     "address_tsv": f"""WITH {fx('way')} SELECT 'way' || chr(9) || id || chr(9) || chr(9) || chr(9) || chr(9) || chr(9) || chr(9) || street || chr(9) || housenumber || chr(9) || postcode AS value
         FROM fx_way WHERE street IS NOT NULL AND housenumber IS NOT NULL AND postcode IS NOT NULL""",
-    "building_rows": f"""WITH {fx('way')}, v AS (SELECT *, building = 'yes' AS b, CASE WHEN shop IS NOT NULL OR leisure IS NOT NULL THEN false ELSE (street IS NOT NULL AND housenumber IS NOT NULL) OR coalesce(building = 'yes', false) END AS r FROM fx_way)
-        SELECT id, building, shop, street, housenumber, coalesce(b, false) AS is_building, r AS residential FROM v WHERE coalesce(b, false) OR r""",
-    "building_residential": f"""WITH {fx('way')} SELECT id, building FROM fx_way WHERE shop IS NULL AND leisure IS NULL AND ((street IS NOT NULL AND housenumber IS NOT NULL) OR building = 'yes')""",
+    "building_rows": f"""WITH {fx('way')}, {_BUILDING} SELECT id, {', '.join(f"{c}::VARCHAR AS {n}" for n, c in BUILDING_COLUMNS)}, b AS is_building, r AS residential FROM v WHERE b OR r""",
+    "building_residential": f"WITH {fx('way')}, {_BUILDING} SELECT id, building FROM v WHERE r",
     "building_footprint": f"""WITH {fx('node', 'way_ref', 'way')} SELECT way_id, {_BBOX}, count(*) AS ref_count, count(*) - count(lat_nano) AS missing_ref_count,
         min(lat_nano) + (max(lat_nano) - min(lat_nano)) // 2 AS center_lat, min(lon_nano) + (max(lon_nano) - min(lon_nano)) // 2 AS center_lon
-        FROM fx_way_ref r JOIN fx_way w ON w.id = way_id AND building = 'yes' LEFT JOIN fx_node n ON n.id = node_id GROUP BY way_id""",
+        FROM fx_way_ref r JOIN fx_way w ON w.id = way_id AND building IS NOT NULL LEFT JOIN fx_node n ON n.id = node_id GROUP BY way_id""",
     "way_bbox": f"WITH {fx('node', 'way_ref')} SELECT way_id, {_BBOX} FROM fx_way_ref JOIN fx_node n ON n.id = node_id GROUP BY way_id",
     "way_bbox_whole": f"WITH {fx('node', 'way_ref')}, {_WHOLE} SELECT way_id, min_lat, max_lat, min_lon, max_lon, ref_count FROM whole",
     "relation_bbox": f"""WITH {fx('node', 'way_ref', 'member')}, box AS (SELECT way_id, {_BBOX} FROM fx_way_ref JOIN fx_node n ON n.id = node_id GROUP BY way_id)
@@ -167,17 +185,27 @@ ORACLE = {
     "way_centroid": f"""WITH {fx('node', 'way_ref')} SELECT way_id, (sum({e7('lat_nano')}) // count(*))::BIGINT AS lat_e7, (sum({e7('lon_nano')}) // count(*))::BIGINT AS lon_e7
         FROM fx_way_ref JOIN fx_node n ON n.id = node_id GROUP BY way_id""",
     "global_bounds": f"WITH {fx('node')} SELECT {_BBOX}, count(*) AS nodes FROM fx_node",
-    "classify_ways": f"""WITH {fx('way', 'way_ref')}, {_REFS} SELECT w.id, ({_STYLE})::INT AS style, coalesce({_STYLE} IN (3, 4) AND {_CLOSED}, false) AS area, coalesce({_WALK}, false) AS walkable
+    "classify_ways": f"""WITH {fx('way', 'way_ref')}, {_REFS} SELECT w.id, ({_STYLE})::INT AS style, coalesce({_STYLE} IN (0, 2, 3, 4) AND {_CLOSED} AND NOT {_COAST}, false) AS area, coalesce({_WALK}, false) AS walkable
         FROM fx_way w JOIN refs ON way_id = w.id WHERE len(refs) >= 2""",
     "place_rank": f"WITH {fx('relation', 'member')}, {_PLACE} SELECT id, name, kind, level, ways, score::BIGINT AS score FROM place",
-    "place_top1": f"WITH {fx('relation', 'member')}, {_PLACE} SELECT name, arg_max(id, score * 1000000 - id) AS id, max(score)::BIGINT AS score FROM place GROUP BY name",
-    "needed_ways_semi": f"WITH {fx('way', 'member')} SELECT id FROM fx_way WHERE id IN (SELECT member_id FROM fx_member WHERE member_type = 1 AND rel_id % 10 = 3)",
+    "place_top1": f"""WITH {fx('relation', 'member', 'node', 'way_ref')}, {_PLACE},
+        wide AS (SELECT rel_id FROM fx_member JOIN fx_way_ref ON way_id = member_id JOIN fx_node n ON n.id = node_id WHERE member_type = 1 GROUP BY rel_id HAVING max(lat_nano) > min(lat_nano) AND max(lon_nano) > min(lon_nano))
+        SELECT name, arg_max(id, score * 1000000 - id) AS id, max(score)::BIGINT AS score FROM place WHERE id IN (SELECT rel_id FROM wide) GROUP BY name""",
+    "needed_ways_semi": f"WITH {fx('way', 'member', 'relation')} SELECT id FROM fx_way WHERE id IN (SELECT member_id FROM fx_member JOIN fx_relation r ON r.id = rel_id WHERE member_type = 1 AND place = 'city')",
     "distinct_refs": f"WITH {fx('way_ref')} SELECT DISTINCT node_id FROM fx_way_ref",
     "tile_assign": f"WITH {fx('node', 'way', 'way_ref')}, {_FEATURE}, {_ASSIGN} SELECT id, tile_x, tile_y, tile_id FROM assigned",
     "tile_directory": f"WITH {fx('node', 'way', 'way_ref')}, {_FEATURE}, {_ASSIGN} SELECT tile_id, tile_x, tile_y, count(*) AS features, bit_or(1::BIGINT << style) AS layers FROM assigned GROUP BY ALL",
-    "viewport_features": f"""WITH {fx('node', 'way', 'way_ref')}, {_FEATURE} SELECT DISTINCT style::INT AS style, flags::INT AS flags, min_lon, min_lat, max_lon, max_lat FROM feature
-        WHERE min_lon <= {BOX[2]} AND max_lon >= {BOX[0]} AND min_lat <= {BOX[3]} AND max_lat >= {BOX[1]}""",
-    "metric_tiles": f"WITH {fx('node')}, {_METRIC} SELECT tile_id, tile_x, tile_y, count(*) AS source_nodes, min(lat_e7) AS min_lat_e7, max(lat_e7) AS max_lat_e7, min(lon_e7) AS min_lon_e7, max(lon_e7) AS max_lon_e7 FROM tiled GROUP BY ALL",
+    "viewport_features": f"""WITH {fx('node', 'way', 'way_ref')}, {_FEATURE}, {_ASSIGN},
+        seen AS (SELECT DISTINCT id, style, flags, min_lon, min_lat, max_lon, max_lat FROM assigned WHERE min_lon <= {BOX[2]} AND max_lon >= {BOX[0]} AND min_lat <= {BOX[3]} AND max_lat >= {BOX[1]}
+          AND tile_x BETWEEN {tx(f'{BOX[0]}::BIGINT')} - 1 AND {tx(f'{BOX[2]}::BIGINT')} + 1 AND tile_y BETWEEN {ty(f'{BOX[3]}::BIGINT')} - 1 AND {ty(f'{BOX[1]}::BIGINT')} + 1),
+        shape AS (SELECT way_id, count(*) AS n_points, md5(string_agg(lon_nano || ' ' || lat_nano, ',' ORDER BY pos)) AS shape FROM fx_way_ref JOIN fx_node n ON n.id = node_id GROUP BY way_id)
+        SELECT DISTINCT style::INT AS style, flags::INT AS flags, min_lon, min_lat, max_lon, max_lat, n_points, shape FROM seen JOIN shape ON way_id = id""",
+    "metric_tiles": f"""WITH {fx('node', 'stop', 'address')}, {_METRIC},
+        other(what, lat, lon) AS (SELECT 's', lat_e7, lon_e7 FROM fx_stop UNION ALL SELECT 'a', lat_e7, lon_e7 FROM fx_address WHERE lat_e7 IS NOT NULL),
+        om AS (SELECT what, (lon - {ORIGIN[1]})::BIGINT * {per_lon(f'{ORIGIN[0]}::BIGINT')} // 10000000 AS mx, (lat - {ORIGIN[0]})::BIGINT * 111320 // 10000000 AS my FROM other),
+        oc AS (SELECT {floor_div('mx', 4000)} AS tile_x, {floor_div('my', 4000)} AS tile_y, count(*) FILTER (WHERE what = 's') AS stops, count(*) FILTER (WHERE what = 'a') AS addresses FROM om GROUP BY ALL),
+        t AS (SELECT tile_id, tile_x, tile_y, count(*) AS source_nodes, min(lat_e7) AS min_lat_e7, max(lat_e7) AS max_lat_e7, min(lon_e7) AS min_lon_e7, max(lon_e7) AS max_lon_e7 FROM tiled GROUP BY ALL)
+        SELECT t.*, coalesce(stops, 0) AS stops, coalesce(addresses, 0) AS addresses FROM t LEFT JOIN oc USING (tile_x, tile_y)""",
     "tile_neighbor_mask": f"""WITH {fx('node')}, {_METRIC}, t AS (SELECT DISTINCT tile_id, tile_x, tile_y FROM tiled),
         o(dx, dy, bit) AS (VALUES (-1, -1, 1), (0, -1, 2), (1, -1, 4), (-1, 0, 8), (1, 0, 16), (-1, 1, 32), (0, 1, 64), (1, 1, 128))
         SELECT t.tile_id, coalesce(sum(bit) FILTER (WHERE u.tile_id IS NOT NULL), 0)::INT AS mask FROM t CROSS JOIN o LEFT JOIN t u ON u.tile_x = t.tile_x + dx AND u.tile_y = t.tile_y + dy GROUP BY t.tile_id""",
@@ -191,6 +219,20 @@ ORACLE = {
         s(id, dist) USING KEY (id) AS (SELECT (SELECT min(from_id) FROM e), 0::BIGINT UNION
           (SELECT to_id, min(s.dist + m) AS d FROM s JOIN e ON from_id = s.id LEFT JOIN recurring.s AS k ON k.id = to_id WHERE k.dist IS NULL OR s.dist + m < k.dist GROUP BY to_id))
         SELECT id, dist FROM s""",
+    "path_nodes": f"""WITH RECURSIVE {fx('node', 'way', 'way_ref')}, {_METRIC}, {_SEG}, asked(query, source, target) AS (VALUES {', '.join(f'({q}, {a}::BIGINT, {b}::BIGINT)' for q, a, b in PATHS)}),
+        win AS (SELECT query, source, target, least(s.tile_x, t.tile_x) - 1 AS x1, greatest(s.tile_x, t.tile_x) + 1 AS x2, least(s.tile_y, t.tile_y) - 1 AS y1, greatest(s.tile_y, t.tile_y) + 1 AS y2
+          FROM asked JOIN tiled s ON s.id = source JOIN tiled t ON t.id = target),
+        best AS (SELECT a, b, min(meters) AS m FROM seg GROUP BY ALL),
+        inside AS (SELECT query, best.a, best.b, m FROM best JOIN tiled ta ON ta.id = best.a JOIN tiled tb ON tb.id = best.b
+          JOIN win ON (ta.tile_x BETWEEN x1 AND x2 AND ta.tile_y BETWEEN y1 AND y2) OR (tb.tile_x BETWEEN x1 AND x2 AND tb.tile_y BETWEEN y1 AND y2)),
+        e AS MATERIALIZED (SELECT query, a AS from_id, b AS to_id, m FROM inside UNION ALL SELECT query, b, a, m FROM inside),
+        s(query, id, dist) USING KEY (query, id) AS (SELECT query, source, 0::BIGINT FROM win UNION
+          (SELECT e.query, to_id, min(s.dist + m) AS d FROM s JOIN e ON e.query = s.query AND from_id = s.id LEFT JOIN recurring.s AS k ON k.query = e.query AND k.id = to_id
+           WHERE k.dist IS NULL OR s.dist + m < k.dist GROUP BY e.query, to_id))
+        SELECT win.query::BIGINT AS query, dist AS meters, source, target FROM win JOIN s ON s.query = win.query AND s.id = target""",
+    "route_steps": f"""WITH RECURSIVE {fx('node', 'way', 'way_ref')}, {_SEG}, l AS MATERIALIZED (SELECT way_id, list(meters ORDER BY pos) AS m FROM seg GROUP BY way_id),
+        run(way_id, i, total) AS (SELECT way_id, 1, m[1] FROM l UNION ALL SELECT way_id, i + 1, CASE WHEN total >= 450 THEN m[i + 1] ELSE total + m[i + 1] END FROM run JOIN l USING (way_id) WHERE i < len(m))
+        SELECT way_id, (row_number() OVER (PARTITION BY way_id ORDER BY i) - 1)::INT AS step, total AS meters FROM run JOIN l USING (way_id) WHERE total >= 450 OR i = len(m)""",
     "service_active": f"WITH {fx('calendar', 'exception')}, {_SERVICE} SELECT service_id FROM active",
     "calendar_matrix": f"""WITH {fx('calendar', 'exception')}, d AS (SELECT CAST(range AS DATE) AS d, strftime(range, '%Y%m%d')::INT AS date FROM range(DATE '2026-05-30', DATE '2026-07-03', INTERVAL 1 DAY)),
         x AS (SELECT service_id, date, min(type) AS type FROM fx_exception GROUP BY ALL)
@@ -203,9 +245,9 @@ ORACLE = {
     "transfer_pairs": f"WITH {fx('stop')}, {_TRANSFER} SELECT from_stop, to_stop, meters, seconds FROM transfer",
     "transit_round_1": f"WITH {fx(*_EVENT_FX)}, {_EVENT}, {_TRANSFER}, {_rounds(1)} SELECT stop_id, arrival, rides::INT AS rides FROM l1",
     "transit_earliest_6": f"WITH {fx(*_EVENT_FX)}, {_EVENT}, {_TRANSFER}, {_rounds(6)} SELECT stop_id, arrival, rides::INT AS rides FROM l6",
-    "transit_best_destination": f"""WITH {fx(*_EVENT_FX)}, {_EVENT}, {_TRANSFER}, {_rounds(3)},
+    "transit_best_destination": f"""WITH {fx(*_EVENT_FX)}, {_EVENT}, {_TRANSFER}, {_rounds(6)},
         near AS (SELECT stop_id, {direct_m('plat', 'plon', 'lat_e7', 'lon_e7')} AS meters FROM fx_stop, {_POINT} p),
-        c AS (SELECT l3.stop_id, arrival + {walk_s('meters')} AS finish, arrival + 2 * {walk_s('meters')} AS score, meters FROM l3 JOIN near USING (stop_id) WHERE meters <= 1500 AND rides > 0)
+        c AS (SELECT l6.stop_id, arrival + {walk_s('meters')} AS finish, arrival + 2 * {walk_s('meters')} AS score, meters FROM l6 JOIN near USING (stop_id) WHERE meters <= 1500 AND rides > 0)
         SELECT stop_id, finish, score, meters FROM c ORDER BY score, finish, stop_id LIMIT 1""",
     "transit_arrive_by": f"""WITH {fx(*_EVENT_FX)}, {_EVENT}, o AS (SELECT s.stop_id AS o_id, {walk_s(direct_m('p.lat_e7', 'p.lon_e7', 's.lat_e7', 's.lon_e7'))} AS ow FROM fx_stop s, fx_stop p
           WHERE p.stop_id = {START_STOP} AND {direct_m('p.lat_e7', 'p.lon_e7', 's.lat_e7', 's.lon_e7')} <= 800),
@@ -241,8 +283,12 @@ ORACLE = {
           ELSE CASE WHEN dy >= 0 THEN 'north' ELSE 'south' END || '-' || CASE WHEN dx >= 0 THEN 'east' ELSE 'west' END END AS direction FROM p""",
     "walk_seconds": f"WITH {fx('stop')} SELECT stop_id, {walk_s('stop_id * 13')} AS seconds, (stop_id * 13 * 3 + 249) // 250 AS minutes, {floor_div('(stop_id - 50) * 9999', 50000)} AS cell FROM fx_stop",
     "service_weekday": "SELECT DISTINCT strftime(o_orderdate, '%Y%m%d')::INT AS date, (isodow(o_orderdate) - 1)::INT AS weekday FROM orders",
-    "boundary_components": f"""WITH RECURSIVE {fx('way', 'way_ref')}, ends AS (SELECT way_id, arg_min(node_id, pos) AS a, arg_max(node_id, pos) AS b FROM fx_way_ref WHERE way_id % 20 = 1 GROUP BY way_id),
-        link AS (SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b),
-        c(v, root) AS (SELECT a, a FROM link UNION SELECT link.b, c.root FROM c JOIN link ON link.a = c.v)
-        SELECT v, min(root) AS root FROM c GROUP BY v""",
+    "boundary_components": f"""WITH RECURSIVE {fx('way_ref', 'node', 'member', 'relation')},
+        border AS (SELECT DISTINCT member_id FROM fx_member JOIN fx_relation r ON r.id = rel_id WHERE member_type = 1 AND place = 'suburb' AND admin_level = '9'),
+        ends AS (SELECT way_id, arg_min(node_id, pos) AS a, arg_max(node_id, pos) AS b, count(*) AS points, {_BBOX} FROM fx_way_ref JOIN border ON member_id = way_id LEFT JOIN fx_node n ON n.id = node_id
+          GROUP BY way_id HAVING count(lat_nano) = count(*) AND count(*) >= 2),
+        link AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends),
+        c(v, root) AS (SELECT a, a FROM link UNION SELECT link.b, c.root FROM c JOIN link ON link.a = c.v),
+        least AS (SELECT v, min(root) AS root FROM c GROUP BY v)
+        SELECT root, min(min_lat) AS min_lat, max(max_lat) AS max_lat, min(min_lon) AS min_lon, max(max_lon) AS max_lon, sum(points)::BIGINT AS points, count(*) AS ways FROM ends JOIN least ON v = a GROUP BY root""",
 }

@@ -12,9 +12,12 @@ FIXTURES = {
     "way_ref": """select l_orderkey way_id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) as bigint) - 1 pos,
         l_partkey node_id from {lineitem}""",
     "way": """select o_orderkey id,
-        case o_orderpriority when '1-URGENT' then 'motorway' when '2-HIGH' then 'primary' when '3-MEDIUM' then 'residential' when '4-NOT SPECIFIED' then 'footway' end highway,
+        case o_orderpriority when '1-URGENT' then 'motorway' when '2-HIGH' then 'primary' when '3-MEDIUM' then 'residential' when '4-NOT SPECIFIED' then case o_orderkey % 4 when 0 then 'cycleway' when 1 then 'secondary' else 'footway' end end highway,
+        case when o_orderkey % 37 = 0 then 'coastline' when o_orderkey % 19 = 0 then 'wood' end natural_, case when o_orderkey % 23 = 0 then 'river' end waterway,
+        case when o_orderkey % 29 = 0 then 'forest' when o_orderkey % 31 = 0 then 'reservoir' when o_orderkey % 43 = 0 then 'meadow' end landuse, case when o_orderkey % 3 = 0 then 'rail' end railway,
+        case when o_orderkey % 41 = 0 then 'private' when o_orderkey % 17 = 0 then 'yes' end access, case when o_orderkey % 9 = 0 then cast(o_orderkey % 8 as varchar(9)) end levels,
         case when o_orderstatus = 'P' then 'no' when o_orderstatus = 'F' and o_orderkey % 5 = 0 then 'yes' end foot,
-        case when o_orderpriority = '5-LOW' then 'yes' end building, case when o_orderkey % 11 = 0 then 'park' end leisure,
+        case when o_orderpriority = '5-LOW' and o_orderkey % 2 = 0 then 'yes' when o_orderpriority = '5-LOW' and o_orderkey % 5 < 3 then 'house' end building, case when o_orderkey % 11 = 0 then 'park' end leisure,
         case when o_orderkey % 13 = 0 then 'bakery' end shop, case when o_orderkey % 2 = 0 then 'Ring' end street, cast(o_orderkey % 60 as varchar(9)) housenumber,
         case when o_orderkey % 3 = 0 then '14467' end postcode from {orders}""",
     "member": "select c_custkey rel_id, o_orderkey member_id, 1 member_type from {customer} join {orders} on o_custkey = c_custkey",
