@@ -158,3 +158,37 @@ def resolve_indexed(queries: DataFrame, index: DataFrame) -> DataFrame:
     tries = asked.withColumn("t", F.explode(F.array(F.struct(F.col("p").alias("place"), F.lit(0).alias("pass")), F.struct(F.lit("").alias("place"), F.lit(1).alias("pass")))))
     hit = tries.select("query_id", "name", "house", "t.place", "t.pass").join(index, ["name", "house", "place"])
     return hit.groupBy("query_id").agg(F.min(F.struct("pass", "id", "addresses")).alias("b")).select("query_id", F.col("b.id").alias("id"), F.col("b.addresses").alias("addresses"))
+
+
+def first_matches(queries: DataFrame, addresses: DataFrame, most: int = 20) -> DataFrame:
+    """query_id, matches (of all) and ids: the first matches by id, most at most."""
+    hit = score_matches(queries, addresses).select("query_id", "id")
+    return hit.groupBy("query_id").agg(F.count("*").alias("matches"), F.slice(F.sort_array(F.collect_set("id")), 1, most).alias("ids"))
+
+
+def endpoints(queries: DataFrame, addresses: DataFrame, index: DataFrame, index_only: bool = False, most: int = 64) -> DataFrame:
+    """query_id, way and spots (lat_e7, lon_e7; most at most) of where asked places are, by the first way that finds any: 0 coordinates as given,
+    1 the index with the place, 2 the index without it, 3 the equally best scored addresses, 4 the same without the place; addresses without
+    a coordinate don't count, and index_only leaves out 3 and 4.
+    """
+    number = r"^\s*(-?[0-9]+(?:\.[0-9]+)?)\s*,\s*(-?[0-9]+(?:\.[0-9]+)?)\s*$"
+    at = lambda k: (F.regexp_extract("query", number, k).try_cast("decimal(20,9)") * 10_000_000).cast("decimal(20,0)").cast("long")
+    literal = queries.where(F.col("query").rlike(number)).select("query_id", F.lit(0).alias("way"), at(1).alias("lat_e7"), at(2).alias("lon_e7"))
+    literal = literal.where(F.abs("lat_e7") <= 900_000_000).where(F.abs("lon_e7") <= 1_800_000_000)
+    spots = addresses.where("lat_e7 is not null and lon_e7 is not null").select("id", "lat_e7", "lon_e7")
+    known = addresses.join(spots.select("id"), "id", "left_semi")
+    q = split_query(F.col("query"))
+    asked = queries.select("query_id", fold(q["street"]).alias("name"), q["house"].alias("house"), fold(q["place"]).alias("p"))
+    tries = asked.withColumn("t", F.explode(F.array(F.struct(F.col("p").alias("place"), F.lit(1).alias("way")), F.struct(F.lit("").alias("place"), F.lit(2).alias("way")))))
+    by_index = tries.select("query_id", "name", "house", "t.place", "t.way").join(index.select("name", "house", "place", "id"), ["name", "house", "place"]).select("query_id", "way", "id")
+    found = by_index
+    if not index_only:
+        bare = queries.withColumn("query", F.substring_index("query", ",", 1))
+        for way, some in ((3, queries), (4, bare)):
+            scored = score_matches(some, known)
+            best = scored.groupBy("query_id").agg(F.max("score").alias("top")).withColumnRenamed("query_id", "q2")
+            top = scored.join(best, (F.col("query_id") == F.col("q2")) & (F.col("score") == F.col("top")))
+            found = found.union(top.select("query_id", F.lit(way).alias("way"), "id"))
+    every = literal.union(found.join(spots, "id").select("query_id", "way", "lat_e7", "lon_e7"))
+    ways = every.groupBy("query_id", "way").agg(F.slice(F.sort_array(F.collect_set(F.struct("lat_e7", "lon_e7"))), 1, most).alias("spots"))
+    return ways.groupBy("query_id").agg(F.min(F.struct("way", "spots")).alias("b")).select("query_id", "b.way", "b.spots")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,59 @@ def calendar_matrix(calendar: DataFrame, exceptions: DataFrame, first: int, last
     return days.join(by_day, ["service_id", "date"], "left").where(F.coalesce(F.col("type") == 1, regular, F.lit(False))).select("date", "service_id")
 
 
+def calendar_span(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """first and last: the days that calendars and exceptions span, 0 left out."""
+    dates = calendar.select("start_date", "end_date").union(exceptions.select("date", "date")).toDF("a", "b")
+    return dates.agg(F.min(F.when(F.col("a") != 0, F.col("a"))).alias("first"), F.max(F.when(F.col("b") != 0, F.col("b"))).alias("last"))
+
+
+def exception_ranges(exceptions: DataFrame) -> DataFrame:
+    """service_id, offset and count of each service's exceptions in the order of services."""
+    n = exceptions.groupBy("service_id").agg(F.count("*").alias("count"))
+    before = Window.orderBy("service_id").rowsBetween(Window.unboundedPreceding, -1)
+    return n.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0)))  # one row a service
+
+
+def verify_labels(labels: DataFrame, start: DataFrame, events: DataFrame, walks: DataFrame, rounds: int = ROUNDS, slack: int = 0) -> DataFrame:
+    """stop_id, wanted and found arrivals where labels differ from a plain scan of the timetable in one task; no row means they agree.
+
+    A check for extracts that one task can hold: it gathers all events, walks and labels in it.
+    """
+    tagged = [
+        start.select(F.lit("s").alias("what"), F.col("stop_id").alias("a"), F.col("arrival").alias("b"), *[F.lit(None).cast("long").alias(c) for c in "cde"]),
+        events.select(F.lit("e"), "trip_id", "sequence", "stop_id", "arrival_sec", "departure_sec"),
+        walks.select(F.lit("w"), "from_stop", "to_stop", "seconds", *[F.lit(None).cast("long")] * 2),
+        labels.select(F.lit("l"), "stop_id", "arrival", F.col("rides").cast("long"), *[F.lit(None).cast("long")] * 2),
+    ]
+    every = tagged[0]
+    for t in tagged[1:]:
+        every = every.union(t)
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = {k: part.drop(columns=["what", "one"]).to_numpy() for k, part in pdf.groupby("what")}
+        best = {int(a): (int(b), 0) for a, b, *_ in rows.get("s", [])}
+        trips: dict[int, list[tuple]] = {}
+        for trip, seq, stop, arrive, leave in rows.get("e", []):
+            trips.setdefault(int(trip), []).append((int(seq), int(stop), int(arrive), int(leave)))
+        for round_ in range(rounds):
+            after = dict(best)
+            for stops in trips.values():
+                on = min(((seq, leave) for seq, stop, _, leave in stops if best.get(stop, (0, -1))[1] == round_ and leave >= best[stop][0] + slack), default=None)
+                for seq, stop, arrive, _ in stops if on else ():
+                    if seq > on[0] and arrive >= on[1]:
+                        after[stop] = min(after.get(stop, (arrive, round_ + 1)), (arrive, round_ + 1))
+            best = dict(after)
+            for a, b, seconds, *_ in rows.get("w", []):
+                if int(a) in after:
+                    new = (after[int(a)][0] + int(seconds), after[int(a)][1])
+                    best[int(b)] = min(best.get(int(b), new), new)
+        found = {int(a): (int(b), int(c)) for a, b, c, *_ in rows.get("l", [])}
+        bad = sorted(k for k in best.keys() | found.keys() if best.get(k) != found.get(k))
+        return pd.DataFrame([(k, best.get(k, (None,))[0], found.get(k, (None,))[0]) for k in bad], columns=["stop_id", "wanted", "found"])
+
+    return every.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(scan, "stop_id long, wanted long, found long")
+
+
 def clean_events(events: DataFrame, trips: DataFrame, stops: DataFrame, routes: DataFrame, services: DataFrame) -> DataFrame:
     """Events whose trip, route, service and stop are known, with the trip's route and mode."""
     good = trips.join(services.select("service_id"), "service_id", "left_semi").join(routes.select("route_id", S.mode_of(F.col("route_type")).alias("mode")), "route_id")

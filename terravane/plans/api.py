@@ -110,10 +110,14 @@ def answers(requests: DataFrame) -> DataFrame:
     return requests.select("value", F.from_json("value", REQUEST).alias("request")).select("value", "request.*")
 
 
-def events_json(df: DataFrame, event: str, order: list[str]) -> DataFrame:
-    """JSON lines in one envelope with a running number."""
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy(F.lit(event)).orderBy(*order))
+def events_json(df: DataFrame, event: str, order: list[str], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """JSON lines in one envelope with a running number from 1: rows are sorted and written in parts, and the parts before a row are counted."""
+    placed = cut(df.sort(*order).withColumn("_at", F.monotonically_increasing_id()))
+    counts = {r["part"]: r["n"] for r in placed.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, so_far = {}, 0
+    for part in sorted(counts):
+        before[part], so_far = so_far, so_far + counts[part]
+    first = F.element_at(F.create_map(*[F.lit(x) for kv in (before or {0: 0}).items() for x in kv]), F.shiftright("_at", 33))
+    number = first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     body = F.struct(F.lit(event).alias("event"), number.alias("seq"), F.struct(*df.columns).alias("data"))
-    return df.select(F.to_json(body).alias("value"))
+    return placed.select(F.to_json(body).alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,10 @@ from ..operators import paths as P
 from ..operators import tiles as TL
 from ..operators import transit as TR
 from ..operators import walk as W
+from ..sources import gtfs as GT
+from ..sources import osm_pbf as PBF
 from ..sources.fixtures import fixture, table
-from ..sources.workspace import cut
+from ..sources.workspace import cut, shared_dir
 from . import oracle as O  # noqa: E741
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +86,40 @@ class Data:
         row = self.stop.where(F.col("stop_id") == stop).select("lat_e7", "lon_e7").first()
         return row[0], row[1]
 
+    def extract(self) -> str:
+        """A folder with the projected nodes, ways and relations as an extract."""
+        PBF.register(self.spark)
+        path = f"{shared_dir(self.spark)}/extract-{uuid.uuid4().hex}"
+        refs = self.way_ref.groupBy("way_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("refs"))
+        ways = self.tagged_ways().join(refs, F.col("id") == F.col("way_id")).select("id", "refs", "tags")
+        one = F.struct(F.col("member_id").alias("id"), F.col("member_type").alias("type"), F.lit("outer").alias("role"))
+        members = self.member.groupBy("rel_id").agg(F.sort_array(F.collect_list(one)).alias("members"))
+        relations = self.tagged_relations().join(members, F.col("id") == F.col("rel_id"), "left").select("id", "members", "tags")
+        for entity, df in (("node", self.tagged_nodes()), ("way", ways), ("relation", relations)):
+            df.write.format("osm_pbf").option("entity", entity).mode("append").save(path)
+        return path
+
+    def read_extract(self, entity: str, **options: str) -> DataFrame:
+        return self.spark.read.format("osm_pbf").option("entity", entity).options(**options).load(self.extract())
+
+    def feed(self) -> dict[str, DataFrame]:
+        """The projected timetable, written as the text files of a feed and loaded from them."""
+        path = f"{shared_dir(self.spark)}/feed-{uuid.uuid4().hex}"
+        clock = lambda c: F.format_string("%02d:%02d:%02d", S.div(F.col(c), 3600), S.div(F.col(c) % 3600, 60), F.col(c) % 60).alias(c.replace("_sec", "_time"))
+        degrees = lambda c, name: S.coord_text(F.col(c), 7).alias(name)
+        days = [F.call_function("shiftright", F.col("mask"), F.lit(k)).bitwiseAND(F.lit(1)).alias(day) for k, day in enumerate(GT.DAYS)]
+        written = {
+            "stops": self.stop.select("stop_id", "stop_name", degrees("lat_e7", "stop_lat"), degrees("lon_e7", "stop_lon")),
+            "routes": self.route.select("route_id", F.concat(F.lit("R, \""), "route_id", F.lit("\"")).alias("route_short_name"), F.lit("").alias("route_long_name"), "route_type"),
+            "trips": self.trip.select("route_id", "service_id", "trip_id"),
+            "stop_times": self.stop_time.select("trip_id", clock("arrival_sec"), clock("departure_sec"), "stop_id", F.col("sequence").alias("stop_sequence")),
+            "calendar": self.calendar.select("service_id", *days, "start_date", "end_date"),
+            "calendar_dates": self.exception.select("service_id", "date", F.col("type").alias("exception_type")),
+        }
+        for name, df in written.items():
+            df.write.csv(f"{path}/{name}.txt", header=True, quote='"', escape='"')
+        return GT.load_gtfs(self.spark, path)
+
     def asked(self) -> DataFrame:
         return self.spark.createDataFrame(list(O.QUERIES), "query_id int, query string")
 
@@ -438,3 +475,134 @@ def boundary_components(d: Data) -> DataFrame:
     boxes = G.whole_bbox(refs, d.node).select("way_id", *G.BOX)
     ways = cut(ends.join(boxes, "way_id"))
     return P.component_boxes(ways, P.components(ways.where("a <> b"), cut))
+
+
+@query
+def pbf_nodes(d: Data) -> DataFrame:
+    """Nodes of an extract that is written and read back."""
+    return d.read_extract("node").select("id", "lat_nano", "lon_nano", T.get(F.col("tags"), "name").alias("name"), F.size("tags").alias("tags"))
+
+
+@query
+def pbf_nodes_bare(d: Data) -> DataFrame:
+    """Nodes of an extract without their tags."""
+    return d.read_extract("node", tags="false").select("id", "lat_nano", "lon_nano")
+
+
+@query
+def pbf_ways(d: Data) -> DataFrame:
+    return d.read_extract("way").select("id", F.array_join("refs", ",").alias("refs"), T.get(F.col("tags"), "highway").alias("highway"), T.get(F.col("tags"), "addr:street").alias("street"))
+
+
+@query
+def pbf_way_by_id(d: Data) -> DataFrame:
+    """One way of an extract, whose id is looked for while decoding."""
+    return d.read_extract("way").where("id = 77").select("id", F.size("refs").alias("refs"), T.get(F.col("tags"), "highway").alias("highway"))
+
+
+@query
+def pbf_relations(d: Data) -> DataFrame:
+    members = F.transform("members", lambda x: F.concat_ws(":", x["id"], x["type"], x["role"]))
+    return d.read_extract("relation").select("id", F.array_join(members, ",").alias("members"), T.get(F.col("tags"), "name").alias("name"))
+
+
+@query
+def pbf_header(d: Data) -> DataFrame:
+    return d.read_extract("header").select(F.array_join("required_features", ",").alias("required"), "writing_program").distinct()
+
+
+@query
+def pbf_summary(d: Data) -> DataFrame:
+    """Counts of a whole extract, by blocks that are counted without building entities."""
+    return PBF.summary(d.spark, d.extract()).select("nodes", "dense_nodes", "ways", "relations")
+
+
+@query
+def gtfs_load_events(d: Data) -> DataFrame:
+    """Events of a feed's text files, with the loader's row rules."""
+    return d.feed()["events"].select("trip_id", "stop_id", "sequence", "arrival_sec", "departure_sec", "route_id", "service_id", "mode")
+
+
+@query
+def gtfs_load_stops(d: Data) -> DataFrame:
+    return d.feed()["stops"]
+
+
+@query
+def gtfs_load_routes(d: Data) -> DataFrame:
+    return d.feed()["routes"].select("route_id", "route_short_name", "route_long_name", "route_type")
+
+
+@query
+def gtfs_load_calendar(d: Data) -> DataFrame:
+    feed = d.feed()
+    return TR.active_services(feed["calendar"], feed["exceptions"], O.DATE)
+
+
+@query
+def calendar_span(d: Data) -> DataFrame:
+    return TR.calendar_span(d.calendar, d.exception)
+
+
+@query
+def exception_ranges(d: Data) -> DataFrame:
+    return TR.exception_ranges(d.exception)
+
+
+@query
+def transit_verify(d: Data) -> DataFrame:
+    """How many stops the search reaches, and at how many a plain scan of the timetable disagrees."""
+    start = TR.start_labels(d.spark.createDataFrame([(O.START_STOP, 0)], "stop_id long, meters long"), O.DEPART)
+    events, walks = cut(d.events()), cut(TR.transfers(d.stop))
+    labels = cut(TR.earliest(start, events, walks, cut=cut))
+    wrong = TR.verify_labels(labels, start, events, walks)
+    return labels.agg(F.count("*").alias("stops")).crossJoin(wrong.agg(F.count("*").alias("wrong")))  # one row each
+
+
+@query
+def address_first_matches(d: Data) -> DataFrame:
+    """The first 20 matches of each asked address and the number of all."""
+    found = A.first_matches(d.asked(), d.address)
+    return found.select("query_id", "matches", F.array_join("ids", ",").alias("ids"))
+
+
+@query
+def endpoint_cascade(d: Data) -> DataFrame:
+    """Where asked ends of a route are: coordinates, the index, or all equally scored addresses."""
+    asked = d.spark.createDataFrame(list(O.ENDS), "query_id int, query string")
+    found = A.endpoints(asked, d.address, A.index_keys(d.address))
+    return found.select("query_id", "way", F.array_join(F.transform("spots", lambda x: F.concat_ws(":", x["lat_e7"], x["lon_e7"])), " ").alias("spots"))
+
+
+@query
+def node_index(d: Data) -> DataFrame:
+    """The index of nodes and of the ways that refer to them, one row a node: coordinates and ways in order."""
+    ways = d.way_ref.select("node_id", "way_id").distinct().groupBy("node_id").agg(F.array_join(F.sort_array(F.collect_list("way_id")), ",").alias("ways"))
+    return d.node.join(ways, F.col("id") == F.col("node_id"), "left").select("id", "lat_nano", "lon_nano", F.coalesce("ways", F.lit("")).alias("ways"))
+
+
+@query
+def relation_bbox_lookup(d: Data) -> DataFrame:
+    """Relations with a way member whose box meets the asked box."""
+    hit = G.way_bbox(d.way_ref, d.node).where(L.boxes_meet(O.SMALL_BOX)).select(F.col("way_id").alias("member_id"))
+    ids = d.member.where("member_type = 1").join(hit, "member_id", "left_semi").select(F.col("rel_id").alias("id")).distinct()
+    return d.relation.join(ids, "id", "left_semi").select("id", "name")
+
+
+@query
+def building_export(d: Data) -> DataFrame:
+    """Buildings with their footprint: references found and missing, box and centre."""
+    rows = AD.building_rows(d.tagged_ways()).select("id", "building", "levels", "street", "housenumber", "residential")
+    return rows.join(G.footprint(d.way_ref, d.node), F.col("id") == F.col("way_id")).drop("way_id")
+
+
+@query
+def merged_graph(d: Data) -> DataFrame:
+    """The walking graph of all tiles with nodes at one place unified: edges between places, the shortest of each pair."""
+    at = d.nodes_e7()
+    place = at.groupBy("lat_e7", "lon_e7").agg(F.min("id").alias("place"))
+    named = at.join(place, ["lat_e7", "lon_e7"]).select("id", "place")
+    edges = W.edges(d.segments())
+    for end in ("from_id", "to_id"):
+        edges = edges.join(named.select(F.col("id").alias(end), F.col("place").alias(f"{end}_place")), end)
+    return edges.where("from_id_place <> to_id_place").groupBy(F.col("from_id_place").alias("a"), F.col("to_id_place").alias("b")).agg(F.min("meters").alias("meters"))

@@ -149,6 +149,10 @@ _NO = "state city suburb country place unit floor door entrance building_part bu
 BUILDING_COLUMNS = [*[(n, n) for n in ("street", "housenumber", "postcode", "building", "levels", "shop", "leisure")], *[(n, "NULL") for n in _NO.split()]]
 _BUILDING = """e AS (SELECT *, building IS NOT NULL AS b, coalesce(building = 'house', false) AS explicit FROM fx_way),
   v AS (SELECT *, CASE WHEN (shop IS NOT NULL OR leisure IS NOT NULL) AND NOT explicit THEN false ELSE (street IS NOT NULL AND housenumber IS NOT NULL) OR b END AS r FROM e)"""
+#: A box that part of the ways meet; ends of routes that are asked for.
+SMALL_BOX = (12_850_000_000, 52_300_000_000, 12_851_000_000, 52_301_000_000)
+ENDS = (*QUERIES, (11, "52.4, 13.05"), (12, "95.0,13.0"), (13, "Unter den Linden 999"), (14, "-1.0000001,-0.5"))
+_ENDS = "asked(query_id, query) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ENDS) + ")"
 #: Walks that are asked for: query, first and last node.
 PATHS = ((1, 5, 77), (2, 12, 140), (3, 33, 34), (4, 150, 9), (5, 61, 188), (6, 100, 101), (7, 7, 7), (8, 20, 170))
 
@@ -291,4 +295,51 @@ ORACLE = {
         c(v, root) AS (SELECT a, a FROM link UNION SELECT link.b, c.root FROM c JOIN link ON link.a = c.v),
         least AS (SELECT v, min(root) AS root FROM c GROUP BY v)
         SELECT root, min(min_lat) AS min_lat, max(max_lat) AS max_lat, min(min_lon) AS min_lon, max(max_lon) AS max_lon, sum(points)::BIGINT AS points, count(*) AS ways FROM ends JOIN least ON v = a GROUP BY root""",
+    "pbf_nodes": f"WITH {fx('node')} SELECT id, lat_nano, lon_nano, name, 2 AS tags FROM fx_node",
+    "pbf_nodes_bare": f"WITH {fx('node')} SELECT id, lat_nano, lon_nano FROM fx_node",
+    "pbf_ways": f"WITH {fx('way', 'way_ref')}, r AS (SELECT way_id, string_agg(node_id, ',' ORDER BY pos) AS refs FROM fx_way_ref GROUP BY 1) SELECT id, refs, highway, street FROM fx_way JOIN r ON way_id = id",
+    "pbf_way_by_id": f"WITH {fx('way', 'way_ref')} SELECT id, (SELECT count(*) FROM fx_way_ref WHERE way_id = 77)::INT AS refs, highway FROM fx_way WHERE id = 77",
+    "pbf_relations": f"WITH {fx('relation', 'member')}, m AS (SELECT rel_id, string_agg(member_id || ':1:outer', ',' ORDER BY member_id) AS members FROM fx_member GROUP BY 1) SELECT id, coalesce(members, '') AS members, name FROM fx_relation LEFT JOIN m ON rel_id = id",
+    "pbf_header": "SELECT 'OsmSchema-V0.6,DenseNodes' AS required, 'terravane' AS writing_program",
+    "pbf_summary": f"WITH {fx('node', 'way', 'way_ref', 'relation')} SELECT 0::BIGINT AS nodes, (SELECT count(*) FROM fx_node) AS dense_nodes, (SELECT count(DISTINCT way_id) FROM fx_way_ref) AS ways, (SELECT count(*) FROM fx_relation) AS relations",
+    "gtfs_load_events": f"""WITH {fx(*_EVENT_FX)} SELECT trip_id::VARCHAR AS trip_id, stop_id::VARCHAR AS stop_id, sequence, arrival_sec, departure_sec, route_id::VARCHAR AS route_id, service_id, ({_MODE})::INT AS mode
+        FROM fx_stop_time JOIN fx_trip USING (trip_id) JOIN fx_route USING (route_id) JOIN fx_calendar USING (service_id) WHERE stop_id IN (SELECT stop_id FROM fx_stop) AND departure_sec < 259200""",
+    "gtfs_load_stops": f"WITH {fx('stop')} SELECT stop_id::VARCHAR AS stop_id, stop_name, lat_e7, lon_e7 FROM fx_stop",
+    "gtfs_load_routes": f"WITH {fx('route')} SELECT route_id::VARCHAR AS route_id, 'R, \"' || route_id || '\"' AS route_short_name, route_id::VARCHAR AS route_long_name, route_type FROM fx_route",
+    "gtfs_load_calendar": f"WITH {fx('calendar', 'exception')}, {_SERVICE} SELECT service_id FROM active",
+    "calendar_span": f"""WITH {fx('calendar', 'exception')}, x AS (SELECT start_date AS a, end_date AS b FROM fx_calendar UNION ALL SELECT date, date FROM fx_exception)
+        SELECT min(a) FILTER (WHERE a <> 0) AS first, max(b) FILTER (WHERE b <> 0) AS last FROM x""",
+    "exception_ranges": f"""WITH {fx('exception')}, n AS (SELECT service_id, count(*) AS count FROM fx_exception GROUP BY 1)
+        SELECT service_id, count, coalesce(sum(count) OVER (ORDER BY service_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM n""",
+    "transit_verify": f"WITH {fx(*_EVENT_FX)}, {_EVENT}, {_TRANSFER}, {_rounds(6)} SELECT count(*) AS stops, 0::BIGINT AS wrong FROM l6",
+    "address_first_matches": f"""WITH {fx('address')}, {_ASKED}, {_PARTS}, {_ADDR}, hit AS (SELECT DISTINCT query_id, id FROM parts q JOIN ahouse a ON a.h = q.house
+          WHERE q.street <> '' AND (a.street = q.street OR (least(strlen(a.street), strlen(q.street)) >= 8 AND substr(a.street, 1, 1) = substr(q.street, 1, 1) AND levenshtein(a.street, q.street) <= 2) OR {_PFIT('q.street')})),
+        n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS k FROM hit)
+        SELECT query_id, count(*) AS matches, string_agg(id, ',' ORDER BY id) FILTER (WHERE k <= 20) AS ids FROM n GROUP BY 1""",
+    "endpoint_cascade": f"""WITH {fx('address')}, {_ENDS}, {_PARTS}, {_ADDR},
+        p AS (SELECT *, unnest(list_distinct(list_filter(['', city, suburb, postcode], lambda x: x IS NOT NULL))) AS place FROM ahouse),
+        idx AS (SELECT street AS name, h AS house, place, arg_min(id, CASE WHEN lat_e7 IS NULL THEN 1000000000 ELSE 0 END + id) AS id FROM p GROUP BY ALL),
+        tries AS (SELECT query_id, street, house, place, 1 AS way FROM parts UNION ALL SELECT query_id, street, house, '', 2 FROM parts),
+        by_index AS (SELECT query_id, way, idx.id FROM tries t JOIN idx ON idx.name = t.street AND idx.house = t.house AND idx.place = t.place),
+        asked2 AS (SELECT query_id, street, house, place, 3 AS way FROM parts UNION ALL SELECT query_id, street, house, '', 4 FROM parts),
+        m AS (SELECT query_id, way, id, max(CASE WHEN a.street = q.street THEN 120 WHEN least(strlen(a.street), strlen(q.street)) >= 8 AND substr(a.street, 1, 1) = substr(q.street, 1, 1) AND levenshtein(a.street, q.street) <= 2 THEN 110
+            WHEN {_PFIT('q.street')} THEN 60 END + CASE WHEN q.place <> '' AND {_PFIT('q.place')} THEN 30 ELSE 0 END) AS score
+          FROM asked2 q JOIN ahouse a ON a.h = q.house WHERE q.street <> '' AND a.lat_e7 IS NOT NULL GROUP BY ALL),
+        top AS (SELECT query_id, way, id FROM m WHERE score IS NOT NULL QUALIFY score = max(score) OVER (PARTITION BY query_id, way)),
+        lit AS (SELECT query_id, 0 AS way, CAST(round(CAST(trim(split_part(query, ',', 1)) AS DOUBLE) * 10000000) AS BIGINT) AS lat, CAST(round(CAST(trim(split_part(query, ',', 2)) AS DOUBLE) * 10000000) AS BIGINT) AS lon
+          FROM (SELECT * FROM asked WHERE regexp_matches(query, '^[-0-9.]+, ?[-0-9.]+$'))),
+        every AS (SELECT * FROM lit WHERE abs(lat) <= 900000000 AND abs(lon) <= 1800000000
+          UNION SELECT f.query_id, f.way, a.lat_e7, a.lon_e7 FROM (SELECT * FROM by_index UNION ALL SELECT * FROM top) f JOIN fx_address a USING (id) WHERE a.lat_e7 IS NOT NULL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id, way ORDER BY lat, lon) AS k FROM every WHERE (query_id, way) IN (SELECT query_id, min(way) FROM every GROUP BY 1))
+        SELECT query_id, way, string_agg(lat || ':' || lon, ' ' ORDER BY k) FILTER (WHERE k <= 64) AS spots FROM k GROUP BY ALL""",
+    "node_index": f"""WITH {fx('node', 'way_ref')}, w AS (SELECT node_id, string_agg(way_id, ',' ORDER BY way_id) AS ways FROM (SELECT DISTINCT node_id, way_id FROM fx_way_ref) GROUP BY 1)
+        SELECT id, lat_nano, lon_nano, coalesce(ways, '') AS ways FROM fx_node LEFT JOIN w ON node_id = id""",
+    "relation_bbox_lookup": f"""WITH {fx('node', 'way_ref', 'member', 'relation')}, box AS (SELECT way_id, {_BBOX} FROM fx_way_ref JOIN fx_node n ON n.id = node_id GROUP BY way_id)
+        SELECT id, name FROM fx_relation WHERE id IN (SELECT rel_id FROM fx_member JOIN box ON way_id = member_id WHERE member_type = 1
+          AND min_lon <= {SMALL_BOX[2]} AND max_lon >= {SMALL_BOX[0]} AND min_lat <= {SMALL_BOX[3]} AND max_lat >= {SMALL_BOX[1]})""",
+    "building_export": f"""WITH {fx('way', 'node', 'way_ref')}, {_BUILDING}, foot AS (SELECT way_id, {_BBOX}, count(*) AS ref_count, count(*) - count(lat_nano) AS missing_ref_count,
+          min(lat_nano) + (max(lat_nano) - min(lat_nano)) // 2 AS center_lat, min(lon_nano) + (max(lon_nano) - min(lon_nano)) // 2 AS center_lon FROM fx_way_ref LEFT JOIN fx_node n ON n.id = node_id GROUP BY way_id)
+        SELECT v.id, building, levels, street, housenumber, r AS residential, foot.* EXCLUDE (way_id) FROM v JOIN foot ON way_id = v.id WHERE b OR r""",
+    "merged_graph": f"""WITH {fx('node', 'way', 'way_ref')}, {_EDGE}, place AS (SELECT lat, lon, min(id) AS place FROM node7 GROUP BY ALL), named AS (SELECT id, place FROM node7 JOIN place USING (lat, lon))
+        SELECT a.place AS a, b.place AS b, min(meters) AS meters FROM edge JOIN named a ON a.id = from_id JOIN named b ON b.id = to_id WHERE a.place <> b.place GROUP BY ALL""",
 }

@@ -268,14 +268,30 @@ class Blobs(InputPartition):
         self.path, self.spans = path, spans
 
 
-def _open(path: str):  # noqa: ANN202
-    """A random-access file of any store that Arrow knows, or of the local disk."""
+def filesystem(path: str):  # noqa: ANN201
+    """The store of a path, any that Arrow knows or the local disk, and the path within it."""
     from pyarrow import fs
 
     if "://" in path or path.startswith("file:"):
-        store, inner = fs.FileSystem.from_uri(path)
-        return store.open_input_file(inner)
-    return fs.LocalFileSystem().open_input_file(path)
+        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return fs.LocalFileSystem(), path
+
+
+def files(path: str) -> list[str]:
+    """The file of a path, or the extract files of a folder, by name."""
+    from pyarrow import fs
+
+    store, inner = filesystem(path)
+    if store.get_file_info(inner).type != fs.FileType.Directory:
+        return [path]
+    found = [x.base_name for x in store.get_file_info(fs.FileSelector(inner)) if x.base_name.endswith(".pbf") and not x.base_name.startswith(("_", "."))]
+    return [f"{path.rstrip('/')}/{name}" for name in sorted(found)]
+
+
+def _open(path: str):  # noqa: ANN202
+    """A random-access file."""
+    store, inner = filesystem(path)
+    return store.open_input_file(inner)
 
 
 class Reader(DataSourceReader):
@@ -298,25 +314,31 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Blobs]:
         want = "OSMHeader" if self.entity == "header" else "OSMData"
-        out, run, size = [], [], 0
-        with _open(self.path) as f:
-
-            def read(at: int, n: int) -> bytes:
-                f.seek(at)
-                return f.read(n)
-
-            for span in blobs(read, f.size()):
-                if span[0] == want:
-                    run.append(span)
-                    size += span[2]
-                    if size >= PARTITION_BYTES:
-                        out.append(Blobs(self.path, run))
-                        run, size = [], 0
-        return [*out, Blobs(self.path, run)]
+        out: list[Blobs] = []
+        for path in files(self.path):
+            run, size = [], 0
+            with _open(path) as f:
+
+                def read(at: int, n: int, f=f) -> bytes:  # noqa: ANN001
+                    f.seek(at)
+                    return f.read(n)
+
+                for span in blobs(read, f.size()):
+                    if span[0] == want:
+                        run.append(span)
+                        size += span[2]
+                        if size >= PARTITION_BYTES:
+                            out.append(Blobs(path, run))
+                            run, size = [], 0
+            if run:
+                out.append(Blobs(path, run))
+        return out or [Blobs(self.path, [])]
 
     def read(self, partition: Blobs) -> Iterator[pa.RecordBatch]:
         schema = ARROW[self.entity]
         rows: list[tuple] = []
+        if not partition.spans:
+            return
         with _open(partition.path) as f:
             for _, at, n in partition.spans:
                 f.seek(at)
@@ -351,6 +373,11 @@ class OsmPbf(DataSource):
     def reader(self, schema) -> Reader:  # noqa: ANN001
         return Reader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool):  # noqa: ANN001, ANN201
+        from .osm_pbf_writer import Writer
+
+        return Writer(dict(self.options))
+
 
 def register(spark) -> None:  # noqa: ANN001
     """Make the format known to a session, with filters pushed into the decoder."""

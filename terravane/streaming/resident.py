@@ -16,9 +16,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def resolve_stream(queries: DataFrame, addresses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Answers of a stream of (query_id, query) appended to a table; each batch is one equi join against the addresses."""
+    """Answers of a stream of (query_id, query) in a table with one folder a batch; each batch is one equi join against the addresses.
 
-    def answer(batch: DataFrame, _: int) -> None:
-        A.resolve_exact(batch, addresses).write.mode("append").parquet(path)
+    A batch that is replayed after a failure overwrites its own folder, so every answer is there once.
+    """
+
+    def answer(batch: DataFrame, number: int) -> None:
+        A.resolve_exact(batch, addresses).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).start()
