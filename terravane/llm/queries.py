@@ -31,7 +31,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeats(documents(spark, sf_dir))
+    return suffix_dedup.digest(documents(spark, sf_dir))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Removal of repeated passages: every byte that a 50-byte string covers which a document with a smaller id has too.
 
-The strings that start in a document are prefixes of its suffixes, so equal strings are neighbours in the suffix order.
-Suffixes are ordered in parts, each small enough for a task, by deep-shallow sorting: a multikey quicksort on 8-byte symbols down
-to a shallow depth, then blind tries for the groups that still share a prefix: a node looks only at the first symbol in
-which a member differs from the group's first, splits there, and skips what all share.
+The strings that start in a document are prefixes of its suffixes, so equal strings are neighbours in the suffix order, and a string's
+first document is the least id among its equal neighbours.
+Suffixes are ordered in parts, each small enough for a task, by deep-shallow sorting: a multikey quicksort on 8-byte symbols, one
+after the other within the runs that agree so far, down to a shallow depth, then blind tries for the runs that still share a
+prefix: a node looks only at the first symbol in which a member differs from the run's first, branches there, and skips what all share.
 
 Which suffixes meet in a part follows from their text. Each 50-byte window has a key, the least hash of the 20-byte strings
 inside it, so equal windows have equal keys, and neighbouring windows mostly share one. Texts are dealt into shards (equal texts into one);
@@ -112,36 +113,40 @@ def symbols(buf: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     return out << np.uint64(8 * (SYMBOL - n))
 
 
-def _split(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by group and key, and where in it a new (group, key) begins."""
-    order = np.lexsort((key, group))
+def _sorted(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by group (which only rises) and key, and where in it a new (group, key) begins."""
+    one = not len(group) or group[0] == group[-1]
+    order = np.argsort(key, kind="quicksort") if one else np.lexsort((key, group))
     g, k = group[order], key[order]
     return order, np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
 
 
-def deep_shallow(buf: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For each window the number of its content: equal contents, equal numbers, by deep-shallow sorting."""
-    label = np.zeros(len(places), np.int64)
-    live = np.arange(len(places))  # the windows whose groups are not settled, by group
+def deep_shallow(buf: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix order of windows by deep-shallow sorting, and for each place in it whether the window equals its left neighbour.
+
+    A group is a run of slots whose windows agree so far; sorting moves windows within their group's slots, and a window
+    alone in its group has its slot for good.
+    """
+    final, same = np.empty(len(places), np.int64), np.zeros(len(places), bool)
+    live = slot = np.arange(len(places))
     group = np.zeros(len(places), np.int64)
-    fresh = 0
 
-    def settle(order: np.ndarray, new: np.ndarray) -> None:
-        """Keep groups of two and more alive; a window alone in its group is settled."""
-        nonlocal live, group, fresh
+    def settle(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Windows in their new order; those alone in their group are placed. Which are not."""
+        nonlocal live, slot, group
         live, number = live[order], np.cumsum(new) - 1
-        count = np.bincount(number, minlength=int(number[-1]) + 1 if len(number) else 0)
-        alone = count[number] == 1
-        label[live[alone]] = fresh + np.arange(int(alone.sum()))
-        fresh += int(alone.sum())
-        live, group = live[~alone], number[~alone]
+        count = np.bincount(number)
+        many = count[number] > 1
+        final[slot[~many]] = live[~many]
+        live, slot, group = live[many], slot[many], number[many]
+        return many
 
     # multikey quicksort: one symbol after the other, within groups that agree so far
     depth = 0
     while depth < SHALLOW and len(live):
-        settle(*_split(group, symbols(buf, places[live], depth)))
+        settle(*_sorted(group, symbols(buf, places[live], depth)))
         depth += SYMBOL
-    # blind tries: the group's first member leads; the first symbol in which any member differs from it splits
+    # blind tries: the group's first member leads; the first symbol in which any member differs from it is the node's branch
     level = np.full(len(live), depth)
     while len(live):
         lead = np.concatenate([[True], group[1:] != group[:-1]])
@@ -158,30 +163,29 @@ def deep_shallow(buf: np.ndarray, places: np.ndarray) -> np.ndarray:
             differs = np.zeros(len(head), bool)
             differs[which[at[s != lead_s]]] = True
             branch[differs] = d
-        done = (branch == WINDOW)[which]
-        label[live[done]] = fresh + which[done]
-        fresh += len(head)
-        live, group, at_branch = live[~done], which[~done], branch[which][~done]
+        equal = (branch == WINDOW)[which]  # no branch: the members are equal, as far as windows go
+        final[slot[equal]] = live[equal]
+        same[slot[equal & ~lead]] = True
+        live, slot, group, at_branch = live[~equal], slot[~equal], which[~equal], branch[which][~equal]
         if not len(live):
             break
         key = np.zeros(len(live), np.uint64)
         for d in np.unique(at_branch).tolist():
             m = at_branch == d
             key[m] = symbols(buf, places[live[m]], d)
-        order, new = _split(group, key)
+        order, new = _sorted(group, key)
         at_branch = at_branch[order]
-        before = live[order]
-        settle(order, new)
-        keep = np.isin(before, live, assume_unique=True)
-        level = at_branch[keep] + SYMBOL
-    return label
+        level = at_branch[settle(order, new)] + SYMBOL
+    return final, same
 
 
-def first_of(label: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each window the least id that has its content."""
-    least = np.full(int(label.max()) + 1 if len(label) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, label, ids)
-    return least[label]
+def first_of(order: np.ndarray, same: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each window the least id among the neighbours in suffix order that equal it."""
+    out = np.empty(len(order), np.int64)
+    if len(order):
+        starts = np.flatnonzero(~same)
+        out[order] = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff(np.append(starts, len(order))))
+    return out
 
 
 def key_batches(key: np.ndarray, count: np.ndarray) -> Iterator[np.ndarray]:
@@ -231,7 +235,9 @@ def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 #: kind 0: windows to remove (document, place, count); kind 1: runs of windows to settle in a part, with their bytes.
 MESSAGES = "part long, shard long, kind int, block binary"
 VERDICTS = "shard long, block binary"
-RESULT = "key binary, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "key binary, id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string"
+
+COLUMNS = ["key", "id", "n_bytes", "spans", "kept_sha256"]
 
 
 def _remove(shard: int, part: int, doc: np.ndarray, place: np.ndarray, count: np.ndarray) -> tuple:
@@ -239,7 +245,7 @@ def _remove(shard: int, part: int, doc: np.ndarray, place: np.ndarray, count: np
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept_sha256 of the bytes that stay."""
+    """id, n_bytes, spans (start and end of each maximal removed run, in bytes) and kept_sha256 of the bytes that stay."""
     total = shards.text_bytes(df, text_col)
     n_shards, _ = shards.sizes(df.sparkSession, total, KEYS_A_BYTE)
     n_parts = max(1, int(total * KEYS_A_BYTE / PART_KEYS) + 1)
@@ -266,7 +272,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for o in key_batches(key, count):
             places, docs = _expand(place[o], count[o]), np.repeat(doc[o], count[o])
             ids = s.ids[docs]
-            gone = ids > first_of(deep_shallow(s.buf, places), ids)
+            gone = ids > first_of(*deep_shallow(s.buf, places), ids)
             out_docs.append(docs[gone])
             out_places.append(places[gone])
             # what stays of each content is in the document that has it first, perhaps several times
@@ -305,7 +311,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in key_batches(key, n):
             run, places = np.repeat(b, n[b]), _expand(start[b], n[b])
-            gone = ids[run] > first_of(deep_shallow(buf, places), ids[run])
+            gone = ids[run] > first_of(*deep_shallow(buf, places), ids[run])
             run, places = run[gone], places[gone]
             found.append((shard[run], doc[run], place[run] + places - start[run]))
         owner, d, p = (np.concatenate([f[j] for f in found]) for j in range(3))
@@ -318,7 +324,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def finish(pdf: pd.DataFrame, verdicts: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
+            return pd.DataFrame(columns=COLUMNS)
         s = Shard(pdf)
         edge = np.zeros(len(s.buf) + 1, np.int32)
         for block in verdicts["block"]:
@@ -330,9 +336,9 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         rows = []
         for key, doc, a, n in zip(s.rows["key"], s.ids.tolist(), s.starts.tolist(), s.lens.tolist(), strict=True):
             c = cover[a : a + n]
-            spans = int(np.count_nonzero(c[1:] & ~c[:-1])) + int(n > 0 and c[0])
-            rows.append((key, doc, n, int(c.sum()), spans, hashlib.sha256(s.buf[a : a + n][~c].tobytes()).hexdigest()))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+            turns = np.flatnonzero(np.diff(c.view(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
+            rows.append((key, doc, n, [{"start": x, "end": y} for x, y in turns], hashlib.sha256(s.buf[a : a + n][~c].tobytes()).hexdigest()))
+        return pd.DataFrame(rows, columns=COLUMNS)
 
     grouped = dealt.groupBy("shard")
     answers = shards.shared(dealt, blocks)
@@ -343,14 +349,28 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     out = docs.join(done, F.col("_k") == F.col("key"))
     # a copy of a text whose first document has a smaller id loses everything, if it is long enough to hold a window
     whole = (F.coalesce(F.col("_id").cast("long"), F.lit((1 << 63) - 1)) > F.col("id")) & (F.col("n_bytes") >= WINDOW)
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     return out.select(
-        F.col("_id").alias(id_col), "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
+        F.col("_id").alias(id_col), "n_bytes", F.when(whole, everything).otherwise(F.col("spans")).alias("spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
 
 
+def kept_text(text: bytes, spans: list) -> bytes:
+    """The bytes of a text that its spans leave."""
+    out, at = [], 0
+    for start, end in spans:
+        out.append(text[at:start])
+        at = end
+    return b"".join([*out, text[at:]])
+
+
+def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes, n_removed, n_spans and kept_sha256, from repeats()."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return repeats(df, id_col, text_col).select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def brute_force(rows: list[tuple[int, str | None]]) -> Iterator[tuple[int, int, int, int, str]]:
     """The contract's result by a dictionary of all windows; for tests."""
     first: dict[bytes, int] = {}

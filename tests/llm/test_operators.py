@@ -213,21 +213,30 @@ def test_random_spans_against_plain_rules(spark):
 def test_suffix_dedup(spark, small):
     rows = [(i, t) for i, t in corpus() if i is not None]
     want = sorted(suffix_dedup.brute_force(rows))
-    assert got(suffix_dedup.repeats(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert got(suffix_dedup.digest(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    texts = dict(rows)
+    for r in suffix_dedup.repeats(frame(spark, rows)).collect():
+        kept = suffix_dedup.kept_text((texts[r["doc_id"]] or "").encode(), [tuple(x) for x in r["spans"]])
+        assert hashlib.sha256(kept).hexdigest() == r["kept_sha256"]
     assert sum(w[2] for w in want)
 
 
-def test_deep_shallow_numbers_contents():
-    r = random.Random(2)
-    raw = bytes(r.choice(b"ab") for _ in range(300)) * 2 + bytes(r.choice(b"abcdefg") for _ in range(300)) + b"a" * 200
+def test_deep_shallow_orders_suffixes():
     import numpy as np
 
-    buf = np.frombuffer(raw, np.uint8)
-    label = suffix_dedup.deep_shallow(buf, np.arange(len(raw) - 49))
-    by = {}
-    for i, k in enumerate(label.tolist()):
-        by.setdefault(raw[i : i + 50], set()).add(k)
-    assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == len(by)
+    for seed, texts in enumerate((b"", b"a" * 50, b"ab" * 40, None, None, None)):
+        r = random.Random(seed)
+        raw = texts if texts is not None else bytes(r.choice(b"ab") for _ in range(300)) * 2 + bytes(r.choice(b"abcdefg\x00\xff") for _ in range(400)) + b"a" * 200
+        n = max(0, len(raw) - 49)
+        order, same = suffix_dedup.deep_shallow(np.frombuffer(raw, np.uint8), np.arange(n))
+        windows = [raw[i : i + 50] for i in order.tolist()]
+        assert sorted(order.tolist()) == list(range(n)) and windows == sorted(raw[i : i + 50] for i in range(n))
+        assert same.tolist() == [k > 0 and windows[k] == windows[k - 1] for k in range(n)]
+        ids = np.array([r.randrange(20) for _ in range(n)], np.int64)
+        least = {}
+        for i in range(n):
+            least[raw[i : i + 50]] = min(int(ids[i]), least.get(raw[i : i + 50], 99))
+        assert suffix_dedup.first_of(order, same, ids).tolist() == [least[raw[i : i + 50]] for i in range(n)]
 
 
 def test_ngram_join(spark, small):
@@ -516,7 +525,7 @@ def test_isotonic_and_trees():
 
 OPERATORS = {
     "quality": lambda d: quality_rules.judge(d), "licences": lambda d: license_scan.digest(d), "secrets": lambda d: secret_scan.digest(d), "redact": lambda d: secret_scan.redact(d),
-    "suffixes": lambda d: suffix_dedup.repeats(d), "ngrams": lambda d: ngram_join.join_classes(d), "first": lambda d: ngram_join.keep_first(d), "media": lambda d: media_chunks.digest(d), "mix": lambda d: mixing.mix(d),
+    "suffixes": lambda d: suffix_dedup.digest(d), "ngrams": lambda d: ngram_join.join_classes(d), "first": lambda d: ngram_join.keep_first(d), "media": lambda d: media_chunks.digest(d), "mix": lambda d: mixing.mix(d),
     "language": lambda d: langid.predict(d, langid.learn(d)), "tokens": lambda d: bpe.digest(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     "toxicity": lambda d: toxicity.score(d, toxicity.learn(d, d.selectExpr("doc_id", "1 toxic"))),
 }
