@@ -205,14 +205,18 @@ def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000, max_lexicon: int = 400
 ) -> Model:
     """Learn from labelled rows outside the held-out fifth."""
-    truth = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
-    n = truth.count()
-    draw = F.pmod(F.xxhash64("_id", F.lit("draw")), F.lit(1 << 20))
-    truth = truth.where(draw < min(1.0, max_rows / max(1, n)) * (1 << 20))
+    truth = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & ~held_out(F.col("_id"))).distinct()
+    below = lambda share, *columns: F.pmod(F.xxhash64(*columns, F.lit("draw")), F.lit(1 << 20)) < share * (1 << 20)
+    truth = truth.where(below(min(1.0, max_rows / max(1, truth.count())), "_id"))
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # the sample's ids are bounded; the documents' side is filtered by a hash join against them
+    rows = text.join(F.broadcast(truth), "_id")
+    # ids that documents repeat bring more rows than labels: those are drawn from too, so that max_rows bounds what is learned from
+    share = min(1.0, max_rows / max(1, rows.count()))
+    if share < 1:
+        rows = rows.where(below(share, "_id", "_text", "_y"))
     part = F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(10))
-    sample = text.join(F.broadcast(truth), "_id").withColumn("_part", part).persist()
+    sample = rows.distinct().withColumn("_part", part).persist()
     classes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if len(classes) < 2:
         sample.unpersist()

@@ -523,6 +523,87 @@ def test_isotonic_and_trees():
     assert ((margin > 0) == (y > 0.5)).mean() > 0.95
 
 
+def test_isotonic_against_the_definition():
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    for n in (1, 2, 9, 40):
+        score, y = r.permutation(n) / 7.0, r.integers(0, 2, n).astype(float)
+        by = y[np.argsort(score)]
+        mean = lambda a, b: by[a : b + 1].mean()  # noqa: B023, E731
+        fit = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        want = [(by[[k for k in range(n) if fit[k] == f]].sum() + 0.05) / (fit.count(f) + 0.1) for f in fit]
+        xs, ys = toxicity.isotonic(score, y)
+        assert np.interp(np.sort(score), xs, ys) == pytest.approx(np.maximum.accumulate(want))
+
+
+def test_first_split_is_the_best_of_all():
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    x, y = r.integers(0, 12, (300, 4)).astype(float), r.integers(0, 2, 300).astype(float)
+    y[x[:, 2] > 7] = 1
+    trees = toxicity.boost(x, y, rounds=1, depth=1, rate=0.5, bins=32, ridge=5.0)
+    p = y.mean()
+    grad, hess = p - y, np.full(300, p * (1 - p))
+    half = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + 5.0)
+    gains = {(j, e): half(x[:, j] <= e) + half(x[:, j] > e) for j in range(4) for e in np.unique(x[:, j])[:-1]}
+    best = max(gains, key=gains.get)
+    assert gains[(int(trees.feature[0][0]), float(max(v for v in np.unique(x[:, trees.feature[0][0]]) if v <= trees.threshold[0][0])))] == pytest.approx(gains[best])
+    left = x[:, trees.feature[0][0]] <= trees.threshold[0][0]
+    assert trees.leaf[0] == pytest.approx([-0.5 * grad[m].sum() / (hess[m].sum() + 5.0) for m in (left, ~left)])
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i % 50, f"text {i} {'bad' if i % 2 else 'good'}") for i in range(3000)]
+    truth = [(i, i % 2) for i in range(50)] * 3 + [(1, 0)]
+    seen = []
+    original, toxicity.boost = toxicity.boost, lambda x, y, **k: (seen.append(len(y)), original(x, y, **k))[1]
+    toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(truth, "doc_id long, toxic int"), max_rows=300)
+    toxicity.boost = original
+    assert 0 < seen[0] < 400
+
+
+def test_language_against_plain_counts(spark):
+    import math
+    from collections import Counter
+
+    r = random.Random(15)
+    voc = {"aa": ["alpha", "beta", "gamma", "delta"], "bb": ["un", "deux", "trois", "alpha"]}
+    rows = [(i, " ".join(r.choice(voc[k]) for _ in range(6)), k) for i in range(120) for k in [("aa", "bb")[i % 2]]]
+    rows += [(900 + k, t, None) for k, t in enumerate(["alphab deuxieme", "zzz", "delta un beta", "gam gamx", "trois, deux!"])]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    words, grams = {"aa": Counter(), "bb": Counter()}, {"aa": Counter(), "bb": Counter()}
+    for i, t, k in rows:
+        if k and zlib.crc32(str(i).encode()) % 5:
+            words[k].update(t.split())
+    for k, c in words.items():
+        for w, n in c.items():
+            for size in range(1, 5):
+                for j in range(len(w) + 3 - size):
+                    grams[k][f"^{w}$"[j : j + size]] += n
+    known = sorted({w for c in words.values() for w, n in c.items() if n >= 2})
+    total = {k: sum(c.values()) for k, c in words.items()}
+    every = {g for c in grams.values() for g in c}
+
+    def plain(text):
+        score = dict.fromkeys(words, 0.0)
+        for w in re.findall("[a-z]+", text):
+            table, parts, size = words, [w], len(known)
+            if w not in known:
+                table, size = grams, len(every)
+                parts = next(([g for g in (f"^{w}$"[j : j + k] for j in range(len(w) + 3 - k)) if g in every] for k in (4, 3, 2, 1) if any(f"^{w}$"[j : j + k] in every for j in range(len(w) + 3 - k))), [])
+            for k in score:
+                score[k] += sum(math.log((table[k][x] + 0.1) / (total[k] + 0.1 * size)) for x in parts) / max(1, len(parts))
+        best = max(sorted(score), key=score.get)
+        return best, 1 / sum(math.exp(v - score[best]) for v in score.values())
+
+    found = {x["doc_id"]: x for x in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    for i, t, _ in rows:
+        lang, score = plain(t)
+        assert found[i]["lang_pred"] == lang and found[i]["score"] == pytest.approx(score)
+
+
 OPERATORS = {
     "quality": lambda d: quality_rules.judge(d), "licences": lambda d: license_scan.digest(d), "secrets": lambda d: secret_scan.digest(d), "redact": lambda d: secret_scan.redact(d),
     "suffixes": lambda d: suffix_dedup.digest(d), "ngrams": lambda d: ngram_join.join_classes(d), "first": lambda d: ngram_join.keep_first(d), "media": lambda d: media_chunks.digest(d), "mix": lambda d: mixing.mix(d),
