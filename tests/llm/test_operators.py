@@ -257,6 +257,28 @@ def test_ngram_null_ids(spark, small):
     assert sorted(found, key=str) == sorted([(None, 26, 3), (None, 27, 3), (3, 26, 3), (None, 4, None)], key=str)
 
 
+def test_ngram_large_mixed_groups(spark, monkeypatch):
+    """Paragraphs that many documents share in all mixtures, so that hashes have many classes and blocks of trees are probed."""
+    r = random.Random(21)
+    pool = [" ".join(f"p{k}w{j}" for j in range(25)) for k in range(9)]
+    rows = []
+    for i in range(120):
+        chosen = [r.choice(pool[:3]), *[p for p in pool if r.random() < 0.5]]
+        rows.append((i, " ".join(chosen) + "".join(f" own{i}x{j}" for j in range(r.choice([0, 3, 40])))))
+    rows += [(200 + i, t + " tail end") for i, t in rows[:20]]
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 6)
+    assert got(ngram_join.join_classes(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == sorted(ngram_join.brute_force(rows))
+    found = ngram_join.sets_of(frame(spark, rows), "doc_id", "text")
+    sets = ngram_join.ordered(found)
+    none = spark.createDataFrame([], "v binary, root binary")
+    late = {frozenset((bytes(x["a"]), bytes(x["b"]))) for x in ngram_join.open_links(sets, none).collect()}
+    sig = {bytes(x["key"]): bytes(x["sig"]) for x in found.collect()}
+    of = lambda t: sig[hashlib.sha256(t.encode()).digest()]
+    shingles = {of(t): set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for _, t in rows}
+    want = {frozenset((a, b)) for a in shingles for b in shingles if a < b and 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])}
+    assert late == want and len(want) > 20  # with every set a class of its own, this step alone finds every link
+
+
 def test_bpe_is_the_library(spark):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
