@@ -135,7 +135,7 @@ def is_residential(v: Get) -> Column:
     """Whether a building may be lived in: points of interest veto unless it is explicitly residential."""
     some = lambda *keys: F.coalesce(*[v(k) for k in keys]).isNotNull()
     value = lambda key: yes(v(key).isin(*RESIDENTIAL))
-    explicit = some("building:flats", "apartments") | (value("building") & (v("building") != "yes")) | (value("building:part") & (v("building:part") != "yes"))
+    explicit = some("building:flats", "building:apartments") | (value("building") & (v("building") != "yes")) | (value("building:part") & (v("building:part") != "yes"))
     addressed = some("addr:street", "addr:place") & v("addr:housenumber").isNotNull()
     return F.when(some(*POI_KEYS) & ~yes(explicit), False).otherwise(addressed | yes(explicit) | value("building") | value("building:part"))
 

@@ -44,6 +44,14 @@ def member_refs(members: DataFrame, refs: DataFrame) -> DataFrame:
     return ways.join(refs, "way_id").select("rel_id", "pos", "node_id")
 
 
+def relation_footprint(members: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """footprint() of each relation's way members; a member way without references counts as one that is missing."""
+    known = refs.select("way_id").distinct()
+    lost = members.where("member_type = 1").join(known, F.col("member_id") == F.col("way_id"), "left_anti").groupBy("rel_id").agg(F.count("*").alias("lost"))
+    found = footprint(member_refs(members, refs), nodes, "rel_id").join(lost, "rel_id", "left")
+    return found.withColumn("missing_ref_count", F.col("missing_ref_count") + F.coalesce("lost", F.lit(0))).drop("lost")
+
+
 def relation_bbox(members: DataFrame, ways_box: DataFrame) -> DataFrame:
     """The box of a relation's way members; only where it has an extent in both directions."""
     m = members.where("member_type = 1").select("rel_id", F.col("member_id").alias("way_id"))

@@ -221,7 +221,7 @@ def relation_bbox(d: Data) -> DataFrame:
 
 @query
 def relation_footprint(d: Data) -> DataFrame:
-    return G.footprint(G.member_refs(d.member, d.way_ref), d.node, "rel_id")
+    return G.relation_footprint(d.member, d.way_ref, d.node)
 
 
 @query
@@ -589,11 +589,79 @@ def relation_bbox_lookup(d: Data) -> DataFrame:
     return d.relation.join(ids, "id", "left_semi").select("id", "name")
 
 
+def _buildings(d: Data) -> DataFrame:
+    """Building rows of nodes, ways and relations with their footprints."""
+    tags = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.col("amenity").startswith("PROMO"), v).alias("v")) for k, v in (("building:part", F.lit("yes")), ("addr:housenumber", F.col("brand")))]), lambda x: x["v"].isNotNull())
+    nodes = AD.building_rows(d.node.select("id", "lat_nano", "lon_nano", tags.alias("tags")))
+    at = {n: F.col(f"{n[-3:]}_nano") for n in ("min_lat", "max_lat", "min_lon", "max_lon", "center_lat", "center_lon")}
+    nodes = nodes.withColumns(at | {"ref_count": F.lit(1).cast("long"), "missing_ref_count": F.lit(0).cast("long")}).drop("lat_nano", "lon_nano")
+    ways = AD.building_rows(d.tagged_ways()).join(G.footprint(d.way_ref, d.node), F.col("id") == F.col("way_id")).drop("way_id")
+    part = F.array(F.struct(F.lit("building").alias("k"), F.col("place").alias("v")))
+    relations = AD.building_rows(d.relation.where("place is not null").select("id", part.alias("tags")))
+    relations = relations.join(G.relation_footprint(d.member, d.way_ref, d.node), F.col("id") == F.col("rel_id")).drop("rel_id")
+    return AD.union_entities(node=nodes, way=ways, relation=relations)
+
+
+@query
+def building_tsv(d: Data) -> DataFrame:
+    """The export of buildings: a line of names, and a line of 43 columns each."""
+    return AD.building_tsv(_buildings(d))
+
+
+@query
+def building_statistics(d: Data) -> DataFrame:
+    return AD.written_rows(_buildings(d))
+
+
+@query
+def overlay_stop_counts(d: Data) -> DataFrame:
+    """How many stops each mode serves."""
+    modes = TR.stop_modes(d.events())
+    each = F.explode(F.filter(F.sequence(F.lit(1), F.lit(5)), lambda m: F.call_function("shiftright", F.col("modes"), m - 1).bitwiseAND(F.lit(1)) == 1)).alias("mode")
+    return modes.select(each).groupBy(S.mode_name(F.col("mode")).alias("mode")).agg(F.count("*").alias("stops"))
+
+
+@query
+def clock_text(d: Data) -> DataFrame:
+    return d.stop.select("stop_id", S.clock(F.col("stop_id") * 2999).alias("clock"))
+
+
 @query
-def building_export(d: Data) -> DataFrame:
-    """Buildings with their footprint: references found and missing, box and centre."""
-    rows = AD.building_rows(d.tagged_ways()).select("id", "building", "levels", "street", "housenumber", "residential")
-    return rows.join(G.footprint(d.way_ref, d.node), F.col("id") == F.col("way_id")).drop("way_id")
+def padded_boxes(d: Data) -> DataFrame:
+    """Way boxes with a tenth of their span on each side."""
+    low, high = S.padded(F.col("min_lat"), F.col("max_lat"))
+    return G.way_bbox(d.way_ref, d.node).select("way_id", low.alias("low"), high.alias("high"))
+
+
+@query
+def city_scores(d: Data) -> DataFrame:
+    """Scores of city relations, by level and members."""
+    ways = d.member.where("member_type = 1").groupBy("rel_id").agg(F.count("*").alias("ways"))
+    level = T.admin_level(F.col("admin_level"))
+    return d.relation.join(ways, F.col("id") == F.col("rel_id")).select("id", T.city_score(level, F.col("ways")).alias("score")).where("score >= 1000")
+
+
+@query
+def lookup_by_name(d: Data) -> DataFrame:
+    return L.select(d.tagged_relations(), name="BUILDING").select("id")
+
+
+@query
+def route_addresses(d: Data) -> DataFrame:
+    """Complete addresses with their coordinate and tile: those of ways, at the mean of their nodes."""
+    rows = AD.address_rows(d.tagged_ways()).select("id", "street", "housenumber", "postcode")
+    at = TL.metric(G.centroid(d.way_ref, d.node), *O.ORIGIN).select(F.col("way_id").alias("id"), "lat_e7", "lon_e7", "tile_id")
+    return rows.join(at, "id", "left")
+
+
+@query
+def walk_tile_segments(d: Data) -> DataFrame:
+    """How many walking segments lie in each tile; one between two tiles is in both."""
+    at = d.metric().select(F.col("id").alias("node"), "tile_id")
+    ends = d.segments()
+    for side in ("a", "b"):
+        ends = ends.join(at.select(F.col("node").alias(side), F.col("tile_id").alias(f"{side}_tile")), side)
+    return W.tile_edges(ends).groupBy("tile_id").agg(F.count("*").alias("segments"))
 
 
 @query

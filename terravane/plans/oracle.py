@@ -145,8 +145,26 @@ WAY_TAGS = (
     ("highway", "highway"), ("foot", "foot"), ("building", "building"), ("leisure", "leisure"), ("shop", "shop"), ("natural", "natural_"), ("waterway", "waterway"), ("landuse", "landuse"),
     ("railway", "railway"), ("access", "access"), ("building:levels", "levels"), ("addr:street", "street"), ("addr:housenumber", "housenumber"), ("addr:postcode", "postcode"),
 )
-_NO = "state city suburb country place unit floor door entrance building_part building_use flats apartments height roof_shape name start_date amenity office tourism craft healthcare public_transport"
-BUILDING_COLUMNS = [*[(n, n) for n in ("street", "housenumber", "postcode", "building", "levels", "shop", "leisure")], *[(n, "NULL") for n in _NO.split()]]
+BUILDING_COLUMNS = (
+    ("building", "building"), ("building_part", None), ("building_levels", "levels"), ("roof_levels", None), ("building_min_level", None), ("building_flats", None), ("building_apartments", None),
+    ("building_use", None), ("start_date", None), ("addr_country", None), ("addr_state", None), ("addr_city", None), ("addr_suburb", None), ("addr_street", "street"),
+    ("addr_housenumber", "housenumber"), ("addr_postcode", "postcode"), ("addr_place", None), ("addr_unit", None), ("addr_floor", None), ("addr_door", None), ("entrance", None), ("name", None),
+    ("amenity", None), ("shop", "shop"), ("office", None), ("tourism", None), ("leisure", "leisure"), ("craft", None), ("healthcare", None), ("public_transport", None),
+)
+_FOOT = """min(lat_nano) + (max(lat_nano) - min(lat_nano)) // 2 AS center_lat, min(lon_nano) + (max(lon_nano) - min(lon_nano)) // 2 AS center_lon, count(*) AS ref_count, count(*) - count(lat_nano) AS missing_ref_count"""
+
+
+def dec9(c: str) -> str:
+    return f"printf('%d.%09d', {c} // 1000000000, {c} % 1000000000)"
+
+
+def _line(kind: str, verdicts: str, **values: str) -> str:
+    """A row of the building export: type, id, footprint f, three verdicts, and the columns that values gives."""
+    places = [dec9(f"f.{c}") for c in ("center_lat", "center_lon", "min_lat", "min_lon", "max_lat", "max_lon")]
+    return " || chr(9) || ".join([f"'{kind}'", "id", *places, "f.ref_count", "f.missing_ref_count", verdicts, *[values.get(n, "''") for n, _ in BUILDING_COLUMNS]])
+
+
+_NAMES = "entity_type osm_id lat lon min_lat min_lon max_lat max_lon ref_count missing_ref_count has_address has_building residential_candidate"
 _BUILDING = """e AS (SELECT *, building IS NOT NULL AS b, coalesce(building = 'house', false) AS explicit FROM fx_way),
   v AS (SELECT *, CASE WHEN (shop IS NOT NULL OR leisure IS NOT NULL) AND NOT explicit THEN false ELSE (street IS NOT NULL AND housenumber IS NOT NULL) OR b END AS r FROM e)"""
 #: A box that part of the ways meet; ends of routes that are asked for.
@@ -156,6 +174,10 @@ _ENDS = "asked(query_id, query) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i,
 #: Walks that are asked for: query, first and last node.
 PATHS = ((1, 5, 77), (2, 12, 140), (3, 33, 34), (4, 150, 9), (5, 61, 188), (6, 100, 101), (7, 7, 7), (8, 20, 170))
 
+_LOST = "lost AS (SELECT rel_id, count(*) AS lost FROM fx_member WHERE member_type = 1 AND member_id NOT IN (SELECT way_id FROM fx_way_ref) GROUP BY 1)"
+_REL_FOOT = f"""rf AS (SELECT rel_id, {_BBOX}, {_FOOT.replace(' AS missing_ref_count', ' + coalesce(any_value(lost), 0) AS missing_ref_count')}
+  FROM fx_member JOIN fx_way_ref ON way_id = member_id LEFT JOIN fx_node n ON n.id = node_id LEFT JOIN lost USING (rel_id) WHERE member_type = 1 GROUP BY rel_id)"""
+
 ORACLE = {
     "entity_summary": f"""WITH {fx('node', 'way', 'way_ref', 'relation', 'member')} SELECT (SELECT count(*) FROM fx_node) AS nodes, (SELECT count(*) FROM fx_way) AS ways,
         (SELECT count(*) FROM fx_way_ref) AS way_refs, (SELECT count(*) FROM fx_relation) AS relations, (SELECT count(*) FROM fx_member) AS members""",
@@ -173,7 +195,7 @@ ORACLE = {
     "address_incomplete": f"WITH {fx('way')} SELECT id, street, housenumber, postcode FROM fx_way WHERE coalesce(street, housenumber, postcode) IS NOT NULL",
     "address_tsv": f"""WITH {fx('way')} SELECT 'way' || chr(9) || id || chr(9) || chr(9) || chr(9) || chr(9) || chr(9) || chr(9) || street || chr(9) || housenumber || chr(9) || postcode AS value
         FROM fx_way WHERE street IS NOT NULL AND housenumber IS NOT NULL AND postcode IS NOT NULL""",
-    "building_rows": f"""WITH {fx('way')}, {_BUILDING} SELECT id, {', '.join(f"{c}::VARCHAR AS {n}" for n, c in BUILDING_COLUMNS)}, b AS is_building, r AS residential FROM v WHERE b OR r""",
+    "building_rows": f"""WITH {fx('way')}, {_BUILDING} SELECT id, true AS has_address, b AS has_building, r AS residential_candidate, {', '.join(f"{c or 'NULL'}::VARCHAR AS {n}" for n, c in BUILDING_COLUMNS)} FROM v""",
     "building_residential": f"WITH {fx('way')}, {_BUILDING} SELECT id, building FROM v WHERE r",
     "building_footprint": f"""WITH {fx('node', 'way_ref', 'way')} SELECT way_id, {_BBOX}, count(*) AS ref_count, count(*) - count(lat_nano) AS missing_ref_count,
         min(lat_nano) + (max(lat_nano) - min(lat_nano)) // 2 AS center_lat, min(lon_nano) + (max(lon_nano) - min(lon_nano)) // 2 AS center_lon
@@ -183,9 +205,7 @@ ORACLE = {
     "relation_bbox": f"""WITH {fx('node', 'way_ref', 'member')}, box AS (SELECT way_id, {_BBOX} FROM fx_way_ref JOIN fx_node n ON n.id = node_id GROUP BY way_id)
         SELECT rel_id, min(min_lat) AS min_lat, max(max_lat) AS max_lat, min(min_lon) AS min_lon, max(max_lon) AS max_lon, count(*) AS ways FROM fx_member JOIN box ON way_id = member_id
         WHERE member_type = 1 GROUP BY rel_id HAVING max(max_lat) > min(min_lat) AND max(max_lon) > min(min_lon)""",
-    "relation_footprint": f"""WITH {fx('node', 'way_ref', 'member')} SELECT rel_id, {_BBOX}, count(*) AS ref_count, count(*) - count(lat_nano) AS missing_ref_count,
-        min(lat_nano) + (max(lat_nano) - min(lat_nano)) // 2 AS center_lat, min(lon_nano) + (max(lon_nano) - min(lon_nano)) // 2 AS center_lon
-        FROM fx_member JOIN fx_way_ref ON way_id = member_id LEFT JOIN fx_node n ON n.id = node_id WHERE member_type = 1 GROUP BY rel_id""",
+    "relation_footprint": f"""WITH {fx('node', 'way_ref', 'member')}, {_LOST}, {_REL_FOOT} SELECT * FROM rf""",
     "way_centroid": f"""WITH {fx('node', 'way_ref')} SELECT way_id, (sum({e7('lat_nano')}) // count(*))::BIGINT AS lat_e7, (sum({e7('lon_nano')}) // count(*))::BIGINT AS lon_e7
         FROM fx_way_ref JOIN fx_node n ON n.id = node_id GROUP BY way_id""",
     "global_bounds": f"WITH {fx('node')} SELECT {_BBOX}, count(*) AS nodes FROM fx_node",
@@ -337,9 +357,35 @@ ORACLE = {
     "relation_bbox_lookup": f"""WITH {fx('node', 'way_ref', 'member', 'relation')}, box AS (SELECT way_id, {_BBOX} FROM fx_way_ref JOIN fx_node n ON n.id = node_id GROUP BY way_id)
         SELECT id, name FROM fx_relation WHERE id IN (SELECT rel_id FROM fx_member JOIN box ON way_id = member_id WHERE member_type = 1
           AND min_lon <= {SMALL_BOX[2]} AND max_lon >= {SMALL_BOX[0]} AND min_lat <= {SMALL_BOX[3]} AND max_lat >= {SMALL_BOX[1]})""",
-    "building_export": f"""WITH {fx('way', 'node', 'way_ref')}, {_BUILDING}, foot AS (SELECT way_id, {_BBOX}, count(*) AS ref_count, count(*) - count(lat_nano) AS missing_ref_count,
-          min(lat_nano) + (max(lat_nano) - min(lat_nano)) // 2 AS center_lat, min(lon_nano) + (max(lon_nano) - min(lon_nano)) // 2 AS center_lon FROM fx_way_ref LEFT JOIN fx_node n ON n.id = node_id GROUP BY way_id)
-        SELECT v.id, building, levels, street, housenumber, r AS residential, foot.* EXCLUDE (way_id) FROM v JOIN foot ON way_id = v.id WHERE b OR r""",
+    "building_tsv": f"""WITH {fx('way', 'node', 'way_ref', 'relation', 'member')}, {_BUILDING},
+        wf AS (SELECT way_id, {_BBOX}, {_FOOT} FROM fx_way_ref LEFT JOIN fx_node n ON n.id = node_id GROUP BY way_id),
+        {_LOST}, {_REL_FOOT},
+        nf AS (SELECT id, brand, lat_nano AS min_lat, lat_nano AS max_lat, lat_nano AS center_lat, lon_nano AS min_lon, lon_nano AS max_lon, lon_nano AS center_lon, 1 AS ref_count, 0 AS missing_ref_count FROM fx_node WHERE starts_with(amenity, 'PROMO'))
+        SELECT '{_NAMES} {' '.join(n for n, _ in BUILDING_COLUMNS)}'.replace(' ', chr(9)) AS value
+        UNION ALL SELECT {_line('node', "'1' || chr(9) || '1' || chr(9) || '1'", building_part="'yes'", addr_housenumber='brand')} FROM nf f
+        UNION ALL SELECT {_line('way', "'1' || chr(9) || b::INT || chr(9) || r::INT", **{n: f"coalesce({c}, '')" for n, c in BUILDING_COLUMNS if c})} FROM v JOIN wf f ON way_id = id
+        UNION ALL SELECT {_line('relation', "'0' || chr(9) || '1' || chr(9) || '0'", building='place')} FROM fx_relation JOIN rf f ON rel_id = id WHERE place IS NOT NULL""",
+    "building_statistics": f"""WITH {fx('way', 'node', 'way_ref', 'relation', 'member')},
+        w AS (SELECT way_id, count(*) > count(n.id) AS p FROM fx_way_ref LEFT JOIN fx_node n ON n.id = node_id GROUP BY way_id),
+        {_LOST}, {_REL_FOOT}, x AS (SELECT rel_id, missing_ref_count > 0 AS p FROM rf)
+        SELECT 'node' AS entity_type, count(*) AS rows, 0::BIGINT AS partial FROM fx_node WHERE starts_with(amenity, 'PROMO') HAVING count(*) > 0
+        UNION ALL SELECT 'way', count(*), count(*) FILTER (WHERE p) FROM fx_way JOIN w ON way_id = id
+        UNION ALL SELECT 'relation', count(*), count(*) FILTER (WHERE p) FROM fx_relation JOIN x ON rel_id = id WHERE place IS NOT NULL""",
+    "overlay_stop_counts": f"""WITH {fx(*_EVENT_FX)}, {_EVENT} SELECT CASE mode WHEN 1 THEN 'tram' WHEN 2 THEN 'subway' WHEN 3 THEN 'train' WHEN 4 THEN 'bus' ELSE 'other' END AS mode, count(DISTINCT stop_id) AS stops FROM event GROUP BY 1""",
+    "clock_text": f"""WITH {fx('stop')}, s AS (SELECT stop_id, stop_id * 2999 AS t FROM fx_stop)
+        SELECT stop_id, printf('%02d:%02d', t % 86400 // 3600, t % 3600 // 60) || CASE WHEN t >= 86400 THEN ' (+' || t // 86400 || 'd)' ELSE '' END AS clock FROM s""",
+    "padded_boxes": f"""WITH {fx('node', 'way_ref')}, b AS (SELECT way_id, {_BBOX} FROM fx_way_ref JOIN fx_node n ON n.id = node_id GROUP BY way_id), p AS (SELECT *, greatest((max_lat - min_lat) // 10, 5000000) AS pad FROM b)
+        SELECT way_id, min_lat - pad AS low, max_lat + pad AS high FROM p""",
+    "city_scores": f"""WITH {fx('relation', 'member')}, w AS (SELECT rel_id, count(*) AS ways FROM fx_member WHERE member_type = 1 GROUP BY 1)
+        SELECT id, (CASE admin_level WHEN '6' THEN 100 WHEN '8' THEN 90 WHEN '4' THEN 80 WHEN '5' THEN 60 WHEN '7' THEN 60 WHEN '9' THEN 20 WHEN '10' THEN 20 END * 1000 + least(ways, 999))::BIGINT AS score
+        FROM fx_relation JOIN w ON rel_id = id WHERE admin_level IN ('4', '5', '6', '7', '8', '9', '10')""",
+    "lookup_by_name": f"WITH {fx('relation')} SELECT id FROM fx_relation WHERE name = 'BUILDING'",
+    "route_addresses": f"""WITH {fx('way', 'node', 'way_ref')}, c AS (SELECT way_id, (sum({e7('lat_nano')}) // count(*))::BIGINT AS lat_e7, (sum({e7('lon_nano')}) // count(*))::BIGINT AS lon_e7 FROM fx_way_ref JOIN fx_node n ON n.id = node_id GROUP BY way_id),
+        m AS (SELECT *, (lon_e7 - {ORIGIN[1]})::BIGINT * {per_lon(f'{ORIGIN[0]}::BIGINT')} // 10000000 AS mx, (lat_e7 - {ORIGIN[0]})::BIGINT * 111320 // 10000000 AS my FROM c)
+        SELECT id, street, housenumber, postcode, lat_e7, lon_e7, (({floor_div('mx', 4000)} + 268435456) << 29) | ({floor_div('my', 4000)} + 268435456) AS tile_id FROM fx_way LEFT JOIN m ON way_id = id
+        WHERE street IS NOT NULL AND housenumber IS NOT NULL AND postcode IS NOT NULL""",
+    "walk_tile_segments": f"""WITH {fx('node', 'way', 'way_ref')}, {_METRIC}, {_SEG}, t AS (SELECT unnest(list_distinct([ta.tile_id, tb.tile_id])) AS tile_id FROM seg JOIN tiled ta ON ta.id = a JOIN tiled tb ON tb.id = b)
+        SELECT tile_id, count(*) AS segments FROM t GROUP BY 1""",
     "merged_graph": f"""WITH {fx('node', 'way', 'way_ref')}, {_EDGE}, place AS (SELECT lat, lon, min(id) AS place FROM node7 GROUP BY ALL), named AS (SELECT id, place FROM node7 JOIN place USING (lat, lon))
         SELECT a.place AS a, b.place AS b, min(meters) AS meters FROM edge JOIN named a ON a.id = from_id JOIN named b ON b.id = to_id WHERE a.place <> b.place GROUP BY ALL""",
 }
