@@ -113,6 +113,31 @@ def padded(low: Column, high: Column, least: int = 5_000_000) -> tuple[Column, C
     return low - pad, high + pad
 
 
+def area_score(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
+    """The area of a box in square microdegrees, 1 for one without an extent."""
+    span = lambda a, b: F.least(div(b - a, 1000) + 1, F.lit(0xFFFFFFFF).cast("bigint"))
+    return F.when((max_lon <= min_lon) | (max_lat <= min_lat), F.lit(1).cast("bigint")).otherwise(span(min_lon, max_lon) * span(min_lat, max_lat))
+
+
+def gap(min_a: Column, max_a: Column, min_b: Column, max_b: Column) -> Column:
+    """What lies between two intervals; 0 where they meet."""
+    return F.greatest(F.lit(0).cast("bigint"), min_b - max_a, min_a - max_b)
+
+
+def image_height(width: int, min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
+    """The height of an image of a box that is width wide: longitude counts three fifths, 1 to 10 000; null for a box without an extent."""
+    across = F.greatest(div((max_lon - min_lon) * 3 + 2, 5), F.lit(1).cast("bigint"))
+    height = div((max_lat - min_lat) * width + div(across, 2), across)
+    return F.when((max_lon > min_lon) & (max_lat > min_lat), F.greatest(F.lit(1), F.least(F.lit(10_000), height)).cast("int"))
+
+
+def fnv1a32(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of a text's bytes."""
+    hexed = F.hex(F.encode(text, "UTF-8"))
+    bytes_ = F.transform(F.filter(F.sequence(F.lit(0), div(F.length(hexed), 2).cast("int")), lambda i: i > 0), lambda i: F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"))
+    return F.aggregate(bytes_, F.lit(2_166_136_261).cast("bigint"), lambda h, b: F.pmod(h.bitwiseXOR(b) * 16_777_619, F.lit(1 << 32)))
+
+
 # -- tiles
 
 

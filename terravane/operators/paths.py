@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .geometry import BOX
 
 STEP_M = 450
 
@@ -87,6 +90,20 @@ def component_boxes(ways: DataFrame, found: DataFrame) -> DataFrame:
     return root.groupBy("root").agg(*agg, F.sum("points").alias("points"), F.count("*").alias("ways"))
 
 
+def far_components(found: DataFrame) -> DataFrame:
+    """root and far: whether a component lies apart from the one with the most points (the least root among equals): apart by its box, with less
+    than half of the points, more than doubling the box, and by a tenth of a degree or a third of the first one's span."""
+    first = found.agg(F.max_by(F.struct(*BOX, "points", "root"), F.struct("points", -F.col("root"))).alias("p"))  # one row
+    c, p = F.col, lambda n: F.col(f"p.{n}")
+    gaps = [S.gap(p(f"min_{x}"), p(f"max_{x}"), c(f"min_{x}"), c(f"max_{x}")) for x in ("lon", "lat")]
+    spans = [p(f"max_{x}") - p(f"min_{x}") for x in ("lon", "lat")]
+    own = S.area_score(*[p(n) for n in ("min_lon", "min_lat", "max_lon", "max_lat")])
+    both = S.area_score(*[f(c(n), p(n)) for f, n in ((F.least, "min_lon"), (F.least, "min_lat"), (F.greatest, "max_lon"), (F.greatest, "max_lat"))])
+    wide = reduce(or_, [(g > 100_000_000) | ((s > 0) & (g > S.div(s, 3))) for g, s in zip(gaps, spans, strict=True)])
+    far = ((gaps[0] > 0) | (gaps[1] > 0)) & (c("points") * 2 < p("points")) & (both > own * 2) & wide
+    return found.crossJoin(F.broadcast(first)).select("root", far.alias("far"))
+
+
 def nearest(nodes: DataFrame, lat_e7: int, lon_e7: int) -> DataFrame:
     """The node nearest to a point; the least id among equals."""
     m = S.direct_m(F.lit(lat_e7).cast("bigint"), F.lit(lon_e7).cast("bigint"), F.col("lat_e7"), F.col("lon_e7"))

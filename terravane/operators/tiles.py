@@ -116,3 +116,17 @@ def neighbor_masks(tiles: DataFrame) -> DataFrame:
     there = t.select(F.col("tile_x").alias("nx"), F.col("tile_y").alias("ny"))
     found = asked.join(there, ["nx", "ny"]).groupBy("tile_id").agg(F.bit_or("bit").alias("mask"))
     return t.join(found, "tile_id", "left").select("tile_id", F.coalesce("mask", F.lit(0)).alias("mask"))
+
+
+def tile_info(tiles: DataFrame, tile_id: int) -> DataFrame:
+    """field and value lines about the tile of an id: its place, bounds, counters and neighbours; one line if there is none."""
+    masks = neighbor_masks(tiles)
+    coord = lambda c: S.coord_text(F.col(c), 7)
+    lines = {
+        "tile_found": F.lit("yes"), "tile_x": F.col("tile_x"), "tile_y": F.col("tile_y"), "tile_min_lat": coord("min_lat_e7"), "tile_min_lon": coord("min_lon_e7"), "tile_max_lat": coord("max_lat_e7"),
+        "tile_max_lon": coord("max_lon_e7"), "tile_source_nodes": F.col("source_nodes"), "tile_addresses": F.col("addresses"), "tile_stops": F.col("stops"), "tile_neighbor_mask": F.col("mask"),
+    }
+    pairs = F.array(*[F.struct(F.lit(k).alias("field"), v.cast("string").alias("value")) for k, v in lines.items()])
+    found = tiles.where(F.col("tile_id") == tile_id).join(masks.where(F.col("tile_id") == tile_id), "tile_id").select(F.inline(pairs))
+    none = found.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("tile_found").alias("field"), F.lit("no").alias("value"))
+    return found.union(none)

@@ -276,6 +276,10 @@ def viewport_features(d: Data) -> DataFrame:
 @query
 def metric_tiles(d: Data) -> DataFrame:
     """Tiles of the router with their nodes, stops and addresses."""
+    return _route_tiles(d)
+
+
+def _route_tiles(d: Data) -> DataFrame:
     stops = TL.metric(d.stop.select("lat_e7", "lon_e7"), *O.ORIGIN)
     addresses = TL.metric(d.address.where("lat_e7 is not null").select("lat_e7", "lon_e7"), *O.ORIGIN)
     return TL.metric_tiles(d.metric(), stops=stops, addresses=addresses)
@@ -477,6 +481,29 @@ def boundary_components(d: Data) -> DataFrame:
     return P.component_boxes(ways, P.components(ways.where("a <> b"), cut))
 
 
+@query
+def far_components(d: Data) -> DataFrame:
+    return P.far_components(cut(boundary_components(d)))
+
+
+@query
+def tile_info(d: Data) -> DataFrame:
+    """What is known of the tile north-east of the origin, and of one that is not there."""
+    tiles = cut(_route_tiles(d))
+    return TL.tile_info(tiles, (1 << 57) + (1 << 28)).union(TL.tile_info(tiles, 5))
+
+
+@query
+def image_heights(d: Data) -> DataFrame:
+    """Heights of images of way boxes that are 800 wide."""
+    return G.way_bbox(d.way_ref, d.node).select("way_id", S.image_height(800, *[F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")]).alias("height"))
+
+
+@query
+def text_hashes(d: Data) -> DataFrame:
+    return d.address.select("id", S.fnv1a32(F.col("street")).alias("hash"))
+
+
 @query
 def pbf_nodes(d: Data) -> DataFrame:
     """Nodes of an extract that is written and read back."""

@@ -178,6 +178,25 @@ _LOST = "lost AS (SELECT rel_id, count(*) AS lost FROM fx_member WHERE member_ty
 _REL_FOOT = f"""rf AS (SELECT rel_id, {_BBOX}, {_FOOT.replace(' AS missing_ref_count', ' + coalesce(any_value(lost), 0) AS missing_ref_count')}
   FROM fx_member JOIN fx_way_ref ON way_id = member_id LEFT JOIN fx_node n ON n.id = node_id LEFT JOIN lost USING (rel_id) WHERE member_type = 1 GROUP BY rel_id)"""
 
+_COMPONENTS = f"""{fx('way_ref', 'node', 'member', 'relation')},
+        border AS (SELECT DISTINCT member_id FROM fx_member JOIN fx_relation r ON r.id = rel_id WHERE member_type = 1 AND place = 'suburb' AND admin_level = '9'),
+        ends AS (SELECT way_id, arg_min(node_id, pos) AS a, arg_max(node_id, pos) AS b, count(*) AS points, {_BBOX} FROM fx_way_ref JOIN border ON member_id = way_id LEFT JOIN fx_node n ON n.id = node_id
+          GROUP BY way_id HAVING count(lat_nano) = count(*) AND count(*) >= 2),
+        link AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends),
+        c(v, root) AS (SELECT a, a FROM link UNION SELECT link.b, c.root FROM c JOIN link ON link.a = c.v),
+        least AS (SELECT v, min(root) AS root FROM c GROUP BY v),
+        comp AS (SELECT root, min(min_lat) AS min_lat, max(max_lat) AS max_lat, min(min_lon) AS min_lon, max(max_lon) AS max_lon, sum(points)::BIGINT AS points, count(*) AS ways FROM ends JOIN least ON v = a GROUP BY root)"""
+
+_E7 = lambda c: f"printf('%d.%07d', {c} // 10000000, {c} % 10000000)"
+TILE_LINES = [("tile_found", "'yes'"), *[(f"tile_{k}", f"{c}::VARCHAR") for k, c in (("x", "tile_x"), ("y", "tile_y"), ("source_nodes", "source_nodes"), ("addresses", "addresses"), ("stops", "stops"), ("neighbor_mask", "mask"))],
+              *[(f"tile_{k}", _E7(f"{k}_e7")) for k in ("min_lat", "min_lon", "max_lat", "max_lon")]]
+_ROUTE_TILES = f"""{fx('node', 'stop', 'address')}, {_METRIC},
+        other(what, lat, lon) AS (SELECT 's', lat_e7, lon_e7 FROM fx_stop UNION ALL SELECT 'a', lat_e7, lon_e7 FROM fx_address WHERE lat_e7 IS NOT NULL),
+        om AS (SELECT what, (lon - {ORIGIN[1]})::BIGINT * {per_lon(f'{ORIGIN[0]}::BIGINT')} // 10000000 AS mx, (lat - {ORIGIN[0]})::BIGINT * 111320 // 10000000 AS my FROM other),
+        oc AS (SELECT {floor_div('mx', 4000)} AS tile_x, {floor_div('my', 4000)} AS tile_y, count(*) FILTER (WHERE what = 's') AS stops, count(*) FILTER (WHERE what = 'a') AS addresses FROM om GROUP BY ALL),
+        t AS (SELECT tile_id, tile_x, tile_y, count(*) AS source_nodes, min(lat_e7) AS min_lat_e7, max(lat_e7) AS max_lat_e7, min(lon_e7) AS min_lon_e7, max(lon_e7) AS max_lon_e7 FROM tiled GROUP BY ALL),
+        rt AS (SELECT t.*, coalesce(stops, 0) AS stops, coalesce(addresses, 0) AS addresses FROM t LEFT JOIN oc USING (tile_x, tile_y))"""
+
 ORACLE = {
     "entity_summary": f"""WITH {fx('node', 'way', 'way_ref', 'relation', 'member')} SELECT (SELECT count(*) FROM fx_node) AS nodes, (SELECT count(*) FROM fx_way) AS ways,
         (SELECT count(*) FROM fx_way_ref) AS way_refs, (SELECT count(*) FROM fx_relation) AS relations, (SELECT count(*) FROM fx_member) AS members""",
@@ -224,12 +243,11 @@ ORACLE = {
           AND tile_x BETWEEN {tx(f'{BOX[0]}::BIGINT')} - 1 AND {tx(f'{BOX[2]}::BIGINT')} + 1 AND tile_y BETWEEN {ty(f'{BOX[3]}::BIGINT')} - 1 AND {ty(f'{BOX[1]}::BIGINT')} + 1),
         shape AS (SELECT way_id, count(*) AS n_points, md5(string_agg(lon_nano || ' ' || lat_nano, ',' ORDER BY pos)) AS shape FROM fx_way_ref JOIN fx_node n ON n.id = node_id GROUP BY way_id)
         SELECT DISTINCT style::INT AS style, flags::INT AS flags, min_lon, min_lat, max_lon, max_lat, n_points, shape FROM seen JOIN shape ON way_id = id""",
-    "metric_tiles": f"""WITH {fx('node', 'stop', 'address')}, {_METRIC},
-        other(what, lat, lon) AS (SELECT 's', lat_e7, lon_e7 FROM fx_stop UNION ALL SELECT 'a', lat_e7, lon_e7 FROM fx_address WHERE lat_e7 IS NOT NULL),
-        om AS (SELECT what, (lon - {ORIGIN[1]})::BIGINT * {per_lon(f'{ORIGIN[0]}::BIGINT')} // 10000000 AS mx, (lat - {ORIGIN[0]})::BIGINT * 111320 // 10000000 AS my FROM other),
-        oc AS (SELECT {floor_div('mx', 4000)} AS tile_x, {floor_div('my', 4000)} AS tile_y, count(*) FILTER (WHERE what = 's') AS stops, count(*) FILTER (WHERE what = 'a') AS addresses FROM om GROUP BY ALL),
-        t AS (SELECT tile_id, tile_x, tile_y, count(*) AS source_nodes, min(lat_e7) AS min_lat_e7, max(lat_e7) AS max_lat_e7, min(lon_e7) AS min_lon_e7, max(lon_e7) AS max_lon_e7 FROM tiled GROUP BY ALL)
-        SELECT t.*, coalesce(stops, 0) AS stops, coalesce(addresses, 0) AS addresses FROM t LEFT JOIN oc USING (tile_x, tile_y)""",
+    "metric_tiles": f"WITH {_ROUTE_TILES} SELECT * FROM rt",
+    "tile_info": f"""WITH {_ROUTE_TILES}, o(dx, dy, bit) AS (VALUES (-1, -1, 1), (0, -1, 2), (1, -1, 4), (-1, 0, 8), (1, 0, 16), (-1, 1, 32), (0, 1, 64), (1, 1, 128)),
+        one AS (SELECT rt.*, (SELECT coalesce(sum(bit), 0)::INT FROM o JOIN rt u ON u.tile_x = dx AND u.tile_y = dy) AS mask FROM rt WHERE tile_x = 0 AND tile_y = 0),
+        l AS (SELECT unnest([{', '.join(f"{{'field': '{k}', 'value': {v}}}" for k, v in TILE_LINES)}]) AS l FROM one)
+        SELECT l.field AS field, l.value AS value FROM l UNION ALL SELECT 'tile_found', 'no' UNION ALL SELECT 'tile_found', 'no' WHERE NOT EXISTS (SELECT * FROM one)""",
     "tile_neighbor_mask": f"""WITH {fx('node')}, {_METRIC}, t AS (SELECT DISTINCT tile_id, tile_x, tile_y FROM tiled),
         o(dx, dy, bit) AS (VALUES (-1, -1, 1), (0, -1, 2), (1, -1, 4), (-1, 0, 8), (1, 0, 16), (-1, 1, 32), (0, 1, 64), (1, 1, 128))
         SELECT t.tile_id, coalesce(sum(bit) FILTER (WHERE u.tile_id IS NOT NULL), 0)::INT AS mask FROM t CROSS JOIN o LEFT JOIN t u ON u.tile_x = t.tile_x + dx AND u.tile_y = t.tile_y + dy GROUP BY t.tile_id""",
@@ -307,14 +325,13 @@ ORACLE = {
           ELSE CASE WHEN dy >= 0 THEN 'north' ELSE 'south' END || '-' || CASE WHEN dx >= 0 THEN 'east' ELSE 'west' END END AS direction FROM p""",
     "walk_seconds": f"WITH {fx('stop')} SELECT stop_id, {walk_s('stop_id * 13')} AS seconds, (stop_id * 13 * 3 + 249) // 250 AS minutes, {floor_div('(stop_id - 50) * 9999', 50000)} AS cell FROM fx_stop",
     "service_weekday": "SELECT DISTINCT strftime(o_orderdate, '%Y%m%d')::INT AS date, (isodow(o_orderdate) - 1)::INT AS weekday FROM orders",
-    "boundary_components": f"""WITH RECURSIVE {fx('way_ref', 'node', 'member', 'relation')},
-        border AS (SELECT DISTINCT member_id FROM fx_member JOIN fx_relation r ON r.id = rel_id WHERE member_type = 1 AND place = 'suburb' AND admin_level = '9'),
-        ends AS (SELECT way_id, arg_min(node_id, pos) AS a, arg_max(node_id, pos) AS b, count(*) AS points, {_BBOX} FROM fx_way_ref JOIN border ON member_id = way_id LEFT JOIN fx_node n ON n.id = node_id
-          GROUP BY way_id HAVING count(lat_nano) = count(*) AND count(*) >= 2),
-        link AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends),
-        c(v, root) AS (SELECT a, a FROM link UNION SELECT link.b, c.root FROM c JOIN link ON link.a = c.v),
-        least AS (SELECT v, min(root) AS root FROM c GROUP BY v)
-        SELECT root, min(min_lat) AS min_lat, max(max_lat) AS max_lat, min(min_lon) AS min_lon, max(max_lon) AS max_lon, sum(points)::BIGINT AS points, count(*) AS ways FROM ends JOIN least ON v = a GROUP BY root""",
+    "boundary_components": f"WITH RECURSIVE {_COMPONENTS} SELECT * FROM comp",
+    "far_components": f"""WITH RECURSIVE {_COMPONENTS}, p AS (SELECT * FROM comp ORDER BY points DESC, root LIMIT 1),
+        g AS (SELECT c.root, c.points AS cp, p.points AS pp, greatest(0, c.min_lon - p.max_lon, p.min_lon - c.max_lon) AS glon, greatest(0, c.min_lat - p.max_lat, p.min_lat - c.max_lat) AS glat,
+            p.max_lon - p.min_lon AS slon, p.max_lat - p.min_lat AS slat,
+            CASE WHEN p.max_lon <= p.min_lon OR p.max_lat <= p.min_lat THEN 1 ELSE ((p.max_lon - p.min_lon) // 1000 + 1) * ((p.max_lat - p.min_lat) // 1000 + 1) END AS own,
+            ((greatest(c.max_lon, p.max_lon) - least(c.min_lon, p.min_lon)) // 1000 + 1) * ((greatest(c.max_lat, p.max_lat) - least(c.min_lat, p.min_lat)) // 1000 + 1) AS grown FROM comp c, p)
+        SELECT root, (glon > 0 OR glat > 0) AND cp * 2 < pp AND grown > own * 2 AND (glon > 100000000 OR glat > 100000000 OR (slon > 0 AND glon > slon // 3) OR (slat > 0 AND glat > slat // 3)) AS far FROM g""",
     "pbf_nodes": f"WITH {fx('node')} SELECT id, lat_nano, lon_nano, name, 2 AS tags FROM fx_node",
     "pbf_nodes_bare": f"WITH {fx('node')} SELECT id, lat_nano, lon_nano FROM fx_node",
     "pbf_ways": f"WITH {fx('way', 'way_ref')}, r AS (SELECT way_id, string_agg(node_id, ',' ORDER BY pos) AS refs FROM fx_way_ref GROUP BY 1) SELECT id, refs, highway, street FROM fx_way JOIN r ON way_id = id",
@@ -388,4 +405,9 @@ ORACLE = {
         SELECT tile_id, count(*) AS segments FROM t GROUP BY 1""",
     "merged_graph": f"""WITH {fx('node', 'way', 'way_ref')}, {_EDGE}, place AS (SELECT lat, lon, min(id) AS place FROM node7 GROUP BY ALL), named AS (SELECT id, place FROM node7 JOIN place USING (lat, lon))
         SELECT a.place AS a, b.place AS b, min(meters) AS meters FROM edge JOIN named a ON a.id = from_id JOIN named b ON b.id = to_id WHERE a.place <> b.place GROUP BY ALL""",
+    "image_heights": f"""WITH {fx('node', 'way_ref')}, b AS (SELECT way_id, {_BBOX} FROM fx_way_ref JOIN fx_node n ON n.id = node_id GROUP BY way_id),
+        x AS (SELECT *, greatest(((max_lon - min_lon) * 3 + 2) // 5, 1) AS across FROM b)
+        SELECT way_id, CASE WHEN max_lon > min_lon AND max_lat > min_lat THEN greatest(1, least(10000, ((max_lat - min_lat) * 800 + across // 2) // across))::INT END AS height FROM x""",
+    "text_hashes": f"""WITH {fx('address')}, h AS (SELECT id, hex(encode(street)) AS h FROM fx_address)
+        SELECT id, list_reduce([CASE WHEN i = 0 THEN 2166136261 ELSE ('0x' || substr(h, 2 * i - 1, 2))::BIGINT END for i in range(length(h) // 2 + 1)], lambda a, b: xor(a, b) * 16777619 % 4294967296) AS hash FROM h""",
 }
