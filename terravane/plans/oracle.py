@@ -125,6 +125,20 @@ def _rounds(n: int) -> str:
     return ", ".join([start, *[_round(k, f"l{k}") for k in range(n)]])
 
 
+def _label(arrival: str, rides: str, kind: str, previous: str, trip: str, departed: str) -> str:
+    parts = (("arrival", arrival), ("rides", rides), ("kind", kind), ("previous", previous), ("trip", trip), ("departed", departed))
+    return "{" + ", ".join(f"'{k}': ({v})::BIGINT" for k, v in parts) + "}"
+
+
+def _whole_round(k: int) -> str:
+    """One round with whole labels f (arrival, rides, kind, previous, trip, departed)."""
+    return f"""board{k} AS (SELECT trip_id, min({{'s': sequence, 'd': departure_sec, 'p': e.stop_id}}) AS b FROM event e JOIN f{k} USING (stop_id) WHERE l.rides = {k} AND departure_sec >= l.arrival GROUP BY trip_id),
+  rode{k} AS MATERIALIZED (SELECT stop_id, min(l) AS l FROM (SELECT * FROM f{k} UNION ALL SELECT stop_id, {_label('arrival_sec', str(k + 1), '2', 'b.p', 'trip_id', 'b.d')} FROM event JOIN board{k} USING (trip_id)
+     WHERE sequence > b.s AND arrival_sec >= b.d) GROUP BY stop_id),
+  f{k + 1} AS MATERIALIZED (SELECT stop_id, min(l) AS l FROM (SELECT * FROM rode{k} UNION ALL SELECT to_stop, {_label('l.arrival + seconds', 'l.rides', '3', 'stop_id', '-1', 'l.arrival')} FROM rode{k} JOIN transfer ON from_stop = stop_id) GROUP BY stop_id)"""
+
+
+_WHOLE_ROUNDS = ", ".join([f"f0 AS (SELECT {START_STOP}::BIGINT AS stop_id, {_label(str(DEPART), '0', '1', '-1', '-1', str(DEPART))} AS l)", *[_whole_round(k) for k in range(6)]])
 _POINT = f"(SELECT lat_e7 AS plat, lon_e7 AS plon FROM fx_stop WHERE stop_id = {TARGET_STOP})"
 _NORM = lambda c: f"replace(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ß', 'ss')"
 QUERIES = (
@@ -410,4 +424,19 @@ ORACLE = {
         SELECT way_id, CASE WHEN max_lon > min_lon AND max_lat > min_lat THEN greatest(1, least(10000, ((max_lat - min_lat) * 800 + across // 2) // across))::INT END AS height FROM x""",
     "text_hashes": f"""WITH {fx('address')}, h AS (SELECT id, hex(encode(street)) AS h FROM fx_address)
         SELECT id, list_reduce([CASE WHEN i = 0 THEN 2166136261 ELSE ('0x' || substr(h, 2 * i - 1, 2))::BIGINT END for i in range(length(h) // 2 + 1)], lambda a, b: xor(a, b) * 16777619 % 4294967296) AS hash FROM h""",
+    "transit_plan_legs": f"""WITH RECURSIVE {fx(*_EVENT_FX)}, {_EVENT}, {_TRANSFER}, {_WHOLE_ROUNDS},
+        near AS (SELECT stop_id, {direct_m('plat', 'plon', 'lat_e7', 'lon_e7')} AS meters FROM fx_stop, {_POINT} p),
+        best AS (SELECT f6.stop_id FROM f6 JOIN near USING (stop_id) WHERE meters <= 1500 AND l.rides > 0 ORDER BY l.arrival + 2 * {walk_s('meters')}, l.arrival + {walk_s('meters')}, f6.stop_id LIMIT 1),
+        back(k, l, alight) AS (SELECT 0, l, stop_id FROM f6 JOIN best USING (stop_id) WHERE l.kind <> 1 UNION ALL
+          SELECT k + 1, f6.l, f6.stop_id FROM back JOIN f6 ON f6.stop_id = back.l.previous WHERE k < 15 AND f6.l.kind <> 1),
+        n AS (SELECT k, l, alight, CASE WHEN lag(l.kind) OVER w = l.kind AND (l.kind = 3 OR lag(l.trip) OVER w = l.trip) THEN 0 ELSE 1 END AS fresh FROM back WINDOW w AS (ORDER BY k DESC)),
+        g AS (SELECT *, sum(fresh) OVER (ORDER BY k DESC) AS g FROM n)
+        SELECT (g - 1)::INT AS leg, CASE WHEN arg_max(l.kind, k) = 2 THEN 'ride' ELSE 'walk' END AS kind, arg_max(l.trip, k) AS trip, arg_max(l.previous, k) AS board, arg_min(alight, k) AS alight,
+          arg_max(l.departed, k) AS departure, arg_min(l.arrival, k) AS arrival FROM g GROUP BY g""",
+    "address_index_lookup": f"""WITH {fx('address')}, {_ASKED}, {_PARTS}, {_ADDR},
+        p AS (SELECT *, unnest(list_distinct(list_filter(['', city, suburb, postcode], lambda x: x IS NOT NULL))) AS place FROM ahouse),
+        idx AS (SELECT street AS name, h AS house, place, count(DISTINCT id) AS addresses, arg_min(id, CASE WHEN lat_e7 IS NULL THEN 1000000000 ELSE 0 END + id) AS id FROM p GROUP BY ALL),
+        tries AS (SELECT query_id, street, house, place, 0 AS pass FROM parts UNION ALL SELECT query_id, street, house, '', 1 FROM parts),
+        hit AS (SELECT query_id, min({{'pass': pass, 'id': idx.id, 'addresses': addresses}}) AS b FROM tries t JOIN idx ON idx.name = t.street AND idx.house = t.house AND idx.place = t.place GROUP BY 1)
+        SELECT query_id, b.id AS id, b.addresses AS addresses FROM hit""",
 }
