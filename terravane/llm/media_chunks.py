@@ -139,7 +139,7 @@ def _written_in_buckets(df: DataFrame, key: str) -> DataFrame:
     """The table, written in buckets of key, as many as a shuffle has partitions."""
     spark, name = df.sparkSession, f"terravane_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    df.write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").saveAsTable(name)
     return spark.table(name)
 
 
