@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import give_back, kept_by
 
-MEMORY = 200_000
-RUN = 300_000
+MEMORY = 250_000
+RUN = 400_000
 RANGE = 100_000
-QUERY_BYTES = 300_000
-LONG_TEXT = 1_500_000
+QUERY_BYTES = 400_000
+LONG_TEXT = 2_000_000
 NO_TOKEN = 1 << 19
 STRETCH = 1 << 20
 
