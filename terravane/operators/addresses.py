@@ -66,6 +66,11 @@ def building_rows(entities: DataFrame, residential_only: bool = False) -> DataFr
     return _kept(entities, T.with_values(F.col("tags"), keys, row), keep)
 
 
+def is_building_row(v: T.Get) -> Column:
+    """Whether building_rows() keeps an entity."""
+    return T.is_building(v) | F.coalesce(*[v(k) for c in ADDRESS_PARTS for k in BUILDING_COLUMNS[c]]).isNotNull()
+
+
 def building_tsv(rows: DataFrame, header: bool = True) -> DataFrame:
     """One tab-separated line of 43 columns a row of building_rows() with entity_type, id and a footprint; coordinates with nine digits."""
     coord = lambda c: S.coord_text(F.col(c))

@@ -52,6 +52,20 @@ def relation_footprint(members: DataFrame, refs: DataFrame, nodes: DataFrame) ->
     return found.withColumn("missing_ref_count", F.col("missing_ref_count") + F.coalesce("lost", F.lit(0))).drop("lost")
 
 
+def missing_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """footprint()'s missing_ref_count of each way, without boxes: only ids move, and of those that are missing a row each."""
+    lost = refs.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti")
+    one = lambda df, n: df.select("way_id", F.lit(n).cast("bigint").alias("n"))
+    return one(refs, 0).union(one(lost, 1)).groupBy("way_id").agg(F.sum("n").alias("missing_ref_count"))
+
+
+def relation_missing_refs(members: DataFrame, way_missing: DataFrame) -> DataFrame:
+    """relation_footprint()'s missing_ref_count of each relation, from missing_refs() of ways."""
+    ways = members.where("member_type = 1").join(way_missing, F.col("member_id") == F.col("way_id"), "left")
+    g = ways.groupBy("rel_id").agg(F.sum(F.coalesce("missing_ref_count", F.lit(1))).alias("missing_ref_count"), F.count("way_id").alias("known"))
+    return g.where("known > 0").drop("known")
+
+
 def relation_bbox(members: DataFrame, ways_box: DataFrame) -> DataFrame:
     """The box of a relation's way members; only where it has an extent in both directions."""
     m = members.where("member_type = 1").select("rel_id", F.col("member_id").alias("way_id"))
