@@ -1,4 +1,4 @@
-"""Shortest walking paths: relaxation over tables for many targets, a heap per query for single pairs, steps and directions."""
+"""Shortest walking paths: relaxation over tables for many targets, a heap or rounds for single pairs, steps and directions."""
 
 from __future__ import annotations
 
@@ -58,13 +58,29 @@ def shortest(edges: list[tuple[int, int, int]], source: int, target: int) -> tup
     return None
 
 
-def route_queries(queries: DataFrame, edges: DataFrame) -> DataFrame:
-    """The path of each query within its tile window.
+#: Edges that one task may search with a heap, some hundred bytes each.
+HEAP_EDGES = 500_000
 
-    queries: query, source, target, tiles (array); edges: tile_id, from_id, to_id, meters. Each query gets the edges of its own tiles
-    through a join on the tile, and one task solves it with a heap: its memory is bounded by the window.
+
+def route_queries(queries: DataFrame, edges: DataFrame, cut: Callable[[DataFrame], DataFrame], cut_by: Callable[[DataFrame, str], DataFrame], heap_edges: int = HEAP_EDGES) -> DataFrame:
+    """query, meters and path of each query within its tile window; null where there is no path.
+
+    queries: query, source, target, tiles (array); edges: from_id, to_id, meters (1 at least), and a_tile and b_tile, the tiles of their
+    segment's ends; one of them in the window is enough. Windows of few edges are solved by a heap in one task each, larger ones by
+    relaxation over tables; both give the same path. cut_by writes a table in buckets of a column.
     """
-    asked = queries.withColumn("tile_id", F.explode("tiles")).join(edges, "tile_id")
+    queries, edges = cut(queries), cut_by(edges.select("from_id", "to_id", "meters", "a_tile", "b_tile"), "from_id")
+    sizes = edges.groupBy("a_tile", "b_tile").agg(F.count("*").alias("n")).withColumn("tile_id", F.explode(F.array_distinct(F.array("a_tile", "b_tile"))))
+    sizes = queries.withColumn("tile_id", F.explode("tiles")).join(sizes, "tile_id").groupBy("query").agg(F.sum("n").alias("n"))
+    sized = cut(queries.join(sizes, "query"))
+    small, large = sized.where(F.col("n") <= heap_edges).drop("n"), sized.where(F.col("n") > heap_edges).drop("n")
+    found = [f(q) for q, f in ((small, lambda q: _by_heap(q, edges)), (large, lambda q: _by_relaxation(cut(q), edges, cut))) if q.limit(1).count()]
+    return reduce(DataFrame.unionByName, found) if found else queries.limit(0).select("query", F.lit(None).cast("bigint").alias("meters"), F.array("source").alias("path"))
+
+
+def _by_heap(queries: DataFrame, edges: DataFrame) -> DataFrame:
+    tiled = edges.withColumn("tile_id", F.explode(F.array_distinct(F.array("a_tile", "b_tile")))).drop("a_tile", "b_tile")
+    asked = queries.withColumn("tile_id", F.explode("tiles")).drop("tiles").join(tiled, "tile_id")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         q, s, t = int(pdf["query"].iloc[0]), int(pdf["source"].iloc[0]), int(pdf["target"].iloc[0])
@@ -75,6 +91,34 @@ def route_queries(queries: DataFrame, edges: DataFrame) -> DataFrame:
     return asked.groupBy("query").applyInPandas(solve, "query long, meters long, path array<long>")
 
 
+def _by_relaxation(queries: DataFrame, edges: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rounds over all queries at once: a round joins only the nodes whose distance fell, and none beyond the target's distance so far.
+
+    A node's label is (distance, distance of the node before, node before), the least of all: the node that a heap would come from.
+    """
+    c = F.col
+    label = lambda *cols: F.struct(*[x.cast("bigint").alias(n) for x, n in zip(cols, ("dist", "before", "prev"), strict=True)])
+    inside = F.array_contains("tiles", c("a_tile")) | F.array_contains("tiles", c("b_tile"))
+    known = cut(queries.select("query", c("source").alias("id"), label(F.lit(0), F.lit(-1), c("source")).alias("l"), F.lit(True).alias("fresh")))
+    while known.where("fresh").limit(1).count():
+        reached = known.select("query", c("id").alias("target"), c("l.dist").alias("most"))
+        bound = cut(queries.drop("source").join(reached, ["query", "target"], "left"))
+        ends = known.where("fresh").join(bound, "query").where("most is null or l.dist < most")
+        step = edges.join(ends.hint("shuffle_hash"), c("from_id") == c("id")).where(inside).where("most is null or l.dist + meters <= most")
+        step = step.groupBy("query", c("to_id").alias("id")).agg(F.min(label(c("l.dist") + c("meters"), c("l.dist"), c("from_id"))).alias("new"))
+        merged = known.drop("fresh").join(step, ["query", "id"], "full_outer")
+        fresh = c("new").isNotNull() & (c("l").isNull() | (c("new.dist") < c("l.dist")))
+        known = cut(merged.select("query", "id", F.least("l", "new").alias("l"), fresh.alias("fresh")))
+    labels = known.select("query", c("id").alias("head"), "l")
+    ends = queries.select("query", "source", c("target").alias("head")).join(labels, ["query", "head"], "left")
+    walked = cut(ends.select("query", "source", c("l.dist").alias("meters"), F.when(c("l").isNotNull(), F.array("head")).alias("path"), F.when(c("head") != c("source"), c("l.prev")).alias("head")))
+    while walked.where("head is not null").limit(1).count():
+        back = walked.join(labels, ["query", "head"], "left")
+        path = F.when(c("head").isNull(), c("path")).otherwise(F.concat(F.array("head"), "path"))
+        walked = cut(back.select("query", "source", "meters", path.alias("path"), F.when(c("head") != c("source"), c("l.prev")).alias("head")))
+    return walked.select("query", "meters", "path")
+
+
 def with_window(ends: DataFrame, around: int = 1) -> DataFrame:
     """query, source, target and tiles: the rectangle of tiles that both ends span, and around more on each side."""
     c = F.col

@@ -25,3 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """cut(), in buckets of a key, as many as a shuffle has partitions: joins on the key don't deal the table out again."""
+    spark, name = df.sparkSession, f"terravane_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)

@@ -1,8 +1,12 @@
 """Queries whose earlier forms failed on larger tables: what they carry, and the same results as the plain forms."""
 
+import random
+
+from terravane.operators import addresses as AD
 from terravane.operators import geometry as G
+from terravane.operators import paths as P
 from terravane.plans.catalog import QUERIES, Data, _buildings
-from terravane.operators import addresses as AD
+from terravane.sources.workspace import cut, cut_by
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +29,18 @@ def test_missing_refs_are_those_of_footprints(spark):
     key = lambda df, k: sorted((r[k], r["missing_ref_count"]) for r in df.collect())
     assert key(got, "way_id") == key(G.footprint(refs, nodes), "way_id") == [(1, 2), (2, 0), (3, 1), (4, 0)]
     assert key(G.relation_missing_refs(members, got), "rel_id") == key(G.relation_footprint(members, refs, nodes), "rel_id")
+
+
+def test_paths_by_rounds_are_those_of_heaps(spark, monkeypatch):
+    """Windows of more edges than a heap may hold: the same metres and the same nodes of equal paths."""
+    rng = random.Random(7)
+    pairs = [(a, b) for a in range(60) for b in range(60) if a < b and rng.random() < 0.08] + [(70, 71)]
+    rows = [(x, y, m, a % 3, b % 3) for a, b in pairs for m in (rng.randint(1, 4), 9) for x, y in ((a, b), (b, a))]
+    edges = spark.createDataFrame(rows, "from_id long, to_id long, meters long, a_tile long, b_tile long")
+    asked = [(1, 0, 59, [0, 1, 2]), (2, 5, 44, [0]), (3, 8, 8, [1]), (4, 3, 70, [0, 1, 2]), (5, 10, 31, [1, 2])]
+    queries = spark.createDataFrame(asked, "query long, source long, target long, tiles array<long>")
+    got = [sorted((r["query"], r["meters"], r["path"]) for r in P.route_queries(queries, edges, cut, cut_by, n).collect()) for n in (10**6, 0, 250)]
+    assert got[0] == got[1] == got[2] and [r[1] is None for r in got[0]] == [False, False, False, True, False]
+    monkeypatch.setattr(P, "_by_heap", None)
+    monkeypatch.setattr(P.route_queries, "__defaults__", (0,))
+    assert QUERIES["path_nodes"](spark, SF).count() > 0
