@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,49 +51,43 @@ def exception_ranges(exceptions: DataFrame) -> DataFrame:
     return n.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0)))  # one row a service
 
 
-def verify_labels(labels: DataFrame, start: DataFrame, events: DataFrame, walks: DataFrame, rounds: int = ROUNDS, slack: int = 0) -> DataFrame:
-    """stop_id, wanted and found arrivals where labels differ from a plain scan of the timetable in one task; no row means they agree.
+def verify_labels(
+    labels: DataFrame, start: DataFrame, events: DataFrame, walks: DataFrame, rounds: int = ROUNDS, slack: int = 0, cut: Callable[[DataFrame], DataFrame] | None = None, members: DataFrame | None = None
+) -> DataFrame:
+    """stop_id, wanted and found arrivals where labels differ from a plain scan of the timetable; no row means they agree.
 
-    A check for extracts that one task can hold: it gathers all events, walks and labels in it.
+    The scan follows every trip in order, with a window a trip, and walks from every stop in every round: nothing of earliest() but the
+    rules. walks and members are those of earliest(). It ends early only where a round changes nothing.
     """
-    tagged = [
-        start.select(F.lit("s").alias("what"), F.col("stop_id").alias("a"), F.col("arrival").alias("b"), *[F.lit(None).cast("long").alias(c) for c in "cde"]),
-        events.select(F.lit("e"), "trip_id", "sequence", "stop_id", "arrival_sec", "departure_sec"),
-        walks.select(F.lit("w"), "from_stop", "to_stop", "seconds", *[F.lit(None).cast("long")] * 2),
-        labels.select(F.lit("l"), "stop_id", "arrival", F.col("rides").cast("long"), *[F.lit(None).cast("long")] * 2),
-    ]
-    every = tagged[0]
-    for t in tagged[1:]:
-        every = every.union(t)
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {k: part.drop(columns=["what", "one"]).to_numpy() for k, part in pdf.groupby("what")}
-        best = {int(a): (int(b), 0) for a, b, *_ in rows.get("s", [])}
-        trips: dict[int, list[tuple]] = {}
-        for trip, seq, stop, arrive, leave in rows.get("e", []):
-            trips.setdefault(int(trip), []).append((int(seq), int(stop), int(arrive), int(leave)))
-        for round_ in range(rounds):
-            after = dict(best)
-            for stops in trips.values():
-                on = min(((seq, leave) for seq, stop, _, leave in stops if best.get(stop, (0, -1))[1] == round_ and leave >= best[stop][0] + slack), default=None)
-                for seq, stop, arrive, _ in stops if on else ():
-                    if seq > on[0] and arrive >= on[1]:
-                        after[stop] = min(after.get(stop, (arrive, round_ + 1)), (arrive, round_ + 1))
-            best = dict(after)
-            for a, b, seconds, *_ in rows.get("w", []):
-                if int(a) in after:
-                    new = (after[int(a)][0] + int(seconds), after[int(a)][1])
-                    best[int(b)] = min(best.get(int(b), new), new)
-        found = {int(a): (int(b), int(c)) for a, b, c, *_ in rows.get("l", [])}
-        bad = sorted(k for k in best.keys() | found.keys() if best.get(k) != found.get(k))
-        return pd.DataFrame([(k, best.get(k, (None,))[0], found.get(k, (None,))[0]) for k in bad], columns=["stop_id", "wanted", "found"])
-
-    return every.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(scan, "stop_id long, wanted long, found long")
+    c, one = F.col, F.struct
+    order = Window.partitionBy("trip_id").orderBy("sequence", "departure_sec").rowsBetween(Window.unboundedPreceding, -1)
+    lowest = lambda df: df.groupBy("stop_id").agg(F.min(one("arrival", "rides")).alias("l")).select("stop_id", "l.arrival", "l.rides")
+    best = lowest(start.select("stop_id", "arrival", "rides"))
+    members = walks.select(c("from_stop").alias("stop_id")).union(walks.select("to_stop")).distinct().withColumn("spot", c("stop_id")) if members is None else members
+    for k in range(rounds):
+        ready = best.where(c("rides") == k).select("stop_id", c("arrival").alias("ready"))
+        scan = events.select("trip_id", "sequence", "stop_id", "arrival_sec", "departure_sec").join(ready, "stop_id", "left")
+        on = F.first(F.when(c("departure_sec") >= c("ready") + slack, one("sequence", "departure_sec")), ignorenulls=True).over(order)
+        off = scan.withColumn("on", on).where((c("sequence") > c("on.sequence")) & (c("arrival_sec") >= c("on.departure_sec")))
+        rode = lowest(best.union(off.select("stop_id", "arrival_sec", F.lit(k + 1))))
+        rode = rode if cut is None else cut(rode)
+        at = rode.join(members, "stop_id").groupBy("spot").agg(F.min(one("arrival", "rides")).alias("l"))
+        there = walks.join(at, c("from_stop") == c("spot")).groupBy(c("to_stop").alias("spot")).agg(F.min(one((c("l.arrival") + c("seconds")).alias("arrival"), c("l.rides").alias("rides"))).alias("l"))
+        after = lowest(rode.union(there.join(members, "spot").select("stop_id", "l.arrival", "l.rides")))
+        if cut is not None:
+            after = cut(after)
+            if not after.exceptAll(best).limit(1).count():
+                break
+        best = after
+    wanted = best.select("stop_id", c("arrival").alias("wanted"), c("rides").alias("w"))
+    both = wanted.join(labels.select("stop_id", c("arrival").alias("found"), c("rides").alias("f")), "stop_id", "full_outer")
+    return both.where(~(c("wanted").eqNullSafe(c("found")) & c("w").eqNullSafe(c("f")))).select("stop_id", "wanted", "found")
 
 
 def clean_events(events: DataFrame, trips: DataFrame, stops: DataFrame, routes: DataFrame, services: DataFrame) -> DataFrame:
-    """Events whose trip, route, service and stop are known, with the trip's route and mode."""
+    """Events whose trip, route, service and stop are known, with the trip's route and mode. Trips that don't run go first, below whatever orders events."""
     good = trips.join(services.select("service_id"), "service_id", "left_semi").join(routes.select("route_id", S.mode_of(F.col("route_type")).alias("mode")), "route_id")
+    events = events.join(good.select("trip_id"), "trip_id", "left_semi")
     return events.join(good.select("trip_id", "route_id", "service_id", "mode"), "trip_id").join(stops.select("stop_id"), "stop_id", "left_semi")
 
 
@@ -116,21 +109,38 @@ def neighbours(left: DataFrame, right: DataFrame, meters: int, cells: int = CELL
 
     left: stop_id, lat_e7, lon_e7; right: to_id, to_lat, to_lon. A cell joins only what is near it: no cross join, no broadcast of either side.
     """
-    around = F.sequence(F.lit(-cells), F.lit(cells))
-    r = right.withColumns({"_dy": F.explode(around)}).withColumn("_dx", F.explode(around))
+    rows = min(cells, (meters + 1) * S.E7 // (S.METERS_PER_DEGREE * S.CELL_E7) + 1)  # a row further is further away than meters, at any latitude
+    around = lambda n: F.explode(F.sequence(F.lit(-n), F.lit(n)))
+    r = right.withColumn("_dy", around(rows)).withColumn("_dx", around(cells))
     r = r.select("to_id", "to_lat", "to_lon", (S.cell(F.col("to_lat")) + F.col("_dy")).alias("cy"), (S.cell(F.col("to_lon")) + F.col("_dx")).alias("cx"))
     near = left.withColumns({"cy": S.cell(F.col("lat_e7")), "cx": S.cell(F.col("lon_e7"))}).join(r, ["cy", "cx"])
-    return near.withColumn("meters", S.direct_m(F.col("lat_e7"), F.col("lon_e7"), F.col("to_lat"), F.col("to_lon"))).where(F.col("meters") <= meters)
+    ends = [F.col(c) for c in ("lat_e7", "lon_e7", "to_lat", "to_lon")]
+    close = near.where(F.abs(F.col("to_lat") - F.col("lat_e7")) <= (meters + 1) * S.E7 // S.METERS_PER_DEGREE).where(S.direct_squared(*ends) < (meters + 1) ** 2)
+    return close.withColumn("meters", S.direct_m(*ends))
 
 
-def transfers(stops: DataFrame, meters: int = TRANSFER_M) -> DataFrame:
-    """from_stop, to_stop, meters and seconds of all pairs of different stops within walking distance."""
-    left = stops.select("stop_id", "lat_e7", "lon_e7")
-    right = stops.select(F.col("stop_id").alias("to_id"), F.col("lat_e7").alias("to_lat"), F.col("lon_e7").alias("to_lon"))
-    near = neighbours(left, right, meters).where("stop_id <> to_id")
+def spots(stops: DataFrame) -> DataFrame:
+    """stop_id, lat_e7, lon_e7 and spot of each stop with a place: the least id of the stops at the same place."""
+    first = stops.groupBy("lat_e7", "lon_e7").agg(F.min("stop_id").alias("spot"))
+    return stops.select("stop_id", "lat_e7", "lon_e7").join(first, ["lat_e7", "lon_e7"])
+
+
+def spot_walks(members: DataFrame, meters: int = TRANSFER_M) -> DataFrame:
+    """from_stop, to_stop, meters and seconds of all pairs of spots within walking distance, each with itself too. members: spots() of the stops."""
+    places = members.where("stop_id = spot").select("stop_id", "lat_e7", "lon_e7").distinct()
+    right = places.select(F.col("stop_id").alias("to_id"), F.col("lat_e7").alias("to_lat"), F.col("lon_e7").alias("to_lon"))
+    near = neighbours(places, right, meters)
     return near.select(F.col("stop_id").alias("from_stop"), F.col("to_id").alias("to_stop"), "meters", S.walk_seconds(F.col("meters")).alias("seconds"))
 
 
+def transfers(stops: DataFrame, meters: int = TRANSFER_M) -> DataFrame:
+    """from_stop, to_stop, meters and seconds of all pairs of different stops within walking distance, worked out once a pair of places."""
+    members = spots(stops)
+    ends = lambda n: members.select(F.col("spot").alias(f"{n}_stop"), F.col("stop_id").alias(f"_{n}")).hint("shuffle_hash")
+    found = spot_walks(members, meters).join(ends("from"), "from_stop").join(ends("to"), "to_stop").where("_from <> _to")
+    return found.select(F.col("_from").alias("from_stop"), F.col("_to").alias("to_stop"), "meters", "seconds")
+
+
 def from_point(stops: DataFrame, lat_e7: int, lon_e7: int, meters: int) -> DataFrame:
     """Stops within a distance of a point; the box of the distance prunes the scan, the exact distance decides."""
     dlat = meters * S.E7 // S.METERS_PER_DEGREE + 2
@@ -157,9 +167,9 @@ def _best(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("stop_id").agg(F.min(F.struct(*rest)).alias("l")).select("stop_id", *[F.col(f"l.{c}").alias(c) for c in rest])
 
 
-def ride(labels: DataFrame, events: DataFrame, round_: int, slack: int = 0) -> DataFrame:
+def ride(labels: DataFrame, events: DataFrame, round_: int, slack: int = 0, by_stop: DataFrame | None = None) -> DataFrame:
     """Labels after boarding trips in a round: every later event of a boarded trip that doesn't run back in time is a candidate."""
-    on = board_first(labels, events, round_, slack)
+    on = board_first(labels, events if by_stop is None else by_stop, round_, slack)
     off = events.join(on, "trip_id").where((F.col("sequence") > F.col("board_seq")) & (F.col("arrival_sec") >= F.col("board_dep")))
     new = off.select(
         "stop_id", F.col("arrival_sec").alias("arrival"), F.lit(round_ + 1).alias("rides"), F.lit(2).alias("kind"), F.col("board_stop").alias("previous"), "trip_id", F.col("board_dep").alias("departed")
@@ -167,17 +177,27 @@ def ride(labels: DataFrame, events: DataFrame, round_: int, slack: int = 0) -> D
     return _best(labels.select(*LABEL).unionByName(new))
 
 
-def walk_on(labels: DataFrame, walks: DataFrame, round_: int = 0) -> DataFrame:
+def walk_on(labels: DataFrame, walks: DataFrame, round_: int = 0, members: DataFrame | None = None) -> DataFrame:
     """Labels after one walk from the labels as they stand; walks don't chain within a round.
 
     A label that an earlier round left, other than one on foot from the origin, was walked from in that round, so only those of this round's ride are.
+    members: stop_id and spot, with walks between spots. Of a spot only its first label is walked from, and on the spot itself the first two,
+    as a stop does not walk to itself.
     """
     moved = labels if round_ == 0 else labels.where((F.col("rides") == round_ + 1) | (F.col("kind") == 3))
-    new = moved.join(walks, F.col("stop_id") == F.col("from_stop")).select(
+    walked = lambda df: df.select(
         F.col("to_stop").alias("stop_id"), (F.col("arrival") + F.col("seconds")).alias("arrival"), "rides", F.lit(3).alias("kind"), F.col("stop_id").alias("previous"),
         F.lit(-1).cast("bigint").alias("trip_id"), F.col("arrival").alias("departed"),
     )
-    return _best(labels.select(*LABEL).unionByName(new))
+    if members is None:
+        return _best(labels.select(*LABEL).unionByName(walked(moved.join(walks, F.col("stop_id") == F.col("from_stop")))))
+    first = Window.partitionBy("spot").orderBy("arrival", "rides", "stop_id")
+    two = moved.join(members.select("stop_id", "spot"), "stop_id").withColumn("_k", F.row_number().over(first)).where("_k <= 2")
+    paths = two.join(walks, F.col("spot") == F.col("from_stop"))
+    at = members.select(F.col("spot"), F.col("stop_id").alias("to_id"))
+    away = _best(walked(paths.where("_k = 1 and from_stop <> to_stop"))).withColumnRenamed("stop_id", "spot").join(at, "spot").withColumn("stop_id", F.col("to_id"))
+    here = two.join(walks.where("from_stop = to_stop"), F.col("spot") == F.col("from_stop")).join(at, "spot").where("stop_id <> to_id").withColumn("to_stop", F.col("to_id"))
+    return _best(labels.select(*LABEL).unionByName(away.select(*LABEL)).unionByName(walked(here)))
 
 
 def start_labels(stops: DataFrame, depart: int) -> DataFrame:
@@ -188,13 +208,23 @@ def start_labels(stops: DataFrame, depart: int) -> DataFrame:
     )
 
 
-def earliest(start: DataFrame, events: DataFrame, walks: DataFrame, rounds: int = ROUNDS, slack: int = 0, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Labels after some rounds of riding and walking. cut ends the lineage of a round (a checkpoint or a written table)."""
+def earliest(
+    start: DataFrame, events: DataFrame, walks: DataFrame, rounds: int = ROUNDS, slack: int = 0, cut: Callable[[DataFrame], DataFrame] | None = None, members: DataFrame | None = None, by_stop: DataFrame | None = None
+) -> DataFrame:
+    """Labels after some rounds of riding and walking. cut ends the lineage of a round (a checkpoint or a written table); with it, a round
+    that changes nothing is the last, as none after it would.
+
+    members: stop_id and spot, where walks are between spots (spot_walks()); by_stop: the events again, where events are in buckets of
+    trips and these in buckets of stops.
+    """
     labels = start
     for k in range(rounds):
-        labels = walk_on(ride(labels, events, k, slack), walks, k)
+        after = walk_on(ride(labels, events, k, slack, by_stop), walks, k, members)
         if cut is not None:
-            labels = cut(labels)
+            after = cut(after)
+            if not after.exceptAll(labels.select(*LABEL)).limit(1).count():
+                break
+        labels = after
     return labels
 
 
