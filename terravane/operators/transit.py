@@ -219,7 +219,8 @@ def earliest(
     """
     labels = start
     for k in range(rounds):
-        after = walk_on(ride(labels, events, k, slack, by_stop), walks, k, members)
+        rode = ride(labels, events, k, slack, by_stop)
+        after = walk_on(rode if cut is None else cut(rode), walks, k, members)  # walks read it several times
         if cut is not None:
             after = cut(after)
             if not after.exceptAll(labels.select(*LABEL)).limit(1).count():
